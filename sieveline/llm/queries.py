@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import decontamination, language
+from sieveline.llm import decontamination, language, mixing, secret_scan
 from sieveline.llm.common import bucket_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,21 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.classify(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken; weights 5, 2, 1, at most three rounds, blocks of 256 words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).drop("source")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans; values of three owners or more count as copied."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size("spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{secret_scan.KINDS[k]}") for k in range(3)]
+    base = secret_scan.joined(F.filter("spans", lambda s: s["kind"] < 3))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; windows of ten words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -37,13 +52,80 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
+    "op2_source_mix": op2_source_mix,
+    "op3_secret_scan": op3_secret_scan,
     "op6_decontamination": op6_decontamination,
 }
 
 ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 OP6_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {ABC}), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
 
+#: One kind's matches with their offsets, from the pieces between them.
+OP3_KIND = """
+    SELECT r, source, {kind} AS kind, list_sum(gaps[1:i]) + coalesce(list_sum(lens[1:i - 1]), 0) AS s,
+           list_sum(gaps[1:i]) + list_sum(lens[1:i]) AS e, ms[i] AS found
+    FROM (
+        SELECT r, source, ms, [length(x) for x in ms] AS lens, [length(x) for x in string_split_regex(t, '{p}')] AS gaps
+        FROM (SELECT r, source, t, regexp_extract_all(t, '{p}') AS ms FROM d) WHERE len(ms) > 0
+    ), unnest(range(1, len(ms) + 1)) AS u(i)
+"""
+OP3_ASSIGN = secret_scan.ASSIGN.replace("'", "''")
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_source_mix": rf"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+        ),
+        s AS (
+            SELECT source, sum(size)::bigint AS source_size, 3 * sum(size)::bigint AS cap,
+                   list_extract([5, 2, 1], cast((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS integer)) AS weight
+            FROM d GROUP BY source
+        ),
+        f AS (
+            SELECT *, row_number() OVER w AS i, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0))::double
+                      / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::double AS level
+            FROM s WINDOW w AS (ORDER BY cap / weight, source NULLS LAST), b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ),
+        t AS (
+            SELECT source, source_size,
+                   least(cap::double, (SELECT min(level) FROM f WHERE level <= cap / weight) * weight) AS target FROM f
+        ),
+        p AS (
+            SELECT d.*, source_size, target, floor(target + 0.5)::bigint AS quota, coalesce(sum(size) OVER (
+                PARTITION BY d.source ORDER BY md5(coalesce(doc_id::varchar, '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING
+            ), 0)::bigint AS pos
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        )
+        SELECT doc_id, size::bigint AS size, source_size, target,
+               list_sum([greatest(least(pos + k * source_size + size, quota) - (pos + k * source_size), 0) for k in [0, 1, 2]])::bigint AS taken
+        FROM p
+    """,
+    "op3_secret_scan": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+        found AS ({" UNION ALL ".join(OP3_KIND.format(kind=k, p=p.replace("'", "''")) for k, p in enumerate(secret_scan.PATTERNS))}),
+        valued AS (SELECT *, CASE WHEN kind = 0 THEN regexp_extract(found, '{OP3_ASSIGN}', 2) ELSE found END AS v FROM found),
+        passing AS (
+            SELECT * FROM valued WHERE CASE kind WHEN 0 THEN length(v) >= 6
+                WHEN 3 THEN regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]') ELSE true END
+        ),
+        apart AS (
+            SELECT * FROM passing p WHERE kind < 3 OR NOT EXISTS (
+                SELECT 1 FROM passing b WHERE b.r = p.r AND b.kind < 3 AND b.s < p.e AND b.e > p.s)
+        ),
+        owned AS (SELECT v, count(DISTINCT source) + max((source IS NULL)::int) AS n FROM apart GROUP BY v),
+        held AS (
+            SELECT r, s, e, kind, ['assign', 'access', 'hex', 'opaque'][kind + 1] || ':' || s || ':' || e AS span
+            FROM apart JOIN owned USING (v) WHERE kind < 3 OR n < 3
+        ),
+        g AS (
+            SELECT r, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+                   string_agg(span, ',' ORDER BY s, kind) FILTER (WHERE kind < 3) AS base, string_agg(span, ',' ORDER BY s, kind) AS spans
+            FROM held GROUP BY r
+        )
+        SELECT doc_id, coalesce(n_assign, 0)::bigint AS n_assign, coalesce(n_access, 0)::bigint AS n_access, coalesce(n_hex, 0)::bigint AS n_hex,
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN g USING (r)
+    """,
     "op6_decontamination": f"""
         WITH d AS (SELECT doc_id, {OP6_WORDS} AS ws FROM documents),
         i AS (SELECT coalesce(cast(item_id AS varchar), '') AS item_id, {OP6_WORDS} AS ws FROM benchmark),
