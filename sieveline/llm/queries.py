@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import decontamination, language, mixing, secret_scan
+from sieveline.llm import chat_format, decontamination, language, mixing, page_text, secret_scan
 from sieveline.llm.common import bucket_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,14 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars; conversation -7 is added."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    return chat_format.format_chats(turns.unionByName(added), with_text=False)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; windows of ten words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -50,11 +58,19 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars."""
+    found = page_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_source_mix": op2_source_mix,
     "op3_secret_scan": op3_secret_scan,
+    "op4_chat_format": op4_chat_format,
     "op6_decontamination": op6_decontamination,
+    "op7_page_text": op7_page_text,
 }
 
 ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -126,6 +142,23 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
         FROM d LEFT JOIN g USING (r)
     """,
+    "op4_chat_format": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+        ),
+        e AS (
+            SELECT *, length(regexp_replace(text, '([<\[])(\\*)(/?(?:s>|(?:INST|OUT|SYS|ROLE|TURN)\]))', '\1\2\\\3', 'g')) AS n,
+                   length(regexp_replace(role, '([<\[])(\\*)(/?(?:s>|(?:INST|OUT|SYS|ROLE|TURN)\]))', '\1\2\\\3', 'g')) AS rn
+            FROM c
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::bigint AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               (3 + sum(n + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 9 WHEN 'system' THEN 11 ELSE 20 + rn END))::bigint AS formatted_chars
+        FROM e GROUP BY conv_id
+    """,
     "op6_decontamination": f"""
         WITH d AS (SELECT doc_id, {OP6_WORDS} AS ws FROM documents),
         i AS (SELECT coalesce(cast(item_id AS varchar), '') AS item_id, {OP6_WORDS} AS ws FROM benchmark),
