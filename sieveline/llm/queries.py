@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import chat_format, decontamination, language, mixing, page_text, secret_scan
+from sieveline.llm import chat_format, decontamination, language, mixing, page_text, secret_scan, vector_search
 from sieveline.llm.common import bucket_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,11 @@ def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: 20 nearest for each row whose id is divisible by 20."""
+    return vector_search.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_source_mix": op2_source_mix,
@@ -71,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op4_chat_format": op4_chat_format,
     "op6_decontamination": op6_decontamination,
     "op7_page_text": op7_page_text,
+    "op8_vector_search": op8_vector_search,
 }
 
 ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
