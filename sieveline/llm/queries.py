@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import chat_format, decontamination, language, mixing, page_text, secret_scan, vector_search
+from sieveline.llm import chat_format, decontamination, language, mixing, page_text, secret_scan, toxicity, vector_search
 from sieveline.llm.common import bucket_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,14 @@ def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted; learns from labels outside bucket 0 of 5."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = bucket_of(F.col("doc_id"), 5) == 0
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels"), where=~held)
+    return toxicity.score(docs.withColumn("held_out", held), machine).drop("text")
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_source_mix": op2_source_mix,
@@ -77,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op6_decontamination": op6_decontamination,
     "op7_page_text": op7_page_text,
     "op8_vector_search": op8_vector_search,
+    "op10_toxicity": op10_toxicity,
 }
 
 ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
