@@ -2,8 +2,8 @@
 
 The kernel of two words counts the three-letter subsequences that both hold
 within a span, each weighted by DECAY to the power of its span, so inserted
-characters cost a little and do not hide a word; it is normalised to 1 for
-equal words and raised to POWER, which keeps weak likenesses from adding up. A
+characters cost a little and do not hide a word; it is normalised by the words'
+lengths as vectors and raised to POWER, which keeps weak likenesses from adding up. A
 sentence's kernel sums over its different words. Landmark strings span the
 Nyström feature space in which a linear machine is trained on labelled
 sentences; a document's score comes from its worst sentences.
@@ -32,10 +32,12 @@ APART = re.compile(r"(?<!\S)(?:\w[ ._*-]){3,}\w(?!\S)")
 EDGES = ".,;:!?\"'()[]{}<>|#%&*$~`_-+=/\\"
 #: Signs that stand for letters within a word.
 SIGNS = dict(zip("0134578@$!|", "oieastbasil", strict=True))
+#: Words whose part among the landmarks' subsequences is shorter than this have kernel 0 with all.
+FLOOR = 0.3
 #: Class of the mark before a word, and that mark in strings; a string without it is an inner one.
 START, MARK = 31, "^"
 #: Word scores that a worker remembers.
-MEMORY = 400_000
+MEMORY = 1_000_000
 
 
 def code_table() -> dict[int, int]:
@@ -82,53 +84,67 @@ def sentences(text: str | None) -> list[list[str]]:
     return out
 
 
-def shifts() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Offsets of the second and third letter within the span, and the weight of each pair of offsets."""
-    pairs = [(j, k) for j in range(1, SPAN - 1) for k in range(j + 1, SPAN)]
-    return np.array([j for j, _ in pairs]), np.array([k for _, k in pairs]), np.array([DECAY ** (k + 1) for _, k in pairs])
+PAIRS = [(j, k, DECAY ** (k + 1)) for j in range(1, SPAN - 1) for k in range(j + 1, SPAN)]
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse unit features of words: row, feature, value. Work grows with the letters, however long a word is."""
-    second, third, weight = shifts()
-    rows, keys, values = [], [], []
+def triples(words: list[str], place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words' subsequences that ``place`` knows: word, place and value. Work grows with the letters, however long a word is.
+
+    Values are divided by the length of the vector of all subsequences of the word, repeats apart.
+    """
     codes = [classes(w) for w in words]
     codes = [w if words[i][:1] != MARK else w[:1] + w[2:] for i, w in enumerate(codes)]
-    flat = np.array([c for w in codes for c in (*w, *[0] * (SPAN - 1))], dtype=np.int64)
-    owner = np.repeat(np.arange(len(words)), [len(w) + SPAN - 1 for w in codes])
-    padded = np.concatenate([flat, np.zeros(SPAN, dtype=np.int64)])
+    # Seven zeros after each word keep a triple from reaching into the next one.
+    sizes = np.array([len(w) + SPAN - 1 for w in codes])
+    flat = np.zeros(int(sizes.sum()) + SPAN, dtype=np.int32)
+    ends = np.cumsum(sizes)
+    for w, end, size in zip(codes, ends.tolist(), sizes.tolist(), strict=True):
+        flat[end - size : end - SPAN + 1] = w
     first = np.flatnonzero(flat)
-    for j, k, w in zip(second, third, weight, strict=True):
-        b, c = padded[first + j], padded[first + k]
-        # Seven zeros after each word keep a triple from reaching into the next one.
+    owner = np.searchsorted(ends, first, side="right")
+    head = flat[first] * (LETTERS * LETTERS)
+    squares = np.zeros(len(words))
+    rows, at, values = [], [], []
+    for j, k, weight in PAIRS:
+        b, c = flat[first + j], flat[first + k]
         good = (b > 0) & (c > 0)
-        rows.append(owner[first[good]])
-        keys.append((flat[first[good]] * LETTERS + b[good]) * LETTERS + c[good])
-        values.append(np.full(int(good.sum()), w))
-    row, key, value = np.concatenate(rows), np.concatenate(keys), np.concatenate(values)
-    cell, inverse = np.unique(row * DIMENSION + key, return_inverse=True)
-    value = np.bincount(inverse, weights=value, minlength=len(cell))
-    row, key = cell // DIMENSION, cell % DIMENSION
-    norm = np.sqrt(np.bincount(row, weights=value**2, minlength=len(words)))
-    return row, key, value / norm[row]
-
-
-def kernels(words: list[str], base: np.ndarray) -> np.ndarray:
-    """Kernels of words (rows) with landmarks, whose dense features are the columns of ``base``."""
-    out = np.zeros((len(words), base.shape[1]))
-    for i in range(0, len(words), 500):
-        row, key, value = features(words[i : i + 500])
-        if len(row):
-            starts = np.flatnonzero(np.diff(row, prepend=-1))
-            out[i + row[starts]] = np.add.reduceat(base[key] * value[:, None].astype(np.float32), starts, axis=0)
-    return out**POWER
-
-
-def dense(landmarks: list[str]) -> np.ndarray:
-    row, key, value = features(landmarks)
-    base = np.zeros((DIMENSION, len(landmarks)), dtype=np.float32)
-    base[key, row] = value
-    return base
+        squares += weight * weight * np.bincount(owner[good], minlength=len(words))
+        found = place[head + b * LETTERS + c]
+        known = np.flatnonzero(good & (found >= 0))
+        rows.append(owner[known])
+        at.append(found[known])
+        values.append(np.full(len(known), weight))
+    row = np.concatenate(rows)
+    order = np.argsort(row, kind="stable")
+    row = row[order]
+    return row, np.concatenate(at)[order], np.concatenate(values)[order] / np.sqrt(squares[row])
+
+
+class Landmarks:
+    """Landmark strings by their subsequences: ``place`` of each one that any landmark holds, and a row of values there."""
+
+    def __init__(self, words: list[str]):
+        row, key, value = triples(words, np.arange(DIMENSION))
+        held, at = np.unique(key, return_inverse=True)
+        self.place = np.full(DIMENSION, -1, dtype=np.int32)
+        self.place[held] = np.arange(len(held))
+        self.rows = np.zeros((len(held), len(words)))
+        np.add.at(self.rows, (at, row), value)
+
+    def kernels(self, words: list[str]) -> np.ndarray:
+        """Kernels of words (rows) with the landmarks (columns)."""
+        out, width = np.zeros((len(words), self.rows.shape[1])), len(self.rows)
+        for i in range(0, len(words), 2_000):
+            row, at, value = triples(words[i : i + 2_000], self.place)
+            # Words that share too little with all landmarks together are unlike each of them.
+            common = np.sqrt(np.bincount(row, weights=value**2, minlength=len(words[i : i + 2_000])))
+            near = np.flatnonzero(common >= FLOOR)
+            index = np.full(len(common), -1)
+            index[near] = np.arange(len(near))
+            kept = index[row] >= 0
+            sparse = np.bincount(index[row[kept]] * width + at[kept], weights=value[kept], minlength=len(near) * width)
+            out[i + near] = sparse.reshape(-1, width) @ self.rows
+        return out**POWER
 
 
 class Machine:
@@ -136,13 +152,13 @@ class Machine:
 
     def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float, slopes: tuple[float, ...] = (1.0, 0.0, 0.0), shift: float = 0.0):
         self.landmarks, self.weights, self.bias, self.slopes, self.shift = landmarks, weights, bias, slopes, shift
-        self.base: np.ndarray | None = None
+        self.base: Landmarks | None = None
 
     def words(self, words: list[str]) -> np.ndarray:
         """Each word's part in a decision: its kernels with all landmarks, times the machine's coefficients."""
         if self.base is None:
-            self.base = dense(self.landmarks)
-        return kernels(words, self.base) @ self.weights
+            self.base = Landmarks(self.landmarks)
+        return self.base.kernels(words) @ self.weights
 
     def worst(self, texts: Iterable[str | None], memory: dict[str, float]) -> Iterator[tuple[list[float] | None, list[str]]]:
         """Of each text the evidence of its sentences' decision values, and the worst sentence; None for texts without words.
@@ -173,14 +189,15 @@ class Machine:
 
 def train(examples: list[list[str]], labels: np.ndarray, landmarks: list[str], cost: float = 4.0, rounds: int = 25) -> Machine:
     """A linear machine in the landmarks' Nyström space, by dual coordinate descent."""
-    base = dense(landmarks)
-    roots, vectors = np.linalg.eigh(kernels(landmarks, base))
+    base = Landmarks(landmarks)
+    gram = base.kernels(landmarks)
+    roots, vectors = np.linalg.eigh((gram + gram.T) / 2)
     good = roots > 1e-6 * roots.max()
     whiten = vectors[:, good] / np.sqrt(roots[good])
     different = [list(dict.fromkeys(map(normalised, s))) for s in examples]
     words = list(dict.fromkeys(w for s in different for w in s))
     place = {w: i for i, w in enumerate(words)}
-    each = kernels(words, base)
+    each = base.kernels(words)
     kernel = np.array([each[[place[w] for w in s]].sum(axis=0) for s in different])
     x = np.hstack([kernel @ whiten, np.ones((len(examples), 1))])
     sign = np.where(labels > 0, 1.0, -1.0)
@@ -223,10 +240,10 @@ def sigmoid(evidence: np.ndarray, labels: np.ndarray) -> tuple[tuple[float, ...]
 
 def spread(words: list[str], n: int, alike: float = 0.7) -> list[str]:
     """The first ``n`` words that have features and are not too much like one before them."""
-    words = [w for w in words if features([w])[0].size]
+    words = [w for w in words if sum(c > 0 for c in classes(w)) >= 3]
     if not words:
         return []
-    near = kernels(words, dense(words))
+    near = Landmarks(words).kernels(words)
     chosen: list[int] = []
     for i in range(len(words)):
         if len(chosen) < n and (near[i, chosen] < alike).all():
@@ -243,7 +260,7 @@ def fit(
     label_col: str = "toxic",
     where: Column | None = None,
     sample_docs: int = 1_500,
-    landmarks: int = 160,
+    landmarks: int = 96,
 ) -> Machine:
     """The machine, from a bounded sample: ``sample_docs`` labelled documents of each class, the first by hash of their id.
 
@@ -280,8 +297,8 @@ def fit(
     rated = counts.withColumn("z", F.col("lift") / F.sqrt(both * (1 / totals[0] + 1 / totals[1]) / (totals[0] + totals[1]))).where("n1 >= 3 AND z >= 4")
     telling = [(r.w, r.n1 * totals[0] >= 4 * r.n0 * totals[1]) for r in rated.orderBy(F.col("z").desc(), "w").limit(4 * landmarks).collect()]
     usual = [r.w for r in counts.where("n0 >= 2").orderBy(F.xxhash64("w"), "w").limit(landmarks).collect()]
-    marks = spread([w for w, _ in telling], 3 * landmarks // 4)
-    marks = [*marks, *spread([w for w in usual if w not in marks], landmarks - len(marks))]
+    marks = spread([w for w, _ in telling], landmarks)
+    marks = [*marks, *spread([w for w in usual if w not in marks], landmarks // 8)]
     strong = frozenset(w for w, alone in telling if alone)
     if not marks:
         return Machine([], np.zeros(0), 0.0, shift=float(np.log(totals[1] / totals[0])))
