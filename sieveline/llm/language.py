@@ -45,23 +45,23 @@ def fit(
     Bounded sample: ``sample_docs`` labelled texts a language, the first by a
     hash of id and text; of each at most ``chars_per_doc`` letters, and
     ``dict_bytes`` a dictionary. Null texts and languages teach nothing;
-    repeated texts count once. No labelled row gives no dictionary.
+    repeated texts count once. No labelled row gives no dictionary. The most
+    frequent language comes first.
     """
     rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
     if where is not None:
         rows = docs.where(where).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
     rows = rows.where(F.col("l").isNotNull() & (F.length("t") >= 20)).withColumn("h", F.xxhash64("t", "l"))
-    # Only hashes are ranked; the few chosen texts are fetched afterwards.
-    chosen = (
-        rows.select("l", "h")
-        .withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h")))
-        .where(F.col("r") <= sample_docs)
-        .select("l", "h")
-        .distinct()
-    )
-    texts = rows.join(chosen, ["l", "h"], "left_semi").groupBy("l", "h").agg(F.min(F.substring("t", 1, 4 * chars_per_doc)).alias("t"))
+    # Only hashes are ranked, and only those low enough to stand a chance; the few chosen texts are fetched afterwards.
+    share = F.least(F.lit(1.0), F.lit(4.0 * sample_docs) / F.col("n"))
+    counts = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    low = rows.select("l", "h").join(counts, "l").where(F.col("h") / F.lit(2.0**63) <= 2 * share - 1).distinct()
+    chosen = low.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= sample_docs).drop("r")
+    # sample_docs pairs of language and hash for each language: a proven bound, so they are broadcast.
+    start = F.min(F.substring("t", 1, 4 * chars_per_doc)).alias("t")
+    texts = rows.join(F.broadcast(chosen), ["l", "h"], "left_semi").groupBy("l", "h").agg(start).join(counts, "l")
     found: dict[str, list[str]] = {}
-    for row in texts.orderBy("l", "h").toLocalIterator():
+    for row in texts.orderBy(F.col("n").desc(), "l", "h").collect():
         found.setdefault(row.l, []).append(normalised(row.t)[:chars_per_doc])
     out = {}
     for lang, parts in found.items():
@@ -75,7 +75,7 @@ class Classifier:
     """Sizes under each dictionary, and the decision they give."""
 
     def __init__(self, dictionaries: dict[str, bytes], level: int = 9, sharpness: float = 0.35):
-        self.langs = sorted(dictionaries)
+        self.langs = list(dictionaries)
         self.sharpness = sharpness
         self.coders = []
         for lang in self.langs:
@@ -94,7 +94,7 @@ class Classifier:
         if not letters or not self.langs:
             return UNKNOWN, 0.0, 0.0
         sizes = self.sizes(letters)
-        best, *rest = sorted(range(len(sizes)), key=lambda k: (sizes[k], self.langs[k]))
+        best, *rest = sorted(range(len(sizes)), key=sizes.__getitem__)
         score = 1 / sum(math.exp(min(0.0, self.sharpness * (sizes[best] - s))) for s in sizes)
         margin = (sizes[rest[0]] - sizes[best]) / sizes[rest[0]] if rest else 1.0
         return self.langs[best], score, margin
@@ -105,8 +105,8 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], *, text_col: str =
 
     Whole texts are encoded. A text that is null, empty or without letters is
     ``und``, has score 0 and is rejected; so is every text without dictionaries.
-    Ties between languages go to the smaller name and are rejected by their
-    score. ``accepted`` is false when the score is below ``min_score``.
+    Ties between languages go to the more frequent one and are rejected by
+    their score. ``accepted`` is false when the score is below ``min_score``.
     Columns named like a result are replaced.
     """
     results = ["lang_pred", "score", "margin", "accepted"]
