@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import chat_format, decontamination, language, mixing, page_text, secret_scan, toxicity, vector_search
+from sieveline.llm import chat_format, decontamination, language, mixing, ngram_lm, page_text, secret_scan, toxicity, vector_search
 from sieveline.llm.common import bucket_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,13 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(turns.unionByName(added), with_text=False)
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (six decimals); learns outside bucket 2 of 7."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = ngram_lm.score(docs, train=bucket_of(F.col("doc_id"), 7) != 2, strength=500.0)
+    return found.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; windows of ten words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -82,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op2_source_mix": op2_source_mix,
     "op3_secret_scan": op3_secret_scan,
     "op4_chat_format": op4_chat_format,
+    "op5_lm_score": op5_lm_score,
     "op6_decontamination": op6_decontamination,
     "op7_page_text": op7_page_text,
     "op8_vector_search": op8_vector_search,
@@ -89,6 +97,15 @@ QUERIES: dict[str, Query] = {
 }
 
 ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+#: The checksum of a document's id, bit by bit: SQL has none built in.
+CRC32 = """
+    xor(list_reduce(
+        list_prepend(4294967295::ubigint, [ord(ch)::ubigint for ch in string_split(coalesce(doc_id::varchar, ''), '')]),
+        lambda s, b: list_reduce(
+            list_prepend(xor(s, b), [0::ubigint, 0::ubigint, 0::ubigint, 0::ubigint, 0::ubigint, 0::ubigint, 0::ubigint, 0::ubigint]),
+            lambda x, _: xor(x >> 1, (x & 1) * 3988292384::ubigint))
+    ), 4294967295::ubigint)
+"""
 OP6_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {ABC}), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
 
 #: One kind's matches with their offsets, from the pieces between them.
@@ -174,6 +191,30 @@ ORACLE_SQL: dict[str, str] = {
                (3 + sum(n + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 9 WHEN 'system' THEN 11 ELSE 20 + rn END))::bigint AS formatted_chars
         FROM e GROUP BY conv_id
     """,
+    "op5_lm_score": rf"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, crc32x % 7 = 2 AS held_out,
+                   list_append(regexp_extract_all(translate(coalesce(text, ''), {ABC}), '[^\x20\x09-\x0D]+'), chr(10)) AS ws
+            FROM (SELECT *, {CRC32} AS crc32x FROM documents)
+        ),
+        t AS (SELECT r, held_out, ws[p] AS w, CASE WHEN p > 1 THEN ws[p - 1] ELSE '' END AS h FROM d, unnest(range(1, len(ws) + 1)) AS u(p)),
+        c1 AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+        c2 AS (SELECT h, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY h, w),
+        n AS (SELECT coalesce(sum(c), 0)::bigint AS n, count(*)::bigint AS v FROM c1),
+        o AS (
+            SELECT r, coalesce(a.c, 0) AS cw, coalesce(b.c, 0) AS chw, coalesce(l.c, 0) AS ch,
+                   (coalesce(a.c, 0) + 1)::double / (n + v + 1) AS p
+            FROM t CROSS JOIN n LEFT JOIN c1 a ON a.w = t.w LEFT JOIN c2 b ON b.h = t.h AND b.w = t.w
+            LEFT JOIN c1 l ON l.w = CASE WHEN t.h = '' THEN chr(10) ELSE t.h END
+        ),
+        g AS (
+            SELECT r, count(*) AS n_tokens, count(*) FILTER (WHERE cw > 0) AS n_known, fsum(log10(p)) AS base_score,
+                   fsum(CASE WHEN chw > 0 THEN log10((chw + 500.0::double * p) / (ch + 500.0::double)) ELSE log10(500.0::double / (ch + 500.0::double)) + log10(p) END) AS score
+            FROM o GROUP BY r
+        )
+        SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(base_score, 6) AS base_score, round(score, 6) AS score
+        FROM d JOIN g USING (r) CROSS JOIN n
+    """,
     "op6_decontamination": f"""
         WITH d AS (SELECT doc_id, {OP6_WORDS} AS ws FROM documents),
         i AS (SELECT coalesce(cast(item_id AS varchar), '') AS item_id, {OP6_WORDS} AS ws FROM benchmark),
