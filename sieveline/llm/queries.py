@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import chat_format, decontamination, language, mixing, ngram_lm, page_text, secret_scan, toxicity, vector_search
+from sieveline.llm import chat_format, decontamination, language, mixing, ngram_lm, page_text, secret_scan, shingle_join, toxicity, vector_search
 from sieveline.llm.common import bucket_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,11 @@ def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id; shingles of three words, Jaccard index of 0.9."""
+    return shingle_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=90)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted; learns from labels outside bucket 0 of 5."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -93,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op6_decontamination": op6_decontamination,
     "op7_page_text": op7_page_text,
     "op8_vector_search": op8_vector_search,
+    "op9_shingle_join": op9_shingle_join,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -237,4 +243,21 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
     """,
+    "op9_shingle_join": rf"""
+        WITH RECURSIVE d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {ABC}), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ),
+        s AS (
+            SELECT DISTINCT r, array_to_string(list_slice(ws, p, p + 2), ' ') AS g
+            FROM d, unnest(range(1, greatest(len(ws) - 2, least(len(ws), 1)) + 1)) AS u(p)
+        ),
+        n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+        shared AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+        link AS (
+            SELECT x, y FROM shared JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE 100 * c >= 90 * (nx.n + ny.n - c)
+        ),
+        reach AS (SELECT r AS x, r AS y FROM d UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y)
+        SELECT d.doc_id, coalesce(n.n, 0)::bigint AS n_shingles, min(e.doc_id) AS component_id
+        FROM d LEFT JOIN n USING (r) JOIN reach ON reach.x = d.r JOIN d e ON e.r = reach.y GROUP BY d.r, d.doc_id, n.n
+    """,
 }
