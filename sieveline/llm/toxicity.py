@@ -76,10 +76,10 @@ def sentences(text: str | None) -> list[list[str]]:
     """Lower-cased words of each sentence; none for null and blank texts."""
     if not text:
         return []
-    text = APART.sub(lambda m: re.sub(r"[ ._*-]", "", m[0]), text.lower())
+    text = APART.sub(lambda m: re.sub(r"[ ._*-]", "", m[0]), text.lower().replace(", ", " "))
     out = []
     for part in SENTENCE.split(text):
-        words = part.split()
+        words = part.rstrip(EDGES).split()
         out += [words[i : i + SENTENCE_WORDS] for i in range(0, len(words), SENTENCE_WORDS)]
     return out
 
@@ -154,6 +154,10 @@ class Machine:
         self.landmarks, self.weights, self.bias, self.slopes, self.shift = landmarks, weights, bias, slopes, shift
         self.base: Landmarks | None = None
 
+    def figures(self) -> tuple:
+        """What the machine is made of, to be sent to executors: ``Machine(*figures)`` is the machine again."""
+        return self.landmarks, self.weights, self.bias, self.slopes, self.shift
+
     def words(self, words: list[str]) -> np.ndarray:
         """Each word's part in a decision: its kernels with all landmarks, times the machine's coefficients."""
         if self.base is None:
@@ -334,12 +338,12 @@ def fit(
 
 def worst_sentences(sample: DataFrame, machine: Machine) -> list[tuple[list[float] | None, int, list[str]]]:
     """For each document of the sample its worst sentence, in the order of ids."""
-    shared = sample.sparkSession.sparkContext.broadcast(machine)
+    shared = sample.sparkSession.sparkContext.broadcast(machine.figures())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[str, float] = {}
+        model, memory = Machine(*shared.value), {}
         for batch in batches:
-            found = list(shared.value.worst(batch.column("t").to_pylist(), memory))
+            found = list(model.worst(batch.column("t").to_pylist(), memory))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("i"), batch.column("y"), pa.array([d for d, _ in found], pa.list_(pa.float64())), pa.array([s for _, s in found], pa.list_(pa.string()))],
                 names=["i", "y", "d", "s"],
@@ -360,14 +364,14 @@ def score(docs: DataFrame, machine: Machine, *, text_col: str = "text") -> DataF
     results = ["score", "predicted"]
     docs = docs.drop(*results)
     keep = docs.columns
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    shared = docs.sparkSession.sparkContext.broadcast(machine.figures())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[str, float] = {}
+        model, memory = Machine(*shared.value), {}
         for batch in batches:
             texts, values = batch.column(text_col).to_pylist(), []
             for i in range(0, len(texts), 500):
-                values += [shared.value.probability(d) for d, _ in shared.value.worst(texts[i : i + 500], memory)]
+                values += [model.probability(d) for d, _ in model.worst(texts[i : i + 500], memory)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(values, pa.float64()), pa.array([int(v >= 0.5) for v in values], pa.int32())], names=[*keep, *results]
             )
