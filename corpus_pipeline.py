@@ -1 +1,76 @@
-"""placeholder"""
+"""The corpus pipeline: language, near duplicates, benchmark passages, secrets, mixture.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the runner
+writes it as Parquet and reads it again for the next one. All but the last
+return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sieveline.llm import decontamination, language, mixing, secret_scan, shingle_join
+from sieveline.llm.common import table
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told; those without letters go, and those whose best languages are about equally near.
+
+    The dictionaries are learned from the documents of this stage.
+    """
+    model = language.fit(docs)
+    return language.classify(docs, model, min_score=0.45).where("accepted").select(docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that with the least id.
+
+    Documents without words or without an id are in no group and stay, as do rows that repeat a kept document's id.
+    """
+    found = shingle_join.join(docs.select("doc_id", "text")).where("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    found = decontamination.find_hits(docs, table(spark, sf_dir, "benchmark"))
+    return found.where("n_hit = 0").select(docs.columns)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with live-looking secrets replaced by their kind; n_chars follows the text."""
+    clean = secret_scan.redact(docs, secret_scan.scan(docs))
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken: the words of each document that the mix takes."""
+    return mixing.mix(docs.select("doc_id", "text", "source"))
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("near_duplicates", one_of_each),
+    ("decontamination", without_benchmark),
+    ("secrets", without_secrets),
+    ("mixture", mixture),
+]
+
+#: Compression sizes have no SQL; the stages are tested against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; every stage is written to the cluster's shared checkpoint folder and read again."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints"))
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = f"{context.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

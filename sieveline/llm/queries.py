@@ -89,6 +89,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.withColumn("held_out", held), machine).drop("text")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_source_mix": op2_source_mix,
@@ -100,6 +107,7 @@ QUERIES: dict[str, Query] = {
     "op8_vector_search": op8_vector_search,
     "op9_shingle_join": op9_shingle_join,
     "op10_toxicity": op10_toxicity,
+    "pipeline": pipeline,
 }
 
 ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
