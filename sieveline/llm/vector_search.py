@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import saved
@@ -128,7 +128,7 @@ def search(
     visit_share: float = 0.55,
     visit_least: int = 2_000,
     sample_rows: int = 16_384,
-    shard_rows: int = 8_192,
+    shard_rows: int = 4_096,
     query_rows: int = 8_192,
 ) -> DataFrame:
     """query_id, rank, vec_id and score: the ``top`` nearest found for each row whose id is divisible by ``every``.
@@ -191,7 +191,7 @@ def search(
             )
 
     def rerank(key: tuple, queries: pa.Table, entries: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
+        found: dict[int, list[dict]] = {}
         if queries.num_rows and entries.num_rows:
             own = members[key[0].as_py()]
             place = {a: i for i, a in enumerate(own)}
@@ -212,16 +212,21 @@ def search(
                     chosen = np.flatnonzero((scores >= least - 1e-9) & (scores > -np.inf))
                     # Products of one row are summed in a fixed order, so equal vectors have equal scores.
                     exact = (e[chosen] * query).sum(axis=1)
-                    for k in np.lexsort((e_ids[chosen], -exact))[:top]:
-                        for column, value in zip(out, (q_id, e_ids[chosen[k]], exact[k]), strict=True):
-                            column.append(value)
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+                    best = np.lexsort((e_ids[chosen], -exact))[:top]
+                    found[q_id] = [{"far": -exact[k], "vec_id": e_ids[chosen[k]]} for k in best]
+        shard = pa.array([key[0].as_py()] * len(found), pa.int32())
+        near = pa.array(list(found.values()), pa.list_(pa.struct([("far", pa.float64()), ("vec_id", pa.int64())])))
+        return pa.table({"query_id": pa.array(list(found), pa.int64()), "shard": shard, "near": near})
 
     shard = F.element_at(F.array(*(F.array(*map(F.lit, s)) for s in shards)), F.col("a") + 1)
     dealt = index.withColumn("own", shard).withColumn("shard", F.element_at("own", (F.pmod(F.xxhash64("id", "vector"), F.size("own")) + 1).cast("int")))
     entries = dealt.select("shard", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("block"), "id", "vector", "a", "b")
     asked = index.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vector").alias("vector"))
     queries = asked.mapInArrow(ask, "shard int, block int, id long, vector array<double>, cells binary")
-    found = queries.groupBy("shard", "block").cogroup(entries.groupBy("shard", "block")).applyInArrow(rerank, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    reply = "query_id long, shard int, near array<struct<far:double,vec_id:long>>"
+    found = queries.groupBy("shard", "block").cogroup(entries.groupBy("shard", "block")).applyInArrow(rerank, reply)
+    # One list a query and shard, merged in two steps, so that many shards stay short lists.
+    for keys in (["query_id", F.pmod("shard", F.lit(64)).alias("shard")], ["query_id"]):
+        found = found.groupBy(*keys).agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, top).alias("near"))
+    ranked = found.select("query_id", F.posexplode("near").alias("i", "x"))
+    return ranked.select("query_id", (F.col("i") + 1).alias("rank"), "x.vec_id", (-F.col("x.far")).alias("score"))
