@@ -93,7 +93,7 @@ def predict_by_set(queries: DataFrame, contexts: DataFrame, model: Model, *, vec
     kind = queries.schema["id"].dataType.simpleString()
     sets = [r[0] for r in contexts.select(set_col).distinct().orderBy(set_col).collect()]
     asked = queries.select("id", F.col(vector_col).alias("x"), F.explode(F.array(*map(F.lit, sets))).alias("k"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"))
-    given = contexts.select(F.col(set_col).alias("k"), "label", F.col(vector_col).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("b"))
+    given = contexts.select(F.col(set_col).alias("k"), "label", F.col(vector_col).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"))
 
     def run(key: tuple, q: pa.Table, c: pa.Table) -> pa.Table:
         if not q.num_rows or not c.num_rows:
