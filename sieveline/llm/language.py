@@ -22,6 +22,9 @@ UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Blocks of letters per compression, so that a long text's own history can't hide the dictionary.
 BLOCK = 1_000
+#: Short texts, up to so many bytes, are encoded with more effort and behind a run that is no language's: else the
+#: library stores them as they are, at the same size under every dictionary.
+SHORT, RUN = 200, b"a" * 200
 
 
 def normalised(text: str | None) -> str:
@@ -52,16 +55,19 @@ def fit(
     if where is not None:
         rows = docs.where(where).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
     rows = rows.where(F.col("l").isNotNull() & (F.length("t") >= 20)).withColumn("h", F.xxhash64("t", "l"))
+    # One number a language; the dictionaries that follow from them take far more of the driver.
+    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return {}
     # Only hashes are ranked, and only those low enough to stand a chance; the few chosen texts are fetched afterwards.
-    share = F.least(F.lit(1.0), F.lit(4.0 * sample_docs) / F.col("n"))
-    counts = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
-    low = rows.select("l", "h").join(counts, "l").where(F.col("h") / F.lit(2.0**63) <= 2 * share - 1).distinct()
+    bounds = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(2**63 * (2 * min(1.0, 4.0 * sample_docs / n) - 1)) - 1)))
+    low = rows.select("l", "h").where(F.col("h") <= F.element_at(bounds, F.col("l"))).distinct()
     chosen = low.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= sample_docs).drop("r")
     # sample_docs pairs of language and hash for each language: a proven bound, so they are broadcast.
     start = F.min(F.substring("t", 1, 4 * chars_per_doc)).alias("t")
-    texts = rows.join(F.broadcast(chosen), ["l", "h"], "left_semi").groupBy("l", "h").agg(start).join(counts, "l")
+    texts = rows.join(F.broadcast(chosen), ["l", "h"], "left_semi").groupBy("l", "h").agg(start)
     found: dict[str, list[str]] = {}
-    for row in texts.orderBy(F.col("n").desc(), "l", "h").collect():
+    for row in sorted(texts.collect(), key=lambda r: (-counts[r.l], r.l, r.h)):
         found.setdefault(row.l, []).append(normalised(row.t)[:chars_per_doc])
     out = {}
     for lang, parts in found.items():
@@ -74,17 +80,21 @@ def fit(
 class Classifier:
     """Sizes under each dictionary, and the decision they give."""
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int = 9, sharpness: float = 0.35):
+    def __init__(self, dictionaries: dict[str, bytes], level: int = 9, short_level: int = 12, sharpness: float = 0.35):
         self.langs = list(dictionaries)
         self.sharpness = sharpness
-        self.coders = []
-        for lang in self.langs:
-            d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            self.coders.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+        self.coders, self.short_coders = ([self.coder(d, at) for d in dictionaries.values()] for at in (level, short_level))
+
+    @staticmethod
+    def coder(content: bytes, level: int):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=level)
+        return zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
     def sizes(self, letters: str) -> list[int]:
         raw = letters.encode()
+        if len(raw) <= SHORT:
+            return [len(code(RUN + raw)) for code in self.short_coders]
         parts = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
         return [sum(len(code(p)) for p in parts) for code in self.coders]
 
