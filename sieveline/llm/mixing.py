@@ -44,9 +44,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int) -> Dat
     level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (
         F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     ).cast("double")
-    ranked = ranked.withColumn("level", level).withColumn("fits", F.col("level") <= F.col("cap") / F.col("weight"))
-    first = F.min(F.when(F.col("fits"), F.col("level"))).over(everything)
-    ranked = ranked.withColumn("target", F.least(F.col("cap").cast("double"), first * F.col("weight")))
+    ranked = ranked.withColumn("level", level).withColumn("i", F.row_number().over(fill))
+    fits = F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.struct("i", "level"))
+    right = F.min(fits).over(everything)["level"]
+    ranked = ranked.withColumn("target", F.least(F.col("cap").cast("double"), right * F.col("weight")))
     ranked = ranked.withColumn("quota", F.floor(F.col("target") + 0.5).cast("long"))
     total = F.sum("target").over(everything)
     upto = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)

@@ -150,7 +150,7 @@ ORACLE_SQL: dict[str, str] = {
         ),
         t AS (
             SELECT source, source_size,
-                   least(cap::double, (SELECT min(level) FROM f WHERE level <= cap / weight) * weight) AS target FROM f
+                   least(cap::double, (SELECT level FROM f WHERE level <= cap / weight ORDER BY i LIMIT 1) * weight) AS target FROM f
         ),
         p AS (
             SELECT d.*, source_size, target, floor(target + 0.5)::bigint AS quota, coalesce(sum(size) OVER (
