@@ -87,9 +87,9 @@ def lines_of(source: str | None) -> list[tuple[str, int]]:
         if tag in INLINE:
             if tag == "br":
                 parts.append(" ")
-            elif closing or not hides(tag, m[3]):
-                if not closing or not any(t == tag for t, _ in stack):
-                    continue
+            # A hidden inline element is a block of its own, from its start to its end.
+            if not hides(tag, m[3]) if not closing else all(t != tag for t, _ in stack):
+                continue
         end_block()
         if closing:
             for depth in range(len(stack) - 1, -1, -1):
