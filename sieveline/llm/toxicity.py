@@ -134,6 +134,8 @@ class Landmarks:
     def kernels(self, words: list[str]) -> np.ndarray:
         """Kernels of words (rows) with the landmarks (columns)."""
         out, width = np.zeros((len(words), self.rows.shape[1])), len(self.rows)
+        if not out.size or not width:
+            return out
         for i in range(0, len(words), 2_000):
             row, at, value = triples(words[i : i + 2_000], self.place)
             # Words that share too little with all landmarks together are unlike each of them.

@@ -47,11 +47,10 @@ def lloyd(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(rows: DataFrame, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Codebooks of both halves, from the ``sample_rows`` rows with the smallest hash of their id (the documented bound)."""
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("vector").toPandas()["vector"]
-    lengths = sample.map(len)
-    dim = int(lengths.mode().iloc[0]) if len(sample) else 0
-    points = np.array([v for v in sample if len(v) == dim], dtype=float).reshape(-1, dim)
-    if not len(points):
+    if not len(sample):
         return np.zeros((0, 0)), np.zeros((0, 0))
+    dim = int(sample.map(len).mode().iloc[0])
+    points = np.array([v for v in sample if len(v) == dim], dtype=float)
     return lloyd(points[:, : dim // 2], CENTROIDS), lloyd(points[:, dim // 2 :], CENTROIDS)
 
 
@@ -72,7 +71,7 @@ def encoded(rows: DataFrame, books: tuple[np.ndarray, np.ndarray]) -> DataFrame:
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
 def visited(scores_a: np.ndarray, scores_b: np.ndarray, counts: np.ndarray, enough: int) -> list[int]:
