@@ -74,9 +74,9 @@ def loaded(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     codes = encoding.fit(rows.where("split = 'train'"), texts) if texts else None
     rows = encoding.apply(rows, codes, texts) if texts else rows
     rows = imputed(rows.select("id", "split", "label", *(F.col(c).cast("double").alias(c) for c in names)), names)
-    span = rows.where("split = 'train'").agg(*(f(c).alias(f"{n}{i}") for i, c in enumerate(names) for f, n in ((F.min, "lo"), (F.max, "hi"))))
-    scaled = [(F.col(c) - F.col(f"lo{i}")) / (F.col(f"hi{i}") - F.col(f"lo{i}") + 1e-8) for i, c in enumerate(names)]
-    return rows.join(F.broadcast(span)).select("id", "split", "label", F.array(*scaled).alias("x"))
+    span = rows.where("split = 'train'").agg(*(F.coalesce(f(c), F.lit(0.0)) for c in names for f in (F.min, F.max))).collect()[0]
+    scaled = [(F.col(c) - span[2 * i]) / (span[2 * i + 1] - span[2 * i] + 1e-8) for i, c in enumerate(names)]
+    return rows.select("id", "split", "label", F.array(*scaled).alias("x"))
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -27,9 +27,9 @@ def scored(predictions: DataFrame, labels: DataFrame) -> DataFrame:
 def steps(rows: DataFrame) -> DataFrame:
     """s, np, n, tp, pp: at each score its positives and rows, and those at it or above; with totals tot_p and tot_n."""
     grouped = rows.groupBy(F.col("s").cast("double").alias("s")).agg(F.sum("y").cast("long").alias("np"), F.count(F.lit(1)).alias("n"))
-    total = grouped.agg(F.sum("np").alias("tot_p"), F.sum("n").alias("tot_n"))
+    total = grouped.agg(F.coalesce(F.sum("np"), F.lit(0)).alias("p"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0]
     curve = running(grouped, "s", ["np", "n"]).withColumnsRenamed({"run_np": "tp", "run_n": "pp"})
-    return curve.join(F.broadcast(total))
+    return curve.withColumns({"tot_p": F.lit(total.p).cast("long"), "tot_n": F.lit(total.n).cast("long")})
 
 
 def areas(curve: DataFrame) -> DataFrame:

@@ -44,8 +44,10 @@ def neighbourhood(rows: DataFrame, k: int = 15) -> DataFrame:
     of = rows.select(F.col("id").alias("nid"), (F.col("mu") > 0.5).cast("double").alias("up"))
     raw = near.join(of, "nid").groupBy("id").agg(F.avg("up").alias("agreement"), (F.lit(1.0) / (F.avg("dist") + 1e-8)).alias("raw"))
     raw = saved(raw)
-    span = raw.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"))
-    return raw.join(F.broadcast(span)).select("id", "agreement", ((F.col("raw") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-8)).alias("density"))
+    span = raw.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).collect()[0]
+    if span.lo is None:
+        return raw.select("id", "agreement", F.col("raw").alias("density"))
+    return raw.select("id", "agreement", ((F.col("raw") - span.lo) / (span.hi - span.lo + 1e-8)).alias("density"))
 
 
 def scores(predictions: DataFrame, options: Scoring | None = None) -> DataFrame:

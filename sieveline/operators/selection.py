@@ -55,10 +55,11 @@ def by_information(pool: DataFrame, n: int, seed: int = 42, alpha: float = 0.25)
 def by_boundary(pool: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """0.6 of the mean plus 0.4 of the variance, each stretched from its least to its greatest."""
     rows = pool.withColumns({"m": mean_of(F.col("v")), "var": variance_of(F.col("v"))})
-    span = rows.agg(F.min("m").alias("m0"), F.max("m").alias("m1"), F.min("var").alias("v0"), F.max("var").alias("v1"))
-    rows = rows.join(F.broadcast(span))
-    mean = (F.col("m") - F.col("m0")) / (F.col("m1") - F.col("m0") + 1e-10)
-    var = (F.col("var") - F.col("v0")) / (F.col("v1") - F.col("v0") + 1e-10)
+    span = rows.agg(F.min("m").alias("m0"), F.max("m").alias("m1"), F.min("var").alias("v0"), F.max("var").alias("v1")).collect()[0]
+    if span.m0 is None:
+        return top(rows, F.col("m"), n)
+    mean = (F.col("m") - span.m0) / (span.m1 - span.m0 + 1e-10)
+    var = (F.col("var") - span.v0) / (span.v1 - span.v0 + 1e-10)
     return top(rows, 0.6 * mean + 0.4 * var, n)
 
 
