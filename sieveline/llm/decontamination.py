@@ -60,17 +60,23 @@ class Matcher:
         return [(end + 1 - n, end + 1, owners) for end, (n, owners) in self.automaton.iter(line)]
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, str]]]:
-    """The items, in blocks of bounded size; the driver holds one at a time."""
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int, width: int) -> Iterator[list[tuple[str, str]]]:
+    """The items, in blocks of bounded size; the driver holds one at a time.
+
+    An item longer than a block is cut into pieces that overlap by all but one word of a window.
+    """
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t"))
     block, size = [], 0
     for row in rows.where("t is not null").orderBy("i", "t").toLocalIterator():
-        n = len(row.t.encode().translate(ALNUM).split())
-        if block and size + n > block_words:
-            yield block
-            block, size = [], 0
-        block.append((row.i, row.t))
-        size += n
+        words = row.t.encode("utf-8", "replace").translate(ALNUM).split()
+        step = max(block_words, width)
+        for start in range(0, max(1, len(words) - width + 1), step):
+            piece = words[start : start + step + width - 1]
+            if block and size + len(piece) > block_words:
+                yield block
+                block, size = [], 0
+            block.append((row.i, b" ".join(piece).decode()))
+            size += len(piece)
     yield block
 
 
@@ -94,7 +100,7 @@ def find_hits(
     """
     results = ("n_words", "n_hit", "items", "spans")
     docs = docs.drop(*results)
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark, item_id_col, item_text_col, block_words)]
+    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark, item_id_col, item_text_col, block_words, width)]
     keep = docs.columns
     schema = widened(docs, "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
     added = pa.schema(
