@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import sys
-
 import numpy as np
 import zstandard
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Executors get this package's functions by value, so that a cluster needs no copy of it.
-cloudpickle.register_pickle_by_value(sys.modules["sieveline"])
-
 #: Upper to lower case, ASCII only; bytes of other letters stay.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: The same, and every character that no alphanumeric word holds becomes a space.
