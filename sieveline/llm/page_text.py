@@ -113,14 +113,21 @@ def lines_of(source: str | None) -> list[tuple[str, int]]:
 
 
 def shared_lines(mine: list[str], other: list[str]) -> set[int]:
-    """Indices of ``mine`` in a longest common subsequence with ``other`` (Hunt and Szymanski's method)."""
+    """Indices of ``mine`` in a longest common subsequence with ``other`` (Hunt and Szymanski's method between equal ends)."""
+    head, least = 0, min(len(mine), len(other))
+    while head < least and mine[head] == other[head]:
+        head += 1
+    tail = 0
+    while tail < least - head and mine[-1 - tail] == other[-1 - tail]:
+        tail += 1
+    found = {*range(head), *range(len(mine) - tail, len(mine))}
     places: dict[str, list[int]] = {}
-    for j, line in enumerate(other):
-        places.setdefault(line, []).append(j)
+    for j in range(head, len(other) - tail):
+        places.setdefault(other[j], []).append(j)
     ends: list[int] = []  # the least end, in other, of a common run of each length
     links: list[tuple] = []
-    for i, line in enumerate(mine):
-        for j in reversed(places.get(line, ())):
+    for i in range(head, len(mine) - tail):
+        for j in reversed(places.get(mine[i], ())):
             k = bisect.bisect_left(ends, j)
             link = (i, links[k - 1] if k else None)
             if k == len(ends):
@@ -128,7 +135,7 @@ def shared_lines(mine: list[str], other: list[str]) -> set[int]:
                 links.append(link)
             else:
                 ends[k], links[k] = j, link
-    found, link = set(), links[-1] if links else None
+    link = links[-1] if links else None
     while link:
         found.add(link[0])
         link = link[1]
