@@ -92,8 +92,11 @@ def main(argv: list[str] | None = None) -> None:
         return
     rows = loaded(spark, a)
     if a.command == "baseline":
-        found = experiments.baseline(rows, a.target_size, a.n_runs, a.seed)
-        sinks.write_table(found, f"{output}/metrics", "csv", one_file=True)
+        found, best = experiments.random_baseline(rows, a.target_size, a.n_runs, a.seed)
+        for short, split in (("val", "validation"), ("test", "test")):
+            sinks.write_table(found.where(F.col("split") == split).drop("split"), f"{output}/{short}_metrics", "csv", one_file=True)
+        if best is not None:
+            sinks.write_context(best, f"{output}/best_support_set")
         sinks.write_table(experiments.overall(found), f"{output}/summary", "csv", one_file=True)
         sinks.write_manifest(spark, f"{output}/artifact_manifest", vars(a))
         return
@@ -102,7 +105,7 @@ def main(argv: list[str] | None = None) -> None:
     if a.command == "score":
         found = experiments.joint_scores(rows, run)
         sinks.write_scores(found, f"{output}/reliability_scores_all", by=("split",))
-        wide = found.select("id", "split", *(F.col("v")[k].alias(f"p_probe_{k}") for k in range(a.K)))
+        wide = found.select("id", "split", *(F.col("v")[k].alias(f"p_fraud_probe_{k}") for k in range(a.K)))
         sinks.write_table(wide, f"{output}/prediction_vectors")
         sinks.write_manifest(spark, f"{output}/artifact_manifest", vars(a))
     elif a.command == "ablation":

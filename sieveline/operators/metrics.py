@@ -81,7 +81,11 @@ def evaluate(rows: DataFrame, threshold: float | None = None) -> dict[str, float
     return {"roc_auc": area.roc_auc, "pr_auc": area.pr_auc, "f1": point.f1, "precision": point.precision, "recall": point.recall, "threshold": at, "n_predicted": point.n_predicted}
 
 
-def summary(results: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    """Mean and sample deviation of each metric; the deviation of a single run counts as 0."""
-    aggregates = [f(m).alias(f"{m}_{n}") for m in metrics for f, n in ((F.avg, "mean"), (lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0)), "std"))]
-    return results.groupBy(*keys).agg(*aggregates)
+#: The columns of metric files, as DDL.
+REPORT = "roc_auc double, pr_auc double, f1 double, optimal_threshold double, n_predicted_bogus long"
+
+
+def report(rows: DataFrame) -> dict[str, float]:
+    """The five figures of metric files; the threshold is always fitted on the rows themselves."""
+    found = evaluate(rows)
+    return {k: found[k] for k in ("roc_auc", "pr_auc", "f1")} | {"optimal_threshold": found["threshold"], "n_predicted_bogus": found["n_predicted"]}

@@ -47,6 +47,12 @@ class Construction:
         found = predict.predict(rows, context.withColumn("k", F.lit(0)), self.model)
         return metrics.evaluate(saved(metrics.scored(found, rows)), threshold)
 
+    def report(self, context: DataFrame, split: str = "validation") -> dict[str, float]:
+        """The figures of metric files for a context set on a split."""
+        rows = self.rows.where(F.col("split") == split)
+        found = predict.predict(rows, context.withColumn("k", F.lit(0)), self.model)
+        return metrics.report(saved(metrics.scored(found, rows)))
+
     def run(self, output: str | None = None) -> Result:
         """Rounds until the metric gains less than ``convergence`` on the round before; scores and sets are written if asked for."""
         o = self.run_options
@@ -58,7 +64,7 @@ class Construction:
         best, best_metric, history = None, 0.0, []
         for number in range(1, o.rounds + 1):
             context = saved(selection.context_set(self.train, pool, n_negative, o.strategy, o.seed + number, n_positive))
-            found = self.evaluate(context)
+            found = self.report(context)
             history.append(found | {"iteration": number} | {f"n_{c}": counts.get(c, 0) for c in ("reliable", "uncertain", "suspect")})
             metric = found["pr_auc"] or 0.0
             if metric > best_metric:
@@ -76,7 +82,7 @@ class Construction:
 
     def final(self, context: DataFrame, output: str | None = None) -> dict[str, float]:
         """Metrics on the test split, the threshold fitted there too."""
-        found = self.evaluate(context, "test")
+        found = self.report(context, "test")
         if output:
             sinks.write_table(self.rows.sparkSession.createDataFrame([found]), f"{output}/test_metrics", "csv", one_file=True)
         return found

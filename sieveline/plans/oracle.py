@@ -137,6 +137,21 @@ def measured(keys: str) -> str:
 """
 
 
+def reported(keys: str) -> str:
+    """From pred(keys, id, p): the figures of metric files by keys and split, the threshold of each fitted on itself."""
+    return f"""
+    d AS (SELECT {keys}, split, round(1 - p, 12) AS s, CASE WHEN label = 0 THEN 1 ELSE 0 END AS y FROM pred JOIN emb USING (id)),
+    {steps(keys + ', split')},
+    area AS (SELECT {keys}, split, {AP} AS pr_auc, {AUC} AS roc_auc FROM c GROUP BY ALL),
+    best AS (SELECT {keys}, split, s AS optimal_threshold FROM c QUALIFY row_number() OVER (PARTITION BY {keys}, split ORDER BY {F1} DESC, s) = 1),
+    point AS (SELECT {keys}, split, optimal_threshold, count(*) FILTER (WHERE s >= optimal_threshold AND y = 1)::double AS tp,
+                     count(*) FILTER (WHERE s >= optimal_threshold AND y = 0) AS fp, count(*) FILTER (WHERE s < optimal_threshold AND y = 1) AS fn
+              FROM d JOIN best USING ({keys}, split) GROUP BY ALL),
+    rep AS (SELECT {keys}, split, roc_auc, pr_auc, 2 * tp / (2 * tp + fp + fn) AS f1, optimal_threshold, (tp + fp)::bigint AS n_predicted_bogus
+            FROM point JOIN area USING ({keys}, split))
+"""
+
+
 VALUES = [f"{s}_{m}" for s in ("val", "test") for m in ("roc_auc", "pr_auc", "f1", "precision", "recall")]
 EVAL = "q AS (SELECT * FROM emb WHERE split <> 'train')"
 BASELINE_CONTEXT = """
@@ -145,7 +160,7 @@ BASELINE_CONTEXT = """
 """
 BASELINE = f"""WITH {EMB}, {BASELINE_CONTEXT.format(runs=3, n=100)}, ctx AS (
     SELECT * FROM drawn UNION ALL SELECT run, id, label, x FROM emb, range(3) t(run) WHERE split = 'train' AND label = 0),
-    {EVAL}, pred AS ({vote('q', 'ctx', 'run')}), {measured('run')}"""
+    {EVAL}, pred AS ({vote('q', 'ctx', 'run')}), {reported('run')}, val AS (SELECT * FROM rep WHERE split = 'validation')"""
 
 
 def ablation() -> str:
@@ -234,15 +249,17 @@ ORACLE_SQL: dict[str, str] = {
         SELECT round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, (tp + fp)::bigint AS n_predicted FROM k""",
     "metrics_val_to_test": f"""WITH {probes_sql(1)}, {EVAL}, pred AS ({vote('q')}), {measured('k')}
         SELECT split, {six(['roc_auc', 'pr_auc', 'f1', 'precision', 'recall', 'threshold'])}, (tp + fp)::bigint AS n_predicted FROM e""",
-    "baseline_runs": f"{BASELINE} SELECT 200::bigint AS target_size, 'baseline' AS method, run, {six([*VALUES, 'threshold'])} FROM res",
-    "baseline_summary": f"""{BASELINE} SELECT {', '.join(f'round(avg({c}), 6) AS {c}_mean, round(coalesce(stddev_samp({c}), 0), 6) AS {c}_std' for c in [f'{s}_{m}' for s in ('val', 'test') for m in ('roc_auc', 'pr_auc', 'f1', 'recall')])} FROM res""",
+    "baseline_runs": f"{BASELINE} SELECT run + 1 AS run, split, {six(['roc_auc', 'pr_auc', 'f1', 'optimal_threshold'])}, n_predicted_bogus FROM rep",
+    "baseline_best_set": f"{BASELINE} SELECT id, label FROM ctx WHERE run = (SELECT run FROM val ORDER BY pr_auc DESC, run LIMIT 1)",
+    "baseline_summary": f"""{BASELINE} SELECT {', '.join(f"round(avg({m}) FILTER (WHERE split = '{s}'), 6) AS {n}_{m}_mean" for n, s in (('val', 'validation'), ('test', 'test')) for m in ('pr_auc', 'roc_auc', 'f1'))},
+        {', '.join(f"round(stddev_samp(pr_auc) FILTER (WHERE split = '{s}'), 6) AS {n}_pr_auc_std" for n, s in (('val', 'validation'), ('test', 'test')))} FROM rep""",
     "ablation_results": f"{ablation()} SELECT target_size::bigint AS target_size, method, run::bigint AS run, {six([*VALUES, 'threshold'])} FROM named",
     "ablation_summary": f"""{ablation()} SELECT target_size::bigint AS target_size, method, {', '.join(f'round(avg({c}), 6) AS {c}_mean' for c in VALUES)},
         {', '.join(f'round(coalesce(stddev_samp({s}_pr_auc), 0), 6) AS {s}_pr_auc_std' for s in ('val', 'test'))} FROM named GROUP BY target_size, method""",
-    "convergence_lag": f"""{BASELINE}, h AS (SELECT run AS iteration, round(val_pr_auc, 10) AS metric, lag(round(val_pr_auc, 10)) OVER (ORDER BY run) AS previous FROM res)
+    "convergence_lag": f"""{BASELINE}, h AS (SELECT run + 1 AS iteration, round(pr_auc, 10) AS metric, lag(round(pr_auc, 10)) OVER (ORDER BY run) AS previous FROM val)
         SELECT iteration, round(metric, 6) AS metric, round(previous, 6) AS previous, round(metric - previous, 6) AS gain, coalesce(metric - previous < 0.005, false) AS stops FROM h""",
-    "best_run": f"{BASELINE} SELECT run AS iteration, round(round(val_pr_auc, 10), 6) AS metric FROM res WHERE val_pr_auc > 0 ORDER BY round(val_pr_auc, 10) DESC, run LIMIT 1",
-    "prediction_vectors_wide": f"WITH {predicted(NOISY)}, {MOMENTS} SELECT id, {', '.join(f'round(v[{k + 1}], 6) AS p_probe_{k}' for k in range(5))} FROM mom",
+    "best_run": f"{BASELINE} SELECT run + 1 AS iteration, round(round(pr_auc, 10), 6) AS metric FROM val WHERE pr_auc > 0 ORDER BY round(pr_auc, 10) DESC, run LIMIT 1",
+    "prediction_vectors_wide": f"WITH {predicted(NOISY)}, {MOMENTS} SELECT id, {', '.join(f'round(v[{k + 1}], 6) AS p_fraud_probe_{k}' for k in range(5))} FROM mom",
     "flops_table": f"""{FLOPS} SELECT * EXCLUDE (n_query), round(fit_flops / n_query, 6) AS fit_amortized_per_query,
         round(per_query_flops / first(per_query_flops) OVER (ORDER BY target_size), 6) AS per_query_vs_smallest,
         round(single_query_uncached_flops / first(single_query_uncached_flops) OVER (ORDER BY target_size), 6) AS single_query_uncached_vs_smallest,

@@ -256,12 +256,16 @@ VALUES = tuple(f"{s}_{m}" for s in ("val", "test") for m in experiments.METRICS)
 
 
 def baseline(spark: SparkSession, d: str) -> DataFrame:
-    return experiments.baseline(tables.vectors(spark, d), SIZES[0], RUNS, SEED)
+    return experiments.random_baseline(tables.vectors(spark, d), SIZES[0], RUNS, SEED)[0]
 
 
 def baseline_runs(spark: SparkSession, d: str) -> DataFrame:
     found = baseline(spark, d).withColumn("run", F.col("run").cast("long"))
-    return rounded(found, *VALUES, "threshold")
+    return rounded(found, "roc_auc", "pr_auc", "f1", "optimal_threshold")
+
+
+def baseline_best_set(spark: SparkSession, d: str) -> DataFrame:
+    return experiments.random_baseline(tables.vectors(spark, d), SIZES[0], RUNS, SEED)[1].select("id", "label")
 
 
 def baseline_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -286,7 +290,7 @@ def ablation_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def history(spark: SparkSession, d: str) -> DataFrame:
-    rows = baseline(spark, d).select(F.col("run").cast("long").alias("iteration"), F.round("val_pr_auc", 10).alias("metric"))
+    rows = baseline(spark, d).where("split = 'validation'").select(F.col("run").cast("long").alias("iteration"), F.round("pr_auc", 10).alias("metric"))
     return experiments.progress(rows, "iteration", "metric")
 
 
@@ -338,7 +342,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         probe_sets, probe_predict, single_support_predict, mu_sigma_entropy, knn15, agreement, density, reliability_score,
         percentile_thresholds, classify_percentile, classify_fixed, joint_scoring, split_class_counts, impute_median, l2_normalize, cosine_pairs,
         neg_hybrid, pos_diversity, lloyd_medoids, support_set, boundary_top, roc_auc, average_precision, pr_curve, best_f1_threshold,
-        hard_prediction, metrics_val_to_test, baseline_runs, baseline_summary, ablation_results, ablation_summary, convergence_lag, best_run,
+        hard_prediction, metrics_val_to_test, baseline_runs, baseline_best_set, baseline_summary, ablation_results, ablation_summary, convergence_lag, best_run,
         prediction_vectors_wide, flops_table, flops_linear_coeffs, chunk_estimate, construction_history, manifest_json,
     )
 } | {f"neg_{s}": chosen(s) for s in ("random", "reliable", "informed", "boundary", "kmeans")}

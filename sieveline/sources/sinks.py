@@ -38,10 +38,10 @@ def write_context(context: DataFrame, path: str, form: str = "parquet", by: tupl
 
 
 def wide_predictions(predictions: DataFrame, probes: int) -> DataFrame:
-    """One row an id with a column p_probe_k for each probe; the probes are named, so no pass is spent on finding them."""
+    """One row an id with a column p_fraud_probe_k for each probe; the probes are named, so no pass is spent on finding them."""
     keys = [c for c in ("id", "split") if c in predictions.columns]
     wide = predictions.groupBy(*keys).pivot("k", list(range(probes))).agg(F.first("p"))
-    return wide.select(*keys, *(F.col(str(k)).alias(f"p_probe_{k}") for k in range(probes)))
+    return wide.select(*keys, *(F.col(str(k)).alias(f"p_fraud_probe_{k}") for k in range(probes)))
 
 
 def manifest_row(df: DataFrame, **fields) -> DataFrame:

@@ -139,7 +139,7 @@ def test_splits_from_files(spark, tmp_path):
 def test_names_and_wide_vectors(spark):
     assert sinks.run_dir("exp", "cost").startswith("exp/2") and sinks.run_dir("exp", "score", "s1").endswith("_score_s1")
     rows = spark.createDataFrame([(1, 0, 0.25), (1, 1, 0.75)], "id long, k int, p double")
-    assert sinks.wide_predictions(rows, 2).collect()[0].asDict() == {"id": 1, "p_probe_0": 0.25, "p_probe_1": 0.75}
+    assert sinks.wide_predictions(rows, 2).collect()[0].asDict() == {"id": 1, "p_fraud_probe_0": 0.25, "p_fraud_probe_1": 0.75}
 
 
 def test_streamed_rows_are_scored(spark, tmp_path):
