@@ -47,20 +47,20 @@ def exact(df: DataFrame, column: str, shares: list[float]) -> list[float | None]
     return out
 
 
-def running(df: DataFrame, by: str, sums: list[str], parts: int = 64) -> DataFrame:
-    """The rows with ``run_<c>`` for each c of ``sums``: its sum over rows with ``by`` as large or larger.
+def running(df: DataFrame, by: str, sums: list[str], keys: list[str], parts: int = 64) -> DataFrame:
+    """The rows with ``run_<c>`` for each c of ``sums``: its sum over its group's rows with ``by`` as large or larger.
 
     Rows fall into ranges of ``by``; a range's offset is the sum of the ranges
-    above it, and only rows of one range are sorted together. ``by`` must be
-    different in each row.
+    above it, and only rows of one group and range are sorted together. ``by``
+    must be different in each row of a group (of equal ``keys``).
     """
     cuts = df.agg(F.percentile_approx(by, [i / parts for i in range(1, parts)], 10 * parts).alias("q")).collect()[0].q or []
     cuts = sorted(set(cuts))
     place: Column = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: F.col(by) >= c)) if cuts else F.lit(0)
     rows = df.withColumn("_part", place)
-    above = Window.orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("_part").agg(*(F.sum(c).alias(f"_{c}") for c in sums))  # at most ``parts`` rows
-    offsets = totals.select("_part", *(F.coalesce(F.sum(f"_{c}").over(above), F.lit(0)).alias(f"_off_{c}") for c in sums))
-    inside = Window.partitionBy("_part").orderBy(F.col(by).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({f"_in_{c}": F.sum(c).over(inside) for c in sums}).join(F.broadcast(offsets), "_part")
+    above = Window.partitionBy(*keys).orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, "_part").agg(*(F.sum(c).alias(f"_{c}") for c in sums))  # at most ``parts`` rows a group
+    offsets = totals.select(*keys, "_part", *(F.coalesce(F.sum(f"_{c}").over(above), F.lit(0)).alias(f"_off_{c}") for c in sums))
+    inside = Window.partitionBy(*keys, "_part").orderBy(F.col(by).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_in_{c}": F.sum(c).over(inside) for c in sums}).join(offsets, [*keys, "_part"])
     return rows.select(*df.columns, *((F.col(f"_in_{c}") + F.col(f"_off_{c}")).alias(f"run_{c}") for c in sums))

@@ -24,67 +24,83 @@ def scored(predictions: DataFrame, labels: DataFrame) -> DataFrame:
     return predictions.join(labels.select("id", "label"), "id").select("id", (1 - F.col("p")).alias("s"), target(F.col("label")).alias("y"))
 
 
-def steps(rows: DataFrame) -> DataFrame:
-    """s, np, n, tp, pp: at each score its positives and rows, and those at it or above; with totals tot_p and tot_n."""
-    grouped = rows.groupBy(F.col("s").cast("double").alias("s")).agg(F.sum("y").cast("long").alias("np"), F.count(F.lit(1)).alias("n"))
-    total = grouped.agg(F.coalesce(F.sum("np"), F.lit(0)).alias("p"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0]
-    curve = running(grouped, "s", ["np", "n"]).withColumnsRenamed({"run_np": "tp", "run_n": "pp"})
-    return curve.withColumns({"tot_p": F.lit(total.p).cast("long"), "tot_n": F.lit(total.n).cast("long")})
+def steps(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, s, np, n, tp, pp: at each score its positives and rows, and those at it or above; with totals tot_p and tot_n.
 
+    Without keys all rows are one group, 0 in the column ``all``.
+    """
+    rows, keys = (rows, keys) if keys else (rows.withColumn("all", F.lit(0)), ["all"])
+    grouped = rows.groupBy(*keys, F.col("s").cast("double").alias("s")).agg(F.sum("y").cast("long").alias("np"), F.count(F.lit(1)).alias("n"))
+    total = grouped.groupBy(*keys).agg(F.sum("np").alias("tot_p"), F.sum("n").alias("tot_n"))
+    curve = running(grouped, "s", ["np", "n"], keys).withColumnsRenamed({"run_np": "tp", "run_n": "pp"})
+    return curve.join(total, keys)
 
-def areas(curve: DataFrame) -> DataFrame:
-    """One row: pr_auc (average precision, ties grouped) and roc_auc (ties count half); null without both classes."""
-    share = F.col("np").cast("double") / F.col("tot_p") * F.col("tp") / F.col("pp")
+
+def areas(curve: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, pr_auc (average precision, ties grouped) and roc_auc (ties count half); null without both classes."""
+    share = F.try_divide(F.col("np").cast("double"), F.col("tot_p")) * F.col("tp") / F.col("pp")
     wins = (F.col("n") - F.col("np")) * (F.col("tp") - F.col("np")) + 0.5 * F.col("np") * (F.col("n") - F.col("np"))
     pairs = F.max(F.col("tot_p") * (F.col("tot_n") - F.col("tot_p")))
-    return curve.where("tot_p > 0").agg(F.sum(share).alias("pr_auc"), F.try_divide(F.sum(wins), pairs).alias("roc_auc"))
+    return curve.groupBy(*keys).agg(F.sum(share).alias("pr_auc"), F.try_divide(F.sum(wins), pairs).alias("roc_auc"))
 
 
-def pr_curve(curve: DataFrame) -> DataFrame:
-    """threshold, precision and recall at each score, and the closing point (1, 0) without a threshold."""
-    points = curve.select(F.col("s").alias("threshold"), (F.col("tp") / F.col("pp")).alias("precision"), F.try_divide(F.col("tp"), F.col("tot_p")).alias("recall"))
-    end = curve.limit(1).select(F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+def pr_curve(curve: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, threshold, precision and recall at each score, and the closing point (1, 0) without a threshold."""
+    points = curve.select(*keys, F.col("s").alias("threshold"), (F.col("tp") / F.col("pp")).alias("precision"), F.try_divide(F.col("tp"), F.col("tot_p")).alias("recall"))
+    end = curve.select(*keys).distinct().select(*keys, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
     return points.unionByName(end)
 
 
-def best_threshold(curve: DataFrame) -> DataFrame:
-    """One row: the lowest score with the best F1 (1e-8 in its denominator), and that F1; 0.5 if no F1 is above 0."""
-    p, r = F.col("tp") / F.col("pp"), F.col("tp") / F.col("tot_p")
-    f1 = F.when(F.col("tot_p") > 0, F.round(2 * p * r / (p + r + 1e-8), 12)).otherwise(0.0)
-    best = curve.select("s", f1.alias("f1")).agg(F.max(F.struct(F.col("f1"), (-F.col("s")).alias("low"))).alias("b"))
-    none = F.coalesce(F.col("b.f1"), F.lit(0.0)) <= 0
-    return best.select(F.when(none, 0.5).otherwise(-F.col("b.low")).alias("threshold"), F.coalesce("b.f1", F.lit(0.0)).alias("best_f1"))
+def best_thresholds(curve: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, the lowest score with the best F1 (1e-8 in its denominator), and that F1; 0.5 if no F1 is above 0."""
+    p, r = F.col("tp") / F.col("pp"), F.try_divide(F.col("tp"), F.col("tot_p"))
+    f1 = F.coalesce(F.round(2 * p * r / (p + r + 1e-8), 12), F.lit(0.0))
+    best = curve.select(*keys, "s", f1.alias("f1")).groupBy(*keys).agg(F.max(F.struct(F.col("f1"), (-F.col("s")).alias("low"))).alias("b"))
+    return best.select(*keys, F.when(F.col("b.f1") > 0, -F.col("b.low")).otherwise(0.5).alias("threshold"), F.col("b.f1").alias("best_f1"))
 
 
-def at_threshold(rows: DataFrame, threshold: float) -> DataFrame:
-    """One row: f1, precision, recall (0 where undefined) and n_predicted at s >= threshold."""
-    hit = F.col("s") >= F.lit(threshold)
-    counts = rows.agg(
-        F.count_if(hit & (F.col("y") == 1)).alias("tp"), F.count_if(hit & (F.col("y") == 0)).alias("fp"), F.count_if(~hit & (F.col("y") == 1)).alias("fn")
-    )
+def at_thresholds(curve: DataFrame, keys: list[str], thresholds: DataFrame) -> DataFrame:
+    """keys, threshold, f1, precision, recall (0 where undefined) and n_predicted at s >= threshold."""
+    hit = F.col("s") >= F.col("threshold")
+    counts = curve.join(thresholds.select(*keys, "threshold"), keys).groupBy(*keys, "threshold")
+    found = counts.agg(F.sum(F.when(hit, F.col("np")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("pp"), F.max("tot_p").alias("p"))
 
     def ratio(a: Column, b: Column) -> Column:
         return F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
 
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return counts.select(
-        ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), (tp + fp).cast("long").alias("n_predicted")
+    tp, pp, p = F.col("tp"), F.col("pp"), F.col("p")
+    return found.select(
+        *keys, "threshold", ratio(2 * tp, pp + p).alias("f1"), ratio(tp, pp).alias("precision"), ratio(tp, p).alias("recall"), pp.cast("long").alias("n_predicted")
     )
 
 
+def evaluate_by(rows: DataFrame, keys: list[str], thresholds: DataFrame | None = None) -> DataFrame:
+    """All metrics of each group; without thresholds (keys, threshold) the best of the group's own rows is taken."""
+    curve = steps(rows, keys)
+    at = best_thresholds(curve, keys) if thresholds is None else thresholds
+    return areas(curve, keys).join(at_thresholds(curve, keys, at), keys)
+
+
 def evaluate(rows: DataFrame, threshold: float | None = None) -> dict[str, float]:
-    """All metrics; without a threshold the best of these rows is taken, as on validation."""
-    curve = steps(rows)
-    area = areas(curve).collect()[0]
-    at = best_threshold(curve).collect()[0].threshold if threshold is None else threshold
-    point = at_threshold(rows, at).collect()[0]
-    return {"roc_auc": area.roc_auc, "pr_auc": area.pr_auc, "f1": point.f1, "precision": point.precision, "recall": point.recall, "threshold": at, "n_predicted": point.n_predicted}
+    """All metrics of the rows as one group."""
+    one = rows.withColumn("all", F.lit(0))
+    at = None if threshold is None else rows.sparkSession.range(1).select(F.lit(0).alias("all"), F.lit(threshold).alias("threshold"))
+    found = evaluate_by(one, ["all"], at).drop("all").collect()
+    if not found:
+        return dict.fromkeys(("pr_auc", "roc_auc")) | {"threshold": 0.5 if threshold is None else threshold, "f1": 0.0, "precision": 0.0, "recall": 0.0, "n_predicted": 0}
+    return found[0].asDict()
 
 
 #: The columns of metric files, as DDL.
 REPORT = "roc_auc double, pr_auc double, f1 double, optimal_threshold double, n_predicted_bogus long"
 
 
+def report_by(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the five figures of metric files."""
+    figures = ("roc_auc", "pr_auc", "f1", F.col("threshold").alias("optimal_threshold"), F.col("n_predicted").alias("n_predicted_bogus"))
+    return evaluate_by(rows, keys).select(*keys, *figures)
+
+
 def report(rows: DataFrame) -> dict[str, float]:
     """The five figures of metric files; the threshold is always fitted on the rows themselves."""
     found = evaluate(rows)

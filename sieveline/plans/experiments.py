@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.config import NOISY, STRATEGIES, TRUSTED, Run
@@ -11,21 +11,22 @@ from sieveline.plans.construct import Construction
 from sieveline.session import saved
 
 METRICS = ("roc_auc", "pr_auc", "f1", "precision", "recall")
-RESULT = "target_size long, method string, run int, " + ", ".join(f"{s}_{m} double" for s in ("val", "test") for m in METRICS) + ", threshold double"
 
 
-def measured(plan: Construction, contexts: DataFrame) -> dict[int, dict[str, float]]:
-    """By context set k: validation metrics with their threshold, and test metrics at it. All sets are predicted in one pass."""
+def predicted(plan: Construction, contexts: DataFrame) -> DataFrame:
+    """k, split, s, y: validation and test rows under every context set, in one pass; stored."""
     rows = plan.rows.where(F.col("split").isin("validation", "test"))
     found = predict.predict(rows, contexts, plan.model).join(rows.select("id", "split", "label"), "id")
-    found = saved(found.select("k", "split", (1 - F.col("p")).alias("s"), metrics.target(F.col("label")).alias("y")))
-    out = {}
-    for k in sorted(r.k for r in found.select("k").distinct().collect()):
-        one = found.where(F.col("k") == k)
-        val = metrics.evaluate(one.where("split = 'validation'"))
-        test = metrics.evaluate(one.where("split = 'test'"), val["threshold"])
-        out[k] = {f"val_{m}": val[m] for m in METRICS} | {f"test_{m}": test[m] for m in METRICS} | {"threshold": val["threshold"]}
-    return out
+    return saved(found.select("k", "split", (1 - F.col("p")).alias("s"), metrics.target(F.col("label")).alias("y")))
+
+
+def measured(plan: Construction, contexts: DataFrame) -> DataFrame:
+    """By context set k: validation metrics with their threshold, and test metrics at it."""
+    found = predicted(plan, contexts)
+    val = saved(metrics.evaluate_by(found.where("split = 'validation'"), ["k"]))
+    test = metrics.evaluate_by(found.where("split = 'test'"), ["k"], val)
+    named = [df.select("k", *(F.col(m).alias(f"{s}_{m}") for m in METRICS), *more) for s, df, more in (("val", val, ["threshold"]), ("test", test, []))]
+    return named[0].join(named[1], "k")
 
 
 def random_contexts(plan: Construction, target_size: int | None, runs: int, seed: int) -> DataFrame:
@@ -44,19 +45,22 @@ def random_baseline(rows: DataFrame, target_size: int | None = None, runs: int =
     """
     plan = Construction(rows, model=model)
     contexts = random_contexts(plan, target_size, runs, seed)
-    asked = rows.where(F.col("split").isin("validation", "test"))
-    found = predict.predict(asked, contexts, plan.model).join(asked.select("id", "split", "label"), "id")
-    found = saved(found.select("k", "split", (1 - F.col("p")).alias("s"), metrics.target(F.col("label")).alias("y")))
-    table = [{"run": k + 1, "split": s} | metrics.report(found.where((F.col("k") == k) & (F.col("split") == s))) for k in range(runs) for s in ("validation", "test")]
-    best = max((r for r in table if r["split"] == "validation"), key=lambda r: r["pr_auc"] or 0.0, default=None)
-    context = contexts.where(F.col("k") == best["run"] - 1).drop("k") if best and best["pr_auc"] else None
-    return rows.sparkSession.createDataFrame(table, "run int, split string, " + metrics.REPORT), context
+    table = saved(metrics.report_by(predicted(plan, contexts), ["k", "split"]).withColumn("run", F.col("k") + 1))
+    best = table.where("split = 'validation' AND pr_auc > 0").orderBy(F.col("pr_auc").desc(), "run").limit(1).collect()
+    context = contexts.where(F.col("k") == best[0].k).drop("k") if best else None
+    return table.select("run", "split", "roc_auc", "pr_auc", "f1", "optimal_threshold", "n_predicted_bogus"), context
 
 
 def ablation_baseline(plan: Construction, target_size: int, runs: int, seed: int) -> DataFrame:
     """The random baseline as rows of the ablation: test metrics at the validation threshold."""
     found = measured(plan, random_contexts(plan, target_size, runs, seed))
-    return plan.rows.sparkSession.createDataFrame([{"target_size": target_size, "method": "baseline", "run": k} | m for k, m in found.items()], RESULT)
+    return result(found, target_size, F.lit("baseline"), F.col("k"))
+
+
+def result(found: DataFrame, target_size: int, method: Column, run: Column) -> DataFrame:
+    """Measured context sets in the columns of the ablation's table."""
+    figures = [f"{s}_{m}" for s in ("val", "test") for m in METRICS]
+    return found.select(F.lit(target_size).cast("long").alias("target_size"), method.alias("method"), run.cast("int").alias("run"), *figures, "threshold")
 
 
 def joint_scores(rows: DataFrame, run: Run | None = None, model: predict.Model | None = None) -> DataFrame:
@@ -71,7 +75,6 @@ def ablation(rows: DataFrame, sizes: list[int], run: Run | None = None, methods:
     o = run or Run()
     plan = Construction(rows, o, model)
     pool = saved(plan.score().where(F.col("classification") != "suspect"))
-    spark = rows.sparkSession
     out = None
     for size in sizes:
         n_positive, n_negative = sampling.target_sizes(0, size)
@@ -86,8 +89,8 @@ def ablation(rows: DataFrame, sizes: list[int], run: Run | None = None, methods:
 
             named = contexts.withColumn("method", F.element_at(F.array(*map(F.lit, methods)), F.col("k") + 1)).withColumn("target_size", F.lit(size))
             sinks.write_context(named.select("id", "x", "label", "target_size", "method"), f"{output}/support_sets_{size}", by=("target_size", "method"))
-        found = measured(plan, contexts)
-        part = part.unionByName(spark.createDataFrame([{"target_size": size, "method": methods[k], "run": 0} | m for k, m in found.items()], RESULT))
+        name = F.element_at(F.array(*map(F.lit, methods)), F.col("k") + 1)
+        part = part.unionByName(result(measured(plan, contexts), size, name, F.lit(0)))
         out = part if out is None else out.unionByName(part)
     return out
 

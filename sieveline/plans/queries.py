@@ -223,23 +223,24 @@ def curve(spark: SparkSession, d: str) -> DataFrame:
 
 
 def roc_auc(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.areas(metrics.steps(curve(spark, d))).select("roc_auc"), "roc_auc")
+    return rounded(metrics.areas(metrics.steps(curve(spark, d)), ["all"]).select("roc_auc"), "roc_auc")
 
 
 def average_precision(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.areas(metrics.steps(curve(spark, d))).select("pr_auc"), "pr_auc")
+    return rounded(metrics.areas(metrics.steps(curve(spark, d)), ["all"]).select("pr_auc"), "pr_auc")
 
 
 def pr_curve(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.pr_curve(metrics.steps(curve(spark, d))), "precision", "recall")
+    return rounded(metrics.pr_curve(metrics.steps(curve(spark, d)), ["all"]).drop("all"), "precision", "recall")
 
 
 def best_f1_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.best_threshold(metrics.steps(curve(spark, d))), "best_f1")
+    return rounded(metrics.best_thresholds(metrics.steps(curve(spark, d)), ["all"]).drop("all"), "best_f1")
 
 
 def hard_prediction(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.at_threshold(curve(spark, d), 120.0), "f1", "precision", "recall")
+    at = spark.range(1).select(F.lit(0).alias("all"), F.lit(120.0).alias("threshold"))
+    return rounded(metrics.at_thresholds(metrics.steps(curve(spark, d)), ["all"], at).drop("all", "threshold"), "f1", "precision", "recall")
 
 
 def metrics_val_to_test(spark: SparkSession, d: str) -> DataFrame:

@@ -66,9 +66,9 @@ def test_percentiles_of_nothing(spark):
 
 
 def test_running_sums(spark):
-    rows = spark.range(1000).select((F.col("id") * 7 % 1000).cast("double").alias("s"), F.lit(2).alias("n"))
-    got = percentiles.running(rows, "s", ["n"], parts=7)
-    assert got.where(F.col("run_n") != 2 * (1000 - F.col("s"))).count() == 0 and got.count() == 1000
+    rows = spark.range(2000).select((F.col("id") * 7 % 1000).cast("double").alias("s"), F.lit(2).alias("n"), (F.col("id") >= 1000).alias("g"))
+    got = percentiles.running(rows, "s", ["n"], ["g"], parts=7)
+    assert got.where(F.col("run_n") != 2 * (1000 - F.col("s"))).count() == 0 and got.count() == 2000
 
 
 GOLDEN = {100: (4428058624, 822102704128, 45102688944128, 826530762752), 1000: (4605005824, 5935548694528, 51985606934528, 5940153700352), 5000: (5391437824, 32515492118528, 86429870358528, 32520883556352)}
