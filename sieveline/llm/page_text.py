@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sieveline.llm.common import slices
+
 #: Elements without text for readers, furniture, inline elements, void elements, telling names.
 HIDDEN = frozenset("script style template noscript iframe object svg math canvas head title textarea select datalist".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog button".split())
@@ -41,15 +43,15 @@ MARKUP = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]
 KEPT, PLAIN, DROPPED = 2, 1, 0
 
 
-def hides(tag: str, attributes: str) -> bool:
-    """Whether the element's own name or attributes tell that it is furniture."""
-    if tag in FURNITURE:
+def hides(tag: str, attributes: str, in_article: bool = False) -> bool:
+    """Whether the element's own name or attributes tell that it is furniture; an article's own header is none."""
+    if tag in FURNITURE and not (in_article and tag == "header"):
         return True
     for name, value in ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and NAMES.search(value):
+        if name in ("class", "id") and NAMES.search(value.replace("header", "") if in_article else value):
             return True
     return False
 
@@ -103,7 +105,7 @@ def lines_of(source: str | None) -> list[tuple[str, int]]:
                 at = close.end() if close else len(source)
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
             # An article inside furniture stays furniture; furniture inside an article goes.
-            furniture = tag not in FRAME and not (tag == "header" and state == KEPT) and hides(tag, m[3])
+            furniture = tag not in FRAME and hides(tag, m[3], state == KEPT)
             inside = DROPPED if state == DROPPED or furniture else KEPT if tag in ARTICLE else state
             if inside != state or tag in ARTICLE or any(t == tag for t, _ in stack):
                 stack.append((tag, inside))
@@ -206,7 +208,7 @@ def extract(pages: DataFrame, *, html_col: str = "html", url_col: str = "url") -
     final = T.StructType([*schema.fields, *T.StructType.fromDDL("text string").fields])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             coder = zstandard.ZstdCompressor(level=3)
             where = [address(u) for u in batch.column(url_col).to_pylist()]
             # The state is a digit before each line; lines hold no newline themselves.

@@ -43,6 +43,7 @@ def test_shared_lines_go_and_others_stay(spark):
     ("source", "want"),
     [
         ("<article><h1>A</h1><p>b <b>c</b><br>d<p>e<aside>x</aside><section class='comments'><p>y</p></section></article><p>z", "A\nb c d\ne"),
+        ("<header>Site</header><article><header><h1>T</h1></header><div class='post-header'>by</div><footer>f</footer>x</article>", "T\nby\nx"),
         ("<main><nav>n</nav><p>one</p><form>f</form><p>two</p></main><footer>q</footer>", "one\ntwo"),
         ("<p>a &copy; b&#33; &nbsp; c</p><!-- <p>d</p> --><p hidden>e</p><p>f", "a © b! c\nf"),
         ("<div class='ad-banner'>buy</div><div class='headline'>news</div><style>p{}</style><p>x<wbr>y</p>", "news\nxy"),
