@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import ALNUM, widened
+from sieveline.llm.common import ALNUM, slices, widened
 
 #: Words of one automaton; larger benchmarks are scanned in several such blocks.
 BLOCK_WORDS = 1_000_000
@@ -116,7 +116,7 @@ def find_hits(
                 held[k] = Matcher(shared[k].value, width)
             return held[k]
 
-        for batch in batches:
+        for batch in slices(batches):
             raw = [t.encode("utf-8", "replace") if t else b"" for t in batch.column(text_col).to_pylist()]
             found: list[list] = [[] for _ in raw]
             words = [b.translate(ALNUM).split() for b in raw]

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import widened
+from sieveline.llm.common import slices, widened
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -126,7 +126,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], *, text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(dictionaries)
-        for batch in batches:
+        for batch in slices(batches):
             found = [model.classify(t) for t in batch.column(text_col).to_pylist()]
             columns = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.float64())]
             columns.append(pa.array([x[0] != UNKNOWN and x[1] >= min_score for x in found], pa.bool_()))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import mixed, pack_sorted, plain_words, saved, unpack_sorted
+from sieveline.llm.common import mixed, pack_sorted, plain_words, saved, slices, unpack_sorted
 from sieveline.llm.components import components
 from sieveline.llm.ngram_lm import WordHashes, large, small
 
@@ -100,7 +100,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
         size = 0
-        for batch in batches:
+        for batch in slices(batches):
             kind = batch.column(id_col).type
             for i, text in zip(batch.column(id_col).to_pylist(), batch.column(text_col).to_pylist(), strict=True):
                 found = shingles(text, width, known)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import saved, widened
+from sieveline.llm.common import saved, slices, widened
 
 DECAY, SPAN, LETTERS, POWER = 0.7, 8, 32, 2
 DIMENSION = LETTERS**3
@@ -37,7 +37,7 @@ FLOOR = 0.3
 #: Class of the mark before a word, and that mark in strings; a string without it is an inner one.
 START, MARK = 31, "^"
 #: Word scores that a worker remembers.
-MEMORY = 1_000_000
+MEMORY = 500_000
 
 
 def code_table() -> dict[int, int]:
@@ -370,10 +370,8 @@ def score(docs: DataFrame, machine: Machine, *, text_col: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memory = Machine(*shared.value), {}
-        for batch in batches:
-            texts, values = batch.column(text_col).to_pylist(), []
-            for i in range(0, len(texts), 500):
-                values += [model.probability(d) for d, _ in model.worst(texts[i : i + 500], memory)]
+        for batch in slices(batches, 500):
+            values = [model.probability(d) for d, _ in model.worst(batch.column(text_col).to_pylist(), memory)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(values, pa.float64()), pa.array([int(v >= 0.5) for v in values], pa.int32())], names=[*keep, *results]
             )
