@@ -25,14 +25,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import mixed, pack, pack_sorted, plain_words, saved, unpack, unpack_sorted
+from sieveline.llm.common import mixed, pack, pack_sorted, plain_words, saved, slices, unpack, unpack_sorted
 
 #: Words of a block and entries of a bucket: what a task holds at once, besides one document.
 BLOCK_TOKENS, BUCKET_ENTRIES = 1_000_000, 2_000_000
 #: Hashes of the end of a text and of the state before its first word.
 END, BEGIN = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
+#: Bits of a bigram's hash; words keep all 64.
+PAIR_BITS = 56
 #: How many words a task remembers the hash of.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 class WordHashes(dict):
@@ -83,7 +85,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, train_col: str, block_to
                 [pa.array([x], t) for x, t in zip(row, types, strict=True)], names=["block", "n_tokens", "ids", "train", "lengths", "vocabulary", "tokens"]
             )
 
-        for batch in batches:
+        for batch in slices(batches):
             kind = batch.column(id_col).type
             for row in zip(*(batch.column(c).to_pylist() for c in (id_col, train_col, text_col)), strict=True):
                 held.append((row[0], bool(row[1]), token_hashes(row[2], known)))
@@ -111,7 +113,7 @@ class Block:
         self.learned = np.repeat(np.array(train), self.lengths)
         pairs, self.pair_of = np.unique(before * self.width + self.tokens, return_inverse=True)
         states = np.append(self.vocabulary, BEGIN)
-        hashes = mixed(states[pairs // self.width], self.vocabulary[pairs % self.width])
+        hashes = mixed(states[pairs // self.width], self.vocabulary[pairs % self.width]) >> np.uint64(64 - PAIR_BITS)
         self.order = np.argsort(hashes, kind="stable")
         self.pairs, self.hashes = pairs, hashes[self.order]
 
@@ -187,7 +189,8 @@ def score(
             for name, *parts in zip(*(batch.column(c).to_pylist() for c in ("block", "train", "lengths", "vocabulary", "tokens")), strict=True):
                 rows: list[tuple] = []
                 for order, hashes, counts in Block(*parts).counted():
-                    edges = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, dtype=int)
+                    top = 64 if order == 1 else PAIR_BITS
+                    edges = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(top - bits)) if bits else np.zeros(1, dtype=int)
                     for bucket, (a, b) in enumerate(zip(edges, [*edges[1:], len(hashes)], strict=True)):
                         if b > a:
                             rows.append((bucket, order, name, pack_sorted(hashes[a:b]), pack(counts[a:b])))
