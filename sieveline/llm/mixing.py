@@ -17,6 +17,8 @@ from sieveline.llm.common import WORD, saved
 CIRCLE, STRIDE = 1 << 32, 1640531527
 #: Slots that are ranked together, and cells of the circle by which points meet sources.
 CHUNK, CELLS = 4096, 4096
+#: Up to so many sources their arcs go to every task; beyond, slots are shuffled to them.
+MOST_SOURCES = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -74,11 +76,13 @@ def schedule(plan: DataFrame, block_words: int) -> DataFrame:
     )
     width = CIRCLE // CELLS
     arcs = plan.where("hi > lo").select("k", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width).cast("long"), F.floor((F.col("hi") - 1) / width).cast("long"))).alias("cell"))
+    # A row a source and CELLS more: checked, as slots must not be the side that is sent around.
+    arcs = F.broadcast(arcs) if plan.count() <= MOST_SOURCES else arcs.hint("merge")
     dealt = slots.join(arcs, "cell").where("point >= lo AND point < hi")
     # At most CHUNK slots a group; the counts of earlier chunks give each group its first rank.
     groups = dealt.groupBy("k", "chunk").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
     earlier = Window.partitionBy("k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.withColumn("first", F.coalesce(F.sum(F.size("slots")).over(earlier), F.lit(0)))
+    groups = saved(groups.withColumn("first", F.coalesce(F.sum(F.size("slots")).over(earlier), F.lit(0))))
     ranks = groups.select("k", "first", F.posexplode("slots").alias("i", "slot")).select("k", (F.col("first") + F.col("i")).alias("rank"), "slot")
     need = plan.select("k", F.floor((F.col("quota") + block_words - 1) / block_words).cast("long").alias("need"))
     got = groups.groupBy("k").agg(F.sum(F.size("slots")).alias("got"))
@@ -122,7 +126,8 @@ def mix(
     pieces = pieces.withColumn("rank", F.coalesce("rank", -1 - F.col("start")))
     slots = schedule(plan, block_words).select("k", "rank", F.lit(1).alias("hit"))
     keys = ["k", "start", "id", "source", "size", "source_size", "target"]
-    taken = pieces.join(slots, ["k", "rank"], "left").groupBy(*keys).agg(F.sum(F.when(F.col("hit") == 1, F.col("words")).otherwise(0)).cast("long").alias("taken"))
+    # Slots grow with the words; they are never broadcast, however small Spark takes them to be.
+    taken = pieces.join(slots.hint("merge"), ["k", "rank"], "left").groupBy(*keys).agg(F.sum(F.when(F.col("hit") == 1, F.col("words")).otherwise(0)).cast("long").alias("taken"))
     columns = ["id", "source", "size", "source_size", "target", "taken"]
     nothing = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     return taken.select(columns).unionByName(nothing.select(columns)).withColumnRenamed("id", id_col)
