@@ -295,7 +295,8 @@ def links(sets: DataFrame, percent: int, family_block: int) -> DataFrame:
     home = F.when(F.col("parts") > 1, F.col("family")).otherwise(-1 - F.pmod(F.xxhash64("family"), F.lit(bundles)))
     placed = placed.select("sid", home.alias("home"), "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     cells = placed.select("sid", "home", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"))
-    work = sets.select("sid", "n", "tokens").join(cells, "sid")
+    # Cells grow with the sets; they are never broadcast, however small Spark takes them to be.
+    work = sets.select("sid", "n", "tokens").join(cells.hint("merge"), "sid")
 
     def search(key: tuple, rows: pa.Table) -> pa.Table:
         sids = rows.column("sid").to_pylist()
