@@ -126,12 +126,19 @@ def positives(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return clustering.diverse(rows, n, seed)
 
 
-def context_set(train: DataFrame, pool: DataFrame, n_negative: int | None = None, strategy: str = "random", seed: int = 42, n_positive: int | None = None) -> DataFrame:
-    """The chosen rows of train with ord: trusted ones first, then the chosen noisy ones, as many as trusted ones by default."""
-    trusted = train.where(F.col("label") == TRUSTED).withColumnRenamed("x", "v")
-    n = n_positive if n_positive is not None else trusted.count()
-    first = positives(trusted, n, seed).select("id", F.lit(0).alias("ord"))
-    others = choose(pool, n if n_negative is None else n_negative, strategy, seed)
+def trusted_ids(train: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """id of the trusted training rows of a context set; stored, as several sets may share them."""
+    return saved(positives(train.where(F.col("label") == TRUSTED).withColumnRenamed("x", "v"), n, seed))
+
+
+def context_set(
+    train: DataFrame, pool: DataFrame, n_negative: int | None = None, strategy: str = "random", seed: int = 42, n_positive: int | None = None, trusted: DataFrame | None = None
+) -> DataFrame:
+    """The chosen rows of train with ord: trusted ones (or those given by id) first, then the chosen noisy ones, as many as trusted ones by default."""
+    if n_positive is None:
+        n_positive = train.where(F.col("label") == TRUSTED).count()
+    first = (trusted_ids(train, n_positive, seed) if trusted is None else trusted).select("id", F.lit(0).alias("ord"))
+    others = choose(pool, n_positive if n_negative is None else n_negative, strategy, seed)
     chosen = first.unionByName(others.select("id", "ord"))
     return train.join(chosen, "id")
 

@@ -29,11 +29,12 @@ def measured(plan: Construction, contexts: DataFrame) -> DataFrame:
     return named[0].join(named[1], "k")
 
 
-def random_contexts(plan: Construction, target_size: int | None, runs: int, seed: int) -> DataFrame:
-    """k, id, label, x: for each run the same trusted rows, and as many noisy ones drawn at random with seed + run."""
+def random_contexts(plan: Construction, target_size: int | None, runs: int, seed: int, chosen: DataFrame | None = None) -> DataFrame:
+    """k, id, label, x: for each run the same trusted rows (or those given by id), and as many noisy ones drawn at random with seed + run."""
     trusted = plan.train.where(F.col("label") == TRUSTED)
     n_positive, n_negative = sampling.target_sizes(trusted.count(), target_size)
-    keep = trusted.join(selection.positives(trusted.withColumnRenamed("x", "v"), n_positive), "id").select(F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("k"), "id", "label", "x")
+    chosen = selection.trusted_ids(plan.train, n_positive) if chosen is None else chosen
+    keep = trusted.join(chosen, "id").select(F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("k"), "id", "label", "x")
     drawn = sampling.baseline_draws(plan.train.where(F.col("label") == NOISY), n_negative, runs, seed)
     return saved(keep.unionByName(drawn.select(F.col("run").alias("k"), "id", "label", "x")))
 
@@ -51,9 +52,9 @@ def random_baseline(rows: DataFrame, target_size: int | None = None, runs: int =
     return table.select("run", "split", "roc_auc", "pr_auc", "f1", "optimal_threshold", "n_predicted_bogus"), context
 
 
-def ablation_baseline(plan: Construction, target_size: int, runs: int, seed: int) -> DataFrame:
+def ablation_baseline(plan: Construction, target_size: int, runs: int, seed: int, chosen: DataFrame) -> DataFrame:
     """The random baseline as rows of the ablation: test metrics at the validation threshold."""
-    found = measured(plan, random_contexts(plan, target_size, runs, seed))
+    found = measured(plan, random_contexts(plan, target_size, runs, seed, chosen))
     return result(found, target_size, F.lit("baseline"), F.col("k"))
 
 
@@ -78,10 +79,11 @@ def ablation(rows: DataFrame, sizes: list[int], run: Run | None = None, methods:
     out = None
     for size in sizes:
         n_positive, n_negative = sampling.target_sizes(0, size)
-        part = ablation_baseline(plan, size, baseline_runs, o.seed)
+        trusted = selection.trusted_ids(plan.train, n_positive)  # the same for all methods and runs
+        part = ablation_baseline(plan, size, baseline_runs, o.seed, trusted)
         contexts = None
         for k, method in enumerate(methods):
-            one = selection.context_set(plan.train, pool, n_negative, method, o.seed, n_positive).withColumn("k", F.lit(k))
+            one = selection.context_set(plan.train, pool, n_negative, method, o.seed, n_positive, trusted).withColumn("k", F.lit(k))
             contexts = one if contexts is None else contexts.unionByName(one)
         contexts = saved(contexts)
         if output:
