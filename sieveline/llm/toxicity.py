@@ -297,7 +297,7 @@ def fit(
             )
 
     counts = sample.mapInArrow(split, "y int, w string").groupBy("w").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
-    counts = counts.withColumn("lift", F.col("n1") / totals[1] - F.col("n0") / totals[0])
+    counts = saved(counts.withColumn("lift", F.col("n1") / totals[1] - F.col("n0") / totals[0]))
     # In standard deviations of the difference between two shares.
     both = F.col("n1") + F.col("n0") + 2.0
     rated = counts.withColumn("z", F.col("lift") / F.sqrt(both * (1 / totals[0] + 1 / totals[1]) / (totals[0] + totals[1]))).where("n1 >= 3 AND z >= 4")
@@ -322,7 +322,8 @@ def fit(
 
     kinds = {"i": to_arrow_type(sample.schema["i"].dataType)}
     id_kind = sample.schema["i"].dataType.simpleString()
-    rows = sample.mapInArrow(first_examples, f"i {id_kind}, y int, s array<string>").orderBy("i", "s").collect()
+    # Bounded by the sample; sorted here, as a distributed sort would read it twice.
+    rows = sorted(sample.mapInArrow(first_examples, f"i {id_kind}, y int, s array<string>").collect(), key=lambda r: (r.i, r.s))
     examples, marked = [r.s for r in rows], [r.y for r in rows]
     if not any(marked):  # no telling word: every sentence of a positive document stands for it
         rows = sample.where("y = 1").select("i", "t").orderBy("i").limit(sample_docs).collect()
@@ -352,7 +353,7 @@ def worst_sentences(sample: DataFrame, machine: Machine) -> list[tuple[list[floa
             )
 
     kind = sample.schema["i"].dataType.simpleString()
-    rows = sample.mapInArrow(run, f"i {kind}, y int, d array<double>, s array<string>").orderBy("i", "s").collect()
+    rows = sorted(sample.mapInArrow(run, f"i {kind}, y int, d array<double>, s array<string>").collect(), key=lambda r: (r.i, r.s))
     return [(r.d, r.y, r.s) for r in rows]
 
 
