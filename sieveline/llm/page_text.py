@@ -6,6 +6,8 @@ the neighbour's by longest common subsequence, and shared ones are deleted as
 furniture. Markup gives two kinds of proof beyond that: lines in navigation,
 notices, forms and the like go even where no neighbour has them, and lines
 inside an explicit article stay even where a copy of the article is next door.
+Lines of <main> outside an article are differenced like the others, unless the
+neighbour is a copy.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 #: A comment, a declaration, or a tag with its attributes; quoted values may hold '>'.
 MARKUP = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|$)""", re.S)
-KEPT, PLAIN, DROPPED = 2, 1, 0
+MAIN, KEPT, PLAIN, DROPPED = 3, 2, 1, 0
 
 
 def hides(tag: str, attributes: str, in_article: bool = False) -> bool:
@@ -57,7 +59,7 @@ def hides(tag: str, attributes: str, in_article: bool = False) -> bool:
 
 
 def lines_of(source: str | None) -> list[tuple[str, int]]:
-    """Blocks of text in page order, each with KEPT (in an article), PLAIN or DROPPED (in furniture).
+    """Blocks of text in page order, each with KEPT (in an article), MAIN (else in <main>), PLAIN or DROPPED (in furniture).
 
     Unclosed elements end with the element around them; an end tag without a
     start is ignored. Character references are decoded, runs of white space
@@ -105,8 +107,8 @@ def lines_of(source: str | None) -> list[tuple[str, int]]:
                 at = close.end() if close else len(source)
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
             # An article inside furniture stays furniture; furniture inside an article goes.
-            furniture = tag not in FRAME and hides(tag, m[3], state == KEPT)
-            inside = DROPPED if state == DROPPED or furniture else KEPT if tag in ARTICLE else state
+            furniture = tag not in FRAME and hides(tag, m[3], state in (KEPT, MAIN))
+            inside = DROPPED if state == DROPPED or furniture else KEPT if tag == "article" else MAIN if tag == "main" and state == PLAIN else state
             if inside != state or tag in ARTICLE or any(t == tag for t, _ in stack):
                 stack.append((tag, inside))
                 state = inside
@@ -147,14 +149,19 @@ def shared_lines(mine: list[str], other: list[str]) -> set[int]:
 def main_text(lines: list[tuple[str, int]], neighbour: list[tuple[str, int]] | None) -> str:
     """The page's lines without furniture and without what it shares with its neighbour.
 
-    With an explicit article only that is text; otherwise the plain lines that the neighbour lacks.
+    Lines of an article stay. Shared lines of <main> stay if they outweigh all
+    that would be left: then the neighbour is a copy. Without a neighbour only
+    the lines in <article> or <main> are text, or all plain ones if there are none.
     """
-    kept = [t for t, s in lines if s == KEPT]
-    plain = [t for t, s in lines if s == PLAIN]
-    gone = shared_lines(plain, [t for t, s in neighbour if s == PLAIN]) if neighbour else set()
-    if kept:
-        return "\n".join(kept)
-    return "\n".join(t for i, t in enumerate(plain) if i not in gone)
+    if not neighbour:
+        return "\n".join([t for t, s in lines if s in (KEPT, MAIN)] or [t for t, s in lines if s == PLAIN])
+    places = [i for i, (_, s) in enumerate(lines) if s in (PLAIN, MAIN)]
+    shared = shared_lines([lines[i][0] for i in places], [t for t, s in neighbour if s in (PLAIN, MAIN)])
+    gone = {places[k] for k in shared}
+    left = sum(len(t) for i, (t, s) in enumerate(lines) if s != DROPPED and i not in gone)
+    if sum(len(lines[i][0]) for i in gone if lines[i][1] == MAIN) > left:
+        gone = {i for i in gone if lines[i][1] != MAIN}
+    return "\n".join(t for i, (t, s) in enumerate(lines) if s != DROPPED and i not in gone)
 
 
 def address(url: str | None) -> tuple[str, str]:

@@ -56,6 +56,20 @@ def test_markup(source, want):
     assert page_text.main_text(page_text.lines_of(source), None) == want
 
 
+def test_differencing_beside_markup():
+    def text(source, neighbour):
+        return page_text.main_text(page_text.lines_of(source), page_text.lines_of(neighbour))
+
+    teaser = "<article>Read %s</article><p>Same on all pages</p><div>Body of page %s</div>"
+    assert text(teaser % (1, 1), teaser % (2, 2)) == "Read 1\nBody of page 1"
+    beside = "<main><p>Opening hours</p><p>A long story of its own, number %s</p></main><p>Beside %s</p><p>Address</p>"
+    assert text(beside % (1, 1), beside % (2, 2)) == "A long story of its own, number 1\nBeside 1"
+    copy = "<main><p>The same long story on two pages</p><p>Part %s</p></main>"
+    assert text(copy % 1, copy % 2) == "The same long story on two pages\nPart 1"
+    inside = "<article><p>The same long story</p></article><p>Address</p><p>%s</p>"
+    assert text(inside % 1, inside % 2) == "The same long story\n1"
+
+
 def test_common_subsequence():
     def brute(a, b):
         table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
