@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import slices, widened
@@ -48,26 +49,26 @@ def fit(
     Bounded sample: ``sample_docs`` labelled texts a language, the first by a
     hash of id and text; of each at most ``chars_per_doc`` letters, and
     ``dict_bytes`` a dictionary. Null texts and languages teach nothing;
-    repeated texts count once. No labelled row gives no dictionary. The most
+    repeated texts count once, however many rows repeat them. No labelled row gives no dictionary. The most
     frequent language comes first.
     """
     rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
     if where is not None:
         rows = docs.where(where).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
     rows = rows.where(F.col("l").isNotNull() & (F.length("t") >= 20)).withColumn("h", F.xxhash64("t", "l"))
-    # One number a language; the dictionaries that follow from them take far more of the driver.
-    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Two numbers a language; the dictionaries that follow from them take far more of the driver.
+    counts = {r.l: r for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("texts")).collect()}
     if not counts:
         return {}
-    # Only hashes are ranked, and only those low enough to stand a chance; the few chosen texts are fetched afterwards.
-    bounds = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(2**63 * (2 * min(1.0, 4.0 * sample_docs / n) - 1)) - 1)))
-    low = rows.select("l", "h").where(F.col("h") <= F.element_at(bounds, F.col("l"))).distinct()
-    chosen = low.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= sample_docs).drop("r")
-    # sample_docs pairs of language and hash for each language: a proven bound, so they are broadcast.
-    start = F.min(F.substring("t", 1, 4 * chars_per_doc)).alias("t")
-    texts = rows.join(F.broadcast(chosen), ["l", "h"], "left_semi").groupBy("l", "h").agg(start)
+    shares = {lang: min(1.0, 4.0 * sample_docs / max(1, r.texts)) for lang, r in counts.items()}
+    texts = sampled(rows, shares, sample_docs, 4 * chars_per_doc)
+    # Numbers of texts are estimates: a language whose share gave too few is drawn again from all its texts.
+    got = Counter(r.l for r in texts)
+    short = {lang: 1.0 for lang, share in shares.items() if share < 1 and got[lang] < sample_docs}
+    if short:
+        texts = [r for r in texts if r.l not in short] + sampled(rows, short, sample_docs, 4 * chars_per_doc)
     found: dict[str, list[str]] = {}
-    for row in sorted(texts.collect(), key=lambda r: (-counts[r.l], r.l, r.h)):
+    for row in sorted(texts, key=lambda r: (-counts[r.l].n, r.l, r.h)):
         found.setdefault(row.l, []).append(normalised(row.t)[:chars_per_doc])
     out = {}
     for lang, parts in found.items():
@@ -77,6 +78,17 @@ def fit(
     return out
 
 
+def sampled(rows: DataFrame, shares: dict[str, float], sample_docs: int, chars: int) -> list[Row]:
+    """l, h and the start t of the ``sample_docs`` texts with the lowest hashes of each language, among the given share of its hashes."""
+    # Only hashes are ranked, and only those low enough to stand a chance; the few chosen texts are fetched afterwards.
+    bounds = F.create_map(*(F.lit(x) for lang, share in shares.items() for x in (lang, int(2**63 * (2 * share - 1)) - 1)))
+    low = rows.select("l", "h").where(F.col("h") <= F.element_at(bounds, F.col("l"))).distinct()
+    chosen = low.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= sample_docs).drop("r")
+    # sample_docs pairs of language and hash for each language: a proven bound, so they are broadcast.
+    start = F.min(F.substring("t", 1, chars)).alias("t")
+    return rows.join(F.broadcast(chosen), ["l", "h"], "left_semi").groupBy("l", "h").agg(start).collect()
+
+
 class Classifier:
     """Sizes under each dictionary, and the decision they give."""
 

@@ -57,6 +57,20 @@ def test_language_edge_cases(odd, none):
     assert language.classify(none, model).count() == 0
 
 
+@pytest.mark.parametrize("rough", [False, True])
+def test_language_sample_of_copies(spark, monkeypatch, rough):
+    """Copies don't thin the sample, nor does a bad estimate of the number of texts."""
+    if rough:
+        monkeypatch.setattr(language.F, "approx_count_distinct", lambda c: F.count(F.lit(1)) * 1000)
+    # Of 21,000 rows, 20,000 are copies of one text; of the other language, all rows are copies of fifty.
+    copied = F.when(F.col("id") < 20_000, 0).otherwise(F.col("id"))
+    letters = F.translate(F.lpad(F.col("n").cast("string"), 6, "0"), "0123456789", "abcdefghij")
+    rows = spark.range(21_000).select(copied.alias("n"), F.lit("xx").alias("lang")).unionByName(spark.range(20_000).select((F.col("id") % 50).alias("n"), F.lit("yy").alias("lang")))
+    docs = rows.select(F.lit(1).alias("doc_id"), F.concat(F.lit("some words of the language "), letters).alias("text"), "lang")
+    model = language.fit(docs)
+    assert {lang: len(d.split(b"\n")) for lang, d in model.items()} == {"xx": 300, "yy": 50}
+
+
 def test_mixture_takes_each_target(spark):
     docs = table(spark, SMALL, "documents")
     got = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g"), F.max(F.col("taken") - 3 * F.col("size")).alias("over")).collect()
