@@ -15,13 +15,14 @@ from __future__ import annotations
 import bisect
 import html as entities
 import re
+from collections import deque
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieveline.llm.common import slices
@@ -183,13 +184,15 @@ def nearness(a: str, b: str) -> int:
     return n
 
 
-class Page:
-    """One page on its way through the sorted stream."""
+class Run:
+    """Pages of one host with the same lines, one after the other in the sorted stream; they have the same neighbours."""
 
-    __slots__ = ("host", "path", "row", "packed", "_lines")
+    __slots__ = ("host", "digest", "packed", "first", "last", "before", "members", "_lines")
 
-    def __init__(self, host: str, path: str, row: int, packed: bytes):
-        self.host, self.path, self.row, self.packed, self._lines = host, path, row, packed, None
+    def __init__(self, host: str, path: str, digest: bytes, packed: bytes, before: Run | None):
+        self.host, self.digest, self.packed, self.first, self.last, self.before = host, digest, packed, path, path, before
+        self.members: list[tuple] = []  # for each page: the texts of its batch, its place there, its path
+        self._lines = None
 
     @property
     def lines(self) -> list[tuple[str, int]]:
@@ -198,20 +201,34 @@ class Page:
             self._lines = [(x[1:], int(x[0])) for x in raw.split("\n") if x]
         return self._lines
 
+    def settle(self, after: Run | None) -> None:
+        """The text of each page, from the nearer neighbour."""
+        found: dict[Run | None, str] = {}
+        for texts, place, path in self.members:
+            near = [(nearness(path, at), -i, run) for i, (run, at) in enumerate(((self.before, self.before and self.before.last), (after, after and after.first))) if run]
+            other = max(near, key=lambda x: x[:2])[2] if near else None
+            if other not in found:
+                found[other] = main_text(self.lines, other.lines if other else None)
+            texts[place] = found[other]
+        self.before = None  # no chain of all runs
+
 
 def extract(pages: DataFrame, *, html_col: str = "html", url_col: str = "url") -> DataFrame:
     """The pages, without their html, with ``text`` (main text, blocks joined by newlines).
 
     Null or empty html has empty text. Pages without a URL share the empty host
     and are paired among themselves; a page alone on its host is judged by its
-    markup. Ties between neighbours go to the earlier one. Repeated rows are
-    extracted each. Pages are dealt by ranges of (host, path), so that a host
-    with a third of all pages takes many tasks; a task reads its range as a
-    stream and holds three pages. A column named like a result is replaced.
+    markup. A neighbour is a page with other lines: copies, repeated rows among
+    them, are passed over and extracted each, and a host of nothing but copies
+    is judged by markup too. Ties between neighbours go to the earlier one.
+    Pages are dealt by ranges of (host, path), so that a host with a third of
+    all pages takes many tasks; a task reads its range as a stream and holds the
+    lines of three pages, and the other columns of pages that wait for the end
+    of their run of copies. A column named like a result is replaced.
     """
     keep = [c for c in pages.columns if c not in (html_col, "text")]
     schema = T.StructType([pages.schema[c] for c in keep])
-    packed = T.StructType([*schema.fields, *T.StructType.fromDDL("_host string, _path string, _lines binary").fields])
+    packed = T.StructType([*schema.fields, *T.StructType.fromDDL("_host string, _path string, _digest binary, _lines binary").fields])
     final = T.StructType([*schema.fields, *T.StructType.fromDDL("text string").fields])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,36 +236,42 @@ def extract(pages: DataFrame, *, html_col: str = "html", url_col: str = "url") -
             coder = zstandard.ZstdCompressor(level=3)
             where = [address(u) for u in batch.column(url_col).to_pylist()]
             # The state is a digit before each line; lines hold no newline themselves.
-            blobs = [coder.compress("\n".join(f"{s}{t}" for t, s in lines_of(h)).encode("utf-8", "replace")) for h in batch.column(html_col).to_pylist()]
+            lines = [lines_of(h) for h in batch.column(html_col).to_pylist()]
+            blobs = [coder.compress("\n".join(f"{s}{t}" for t, s in x).encode("utf-8", "replace")) for x in lines]
+            # Furniture by markup makes no page another one.
+            digests = [xxhash.xxh3_128_digest("\n".join(f"{s}{t}" for t, s in x if s != DROPPED).encode("utf-8", "replace")) for x in lines]
             arrays = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays(
-                [*arrays, pa.array([h for h, _ in where], pa.string()), pa.array([p for _, p in where], pa.string()), pa.array(blobs, pa.binary())],
-                names=[*keep, "_host", "_path", "_lines"],
+                [*arrays, pa.array([h for h, _ in where], pa.string()), pa.array([p for _, p in where], pa.string()), pa.array(digests, pa.binary()), pa.array(blobs, pa.binary())],
+                names=[*keep, "_host", "_path", "_digest", "_lines"],
             )
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def text(before: Page | None, page: Page, after: Page | None) -> str:
-            near = [(nearness(page.path, p.path), -i, p) for i, p in enumerate((before, after)) if p and p.host == page.host]
-            return main_text(page.lines, max(near, key=lambda x: x[:2])[2].lines if near else None)
-
-        before = held = held_batch = None
-        done: list[str] = []
+        run: Run | None = None
+        waiting: deque[tuple[pa.RecordBatch, list[str | None]]] = deque()
         for batch in batches:
-            hosts, paths, blobs = (batch.column(c).to_pylist() for c in ("_host", "_path", "_lines"))
-            for i, found in enumerate(zip(hosts, paths, blobs, strict=True)):
-                page = Page(*found[:2], i, found[2])
-                if held is not None:
-                    done.append(text(before, held, page))
-                    if held_batch is not batch:
-                        yield finished(held_batch, done)
-                        done = []
-                before, held, held_batch = held, page, batch
-        if held is not None:
-            done.append(text(before, held, None))
-            yield finished(held_batch, done)
+            texts: list[str | None] = [None] * batch.num_rows
+            waiting.append((batch.select(keep), texts))
+            for i, (host, path, digest, blob) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_host", "_path", "_digest", "_lines")), strict=True)):
+                if run is None or (run.host, run.digest) != (host, digest):
+                    same = run is not None and run.host == host
+                    new = Run(host, path, digest, blob, run if same else None)
+                    if run is not None:
+                        run.settle(new if same else None)
+                        run.members = []
+                    run = new
+                run.last = path
+                run.members.append((texts, i, path))
+            # All but the pages of the last run are settled, and it is the stream's end.
+            while run is not None and waiting[0][1] is not run.members[0][0]:
+                yield finished(*waiting.popleft())
+        if run is not None:
+            run.settle(None)
+        while waiting:
+            yield finished(*waiting.popleft())
 
     def finished(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    dealt = pages.select(*keep, html_col).mapInArrow(parse, packed).repartitionByRange("_host", "_path", F.xxhash64("_lines")).sortWithinPartitions("_host", "_path", F.xxhash64("_lines"))
+    dealt = pages.select(*keep, html_col).mapInArrow(parse, packed).repartitionByRange("_host", "_path", "_digest").sortWithinPartitions("_host", "_path", "_digest")
     return dealt.mapInArrow(difference, final)

@@ -39,6 +39,21 @@ def test_shared_lines_go_and_others_stay(spark):
     assert got[10] == got[11] == ""
 
 
+def test_copies_are_no_neighbours(spark):
+    """Repeated rows, the same URL and the same page under adjacent URLs, with other furniture: each copy keeps its text."""
+    rows = [(i, f"http://h.example/a/{i}", PAGE % f"Story number {i}") for i in range(4)]
+    rows += [(10 + i, f"http://h.example/a/2{'x' * (i % 3)}", rows[2][2].replace("Menu", f"Menu {i}")) for i in range(20)]
+    rows += [(40 + i, "http://copies.example/", PAGE % "Copied") for i in range(3)]
+    got = {r.page_id: r.text for r in page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    for i in range(4):
+        assert got[i] == f"Story number {i}"
+    for i in range(20):
+        assert got[10 + i] == "Story number 2"
+    for i in range(3):
+        assert got[40 + i] == "All rights reserved here\nCopied\nContact us today"
+
+
 @pytest.mark.parametrize(
     ("source", "want"),
     [
