@@ -19,10 +19,12 @@ from sieveline.llm.common import table
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those without letters go, and those whose best languages are about equally near.
 
-    The dictionaries are learned from the documents of this stage.
+    The dictionaries are learned from the documents of this stage. An exact tie
+    of two languages has a score of 0.5 at most, and none of long texts in two
+    languages has a low one, so the sizes must also lie 2 % apart.
     """
     model = language.fit(docs)
-    return language.classify(docs, model, min_score=0.45).where("accepted").select(docs.columns)
+    return language.classify(docs, model, min_score=0.51).where("accepted AND margin >= 0.02").select(docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sieveline.llm import page_text, vector_search
+from sieveline.llm import language, page_text, vector_search
 from sieveline.llm.common import plain_words, table
 
 
@@ -186,3 +186,24 @@ def test_pipeline_against_brute_force(spark):
     sums = after.groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect()
     assert all(abs(r.t - r.g) <= 1 for r in sums)
     assert {r.doc_id: r.size for r in after.collect()} == {r.doc_id: len(plain_words(r.text)) for r in before.collect()}
+
+
+def test_pipeline_rejects_ties_of_two_languages(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    a, b, c = (" ".join("".join(rng.choice(list(letters), 6)) for _ in range(400)) for letters in ("abcdefgh", "ijklmnop", "qrstuvwx"))
+    more = " ".join("".join(rng.choice(list("abcdefghyz"), 6)) for _ in range(8))
+    long = " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(4000))
+    dictionaries = {"x": a.encode(), "y": f"{a} {more}".encode()}
+    texts = {1: c[700:900], 2: a[700:1900], 3: f"{long} {more}", 4: b}
+    model = language.Classifier({"x": a.encode(), "y": a.encode(), "z": c.encode()})
+    assert model.classify(texts[2])[1:] == (0.5, 0.0)
+    _, score, margin = language.Classifier(dictionaries).classify(texts[3])
+    assert score > 0.9 and 0 < margin < 0.02
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+
+    def kept(found):
+        monkeypatch.setattr(corpus_pipeline.language, "fit", lambda docs: found)
+        return {r.doc_id for r in corpus_pipeline.known_language(spark, docs, SMALL).collect()}
+
+    assert kept({"x": a.encode(), "y": a.encode(), "z": c.encode(), "w": b.encode()}) == {1, 4}
+    assert 3 not in kept(dictionaries)
