@@ -20,12 +20,13 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sieveline.llm.common import slices
+from sieveline.llm.common import saved, slices
 
 #: Elements without text for readers, furniture, inline elements, void elements, telling names.
 HIDDEN = frozenset("script style template noscript iframe object svg math canvas head title textarea select datalist".split())
@@ -189,7 +190,7 @@ class Run:
 
     __slots__ = ("host", "digest", "packed", "first", "last", "before", "members", "_lines")
 
-    def __init__(self, host: str, path: str, digest: bytes, packed: bytes, before: Run | None):
+    def __init__(self, host: tuple[int, str], path: str, digest: bytes, packed: bytes, before: Run | None):
         self.host, self.digest, self.packed, self.first, self.last, self.before = host, digest, packed, path, path, before
         self.members: list[tuple] = []  # for each page: the texts of its batch, its place there, its path
         self._lines = None
@@ -213,6 +214,63 @@ class Run:
         self.before = None  # no chain of all runs
 
 
+def packed_lines(lines: list[tuple[str, int]]) -> bytes:
+    return "\n".join(f"{s}{t}" for t, s in lines).encode("utf-8", "replace")
+
+
+def digest_of(lines: list[tuple[str, int]]) -> bytes:
+    """What tells pages apart: furniture by markup does not."""
+    return xxhash.xxh3_128_digest(packed_lines([x for x in lines if x[1] != DROPPED]))
+
+
+def pure(x: str | bytearray) -> str | bytes:
+    return bytes(x) if isinstance(x, bytearray) else x
+
+
+#: Host, path and digest, the order of pages; and what a range tells of its edges.
+Key = tuple[str, str, bytes]
+ORDER = ["_host", "_path", "_digest"]
+KEY = pa.struct([("h", pa.string()), ("p", pa.string()), ("d", pa.binary())])
+ENDS = ", ".join(f"{c} struct<h string, p string, d binary>" for c in ("first", "second", "last", "previous")) + ", changed boolean"
+
+
+def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A sorted range's first and last page, and the pages next to the runs of copies that these stand in, if of their host.
+
+    ``changed`` tells that the range holds more than one run.
+    """
+    first = second = last = previous = None
+    changed = False
+    for batch in batches:
+        for key in zip(*(batch.column(c).to_pylist() for c in ORDER), strict=True):
+            if first is None:
+                first = key
+            elif (key[0], key[2]) != (last[0], last[2]):
+                if not changed:
+                    second = key if key[0] == first[0] else None
+                previous, changed = last if key[0] == last[0] else None, True
+            last = key
+    if first is not None:
+        edges = [pa.array([k and dict(zip("hpd", k, strict=True))], KEY) for k in (first, second, last, previous)]
+        yield pa.RecordBatch.from_arrays([*edges, pa.array([changed])], names=["first", "second", "last", "previous", "changed"])
+
+
+def beyond(ranges: list[dict], at: int) -> Iterator[Key]:
+    """Pages of other ranges that are neighbours of the first and of the last run of copies in a range."""
+    for outer, inner, near, over in ((range(at - 1, -1, -1), "first", "last", "previous"), (range(at + 1, len(ranges)), "last", "first", "second")):
+        host, _, digest = ranges[at][inner]
+        for other in (ranges[i] for i in outer):
+            if other[near][0] != host:
+                break
+            if other[near][2] != digest:
+                yield other[near]
+                break
+            if other["changed"]:  # the run goes on into that range and ends there
+                if other[over]:
+                    yield other[over]
+                break
+
+
 def extract(pages: DataFrame, *, html_col: str = "html", url_col: str = "url") -> DataFrame:
     """The pages, without their html, with ``text`` (main text, blocks joined by newlines).
 
@@ -224,35 +282,58 @@ def extract(pages: DataFrame, *, html_col: str = "html", url_col: str = "url") -
     Pages are dealt by ranges of (host, path), so that a host with a third of
     all pages takes many tasks; a task reads its range as a stream and holds the
     lines of three pages, and the other columns of pages that wait for the end
-    of their run of copies. A column named like a result is replaced.
+    of their run of copies. A first pass over the pages' keys finds the ranges
+    and the pages beyond each edge that are neighbours of pages within; those
+    are sent along, so that the ranges don't change the result. A column named
+    like a result is replaced.
     """
     keep = [c for c in pages.columns if c not in (html_col, "text")]
     schema = T.StructType([pages.schema[c] for c in keep])
-    packed = T.StructType([*schema.fields, *T.StructType.fromDDL("_host string, _path string, _digest binary, _lines binary").fields])
+    packed = T.StructType([*schema.fields, *T.StructType.fromDDL("_bucket int, _along boolean, _host string, _path string, _digest binary, _lines binary").fields])
     final = T.StructType([*schema.fields, *T.StructType.fromDDL("text string").fields])
 
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [(*address(u), digest_of(lines_of(h))) for u, h in zip(batch.column(url_col).to_pylist(), batch.column(html_col).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.string(), pa.binary()), strict=True)], names=ORDER)
+
+    count = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = saved(pages.select(url_col, html_col).mapInArrow(keys, "_host string, _path string, _digest binary"))
+    # One row of keys a range.
+    found = known.repartitionByRange(count, *ORDER).sortWithinPartitions(*ORDER).mapInArrow(ends, ENDS).collect()
+    ranges = sorted(({k: tuple(map(pure, v)) if isinstance(v, tuple) else v for k, v in r.asDict().items()} for r in found), key=lambda r: r["first"])
+    starts = [r["first"] for r in ranges]
+    wanted: dict[Key, list[int]] = {}
+    for bucket in range(len(ranges)):
+        for key in beyond(ranges, bucket):
+            wanted.setdefault(key, []).append(bucket)
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[Key] = set()
         for batch in slices(batches):
             coder = zstandard.ZstdCompressor(level=3)
-            where = [address(u) for u in batch.column(url_col).to_pylist()]
-            # The state is a digit before each line; lines hold no newline themselves.
-            lines = [lines_of(h) for h in batch.column(html_col).to_pylist()]
-            blobs = [coder.compress("\n".join(f"{s}{t}" for t, s in x).encode("utf-8", "replace")) for x in lines]
-            # Furniture by markup makes no page another one.
-            digests = [xxhash.xxh3_128_digest("\n".join(f"{s}{t}" for t, s in x if s != DROPPED).encode("utf-8", "replace")) for x in lines]
-            arrays = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays(
-                [*arrays, pa.array([h for h, _ in where], pa.string()), pa.array([p for _, p in where], pa.string()), pa.array(digests, pa.binary()), pa.array(blobs, pa.binary())],
-                names=[*keep, "_host", "_path", "_digest", "_lines"],
-            )
+            rows: list[tuple] = []
+            for i, (url, source) in enumerate(zip(batch.column(url_col).to_pylist(), batch.column(html_col).to_pylist(), strict=True)):
+                lines = lines_of(source)
+                key = (*address(url), digest_of(lines))
+                # The state is a digit before each line; lines hold no newline themselves.
+                blob = coder.compress(packed_lines(lines))
+                rows.append((i, max(0, bisect.bisect_right(starts, key) - 1), False, *key, blob))
+                if key in wanted and key not in sent:
+                    sent.add(key)
+                    rows += [(i, bucket, True, *key, blob) for bucket in wanted[key]]
+            places, *columns = zip(*rows, strict=True)
+            added = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.binary(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(places)) for c in keep), *added], names=[*keep, "_bucket", "_along", *ORDER, "_lines"])
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run: Run | None = None
         waiting: deque[tuple[pa.RecordBatch, list[str | None]]] = deque()
         for batch in batches:
             texts: list[str | None] = [None] * batch.num_rows
-            waiting.append((batch.select(keep), texts))
-            for i, (host, path, digest, blob) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_host", "_path", "_digest", "_lines")), strict=True)):
+            waiting.append((batch.select([*keep, "_along"]), texts))
+            for i, (bucket, along, host, path, digest, blob) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_bucket", "_along", *ORDER, "_lines")), strict=True)):
+                host = bucket, host
                 if run is None or (run.host, run.digest) != (host, digest):
                     same = run is not None and run.host == host
                     new = Run(host, path, digest, blob, run if same else None)
@@ -261,17 +342,19 @@ def extract(pages: DataFrame, *, html_col: str = "html", url_col: str = "url") -
                         run.members = []
                     run = new
                 run.last = path
-                run.members.append((texts, i, path))
+                if not along:
+                    run.members.append((texts, i, path))
             # All but the pages of the last run are settled, and it is the stream's end.
-            while run is not None and waiting[0][1] is not run.members[0][0]:
+            while waiting and not (run is not None and run.members and waiting[0][1] is run.members[0][0]):
                 yield finished(*waiting.popleft())
         if run is not None:
             run.settle(None)
         while waiting:
             yield finished(*waiting.popleft())
 
-    def finished(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
+    def finished(batch: pa.RecordBatch, texts: list[str | None]) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
+        return out.filter(pc.invert(batch.column("_along")))
 
-    dealt = pages.select(*keep, html_col).mapInArrow(parse, packed).repartitionByRange("_host", "_path", "_digest").sortWithinPartitions("_host", "_path", "_digest")
+    dealt = pages.select(*keep, html_col).mapInArrow(parse, packed).repartitionById(max(1, len(ranges)), "_bucket").sortWithinPartitions("_bucket", *ORDER)
     return dealt.mapInArrow(difference, final)

@@ -54,6 +54,25 @@ def test_copies_are_no_neighbours(spark):
         assert got[40 + i] == "All rights reserved here\nCopied\nContact us today"
 
 
+@pytest.mark.parametrize("parts", [1, 3, 60])
+def test_ranges_do_not_change_texts(spark, parts):
+    """However few pages of a host a range holds, each meets its neighbours; runs of copies may fill several ranges."""
+    rows = [(100 * h + i, f"http://h{h}.example/a/{i:02}", PAGE % f"Story number {min(i, 5) if h % 2 else i}") for h in range(4) for i in range(12)]
+    rows += [(900, "http://one.example/", PAGE % "One")]
+    keys = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+        got = [(r.page_id, r.text) for r in page_text.extract(pages).collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = [(100 * h + i, f"Story number {min(i, 5) if h % 2 else i}") for h in range(4) for i in range(12)]
+    assert sorted(got) == [*want, (900, "All rights reserved here\nOne\nContact us today")]
+
+
 @pytest.mark.parametrize(
     ("source", "want"),
     [
