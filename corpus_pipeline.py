@@ -27,12 +27,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language.classify(docs, model, min_score=0.51).where("accepted AND margin >= 0.02").select(docs.columns)
 
 
-def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str, width: int = 3, percent: int = 90) -> DataFrame:
     """One document of each group of near duplicates: that with the least id.
 
+    Documents link at a Jaccard index of ``percent`` hundredths on shingles of ``width`` words.
     Documents without words or without an id are in no group and stay, as do rows that repeat a kept document's id.
     """
-    found = shingle_join.join(docs.select("doc_id", "text")).where("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
+    found = shingle_join.join(docs.select("doc_id", "text"), width=width, percent=percent)
+    found = found.where("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(docs.columns)
 
 

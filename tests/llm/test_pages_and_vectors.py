@@ -226,3 +226,17 @@ def test_pipeline_rejects_ties_of_two_languages(spark, monkeypatch):
 
     assert kept({"x": a.encode(), "y": a.encode(), "z": c.encode(), "w": b.encode()}) == {1, 4}
     assert 3 not in kept(dictionaries)
+
+
+def test_near_duplicates_at_other_figures(spark):
+    docs = table(spark, SMALL, "documents").cache()
+    sets = {r.doc_id: frozenset(zip(*(w[k:] for k in range(5)))) for r in docs.collect() if len(w := plain_words(r.text)) >= 5}
+    linked = {i: {j for j in sets if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])} for i in sets}
+    left = {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, SMALL, width=5, percent=80).collect()}
+    for i in sets:
+        group, todo = {i}, [i]
+        while todo:
+            new = linked[todo.pop()] - group
+            group |= new
+            todo += new
+        assert (i in left) == (i == min(group))
