@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local(cpus: int = 8, memory: str = "8g", **more: str) -> SparkSession:
@@ -19,9 +21,21 @@ def local(cpus: int = 8, memory: str = "8g", **more: str) -> SparkSession:
     return spark
 
 
-def saved(df):
-    """The rows, stored in the shared checkpoint folder; our own folder only where the cluster names none."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share: the one that ``spark.checkpoint.dir`` names.
+
+    Without that setting a local session gets a folder of its own; a cluster is refused, as a folder of one machine dies with it.
+    """
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows, stored in the shared checkpoint folder, so that lost executors cost no recomputation."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
