@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.config import STRATEGIES, Predictor, Run, Scoring
-from sieveline.functions.vectors import imputed
 from sieveline.operators import encoding
 from sieveline.plans import construct, experiments
+from sieveline.session import saved
 from sieveline.sources import sinks, tables
 
 
@@ -61,8 +61,8 @@ def numbers(text: str) -> list[int]:
     return [int(x.strip()) for x in text.split(",")]
 
 
-def loaded(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    """id, split, label and vector x: categorical columns encoded on train, missing numbers filled, columns brought to 0..1."""
+def loaded(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, tables.Features]:
+    """id, split, label, the features as doubles (texts encoded on train, gaps left) and the vector x of them; and what made x."""
     paths = {s: f"{a.setting}/{s}.{a.format}" for s in tables.SPLITS}
     schema = tables.read_split(spark, paths["train"]).schema
     names = [f.name for f in schema if f.name not in (a.id, a.label)]
@@ -73,10 +73,10 @@ def loaded(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     texts = [f.name for f in schema if f.name in names and f.dataType.typeName() in ("string", "varchar", "char")]
     codes = encoding.fit(rows.where("split = 'train'"), texts) if texts else None
     rows = encoding.apply(rows, codes, texts) if texts else rows
-    rows = imputed(rows.select("id", "split", "label", *(F.col(c).cast("double").alias(c) for c in names)), names)
-    span = rows.where("split = 'train'").agg(*(F.coalesce(f(c), F.lit(0.0)) for c in names for f in (F.min, F.max))).collect()[0]
-    scaled = [(F.col(c) - span[2 * i]) / (span[2 * i + 1] - span[2 * i] + 1e-8) for i, c in enumerate(names)]
-    return rows.select("id", "split", "label", F.array(*scaled).alias("x"))
+    rows = rows.select("id", "split", "label", *(F.col(f"`{c}`").cast("double").alias(c) for c in names))
+    categories = {r.col: r.n_categories for r in encoding.cardinality(codes).collect()} if texts else {}
+    features = tables.features_of(rows, names, tuple(sorted(categories.items())))
+    return rows.withColumn("x", features.vector()), features
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -87,39 +87,49 @@ def main(argv: list[str] | None = None) -> None:
         from sieveline.functions import costs
 
         table = costs.sweep(spark, numbers(a.target_sizes), a.top_features, a.n_estimators, a.n_query)
-        sinks.write_table(table, f"{output}/flops_target_size", "csv", one_file=True)
+        sinks.write_table(table, f"{output}/flops_target_size.csv", "csv", one_file=True)
         sinks.write_manifest(spark, f"{output}/artifact_manifest", vars(a) | {"linear": costs.linear_coefficients(spark, a.top_features, a.n_estimators).collect()[0].asDict()})
         return
-    rows = loaded(spark, a)
+    rows, features = loaded(spark, a)
+    sizes = {r.split: r["count"] for r in rows.groupBy("split").count().collect()}
+    dataset = {"data_setting": a.setting} | {f"{s}_path": f"{a.setting}/{s}.{a.format}" for s in tables.SPLITS}
+
+    def manifest(kind: str, files: list[str], run: Run, **more) -> None:
+        content = sinks.manifest(kind, {f: f"{output}/{f}.csv" for f in files}, run, sizes, features, {"arguments": vars(a)} | more, dataset)
+        sinks.write_manifest(spark, f"{output}/artifact_manifest", content)
+
     if a.command == "baseline":
         found, best = experiments.random_baseline(rows, a.target_size, a.n_runs, a.seed)
         for short, split in (("val", "validation"), ("test", "test")):
-            sinks.write_table(found.where(F.col("split") == split).drop("split"), f"{output}/{short}_metrics", "csv", one_file=True)
+            sinks.write_table(found.where(F.col("split") == split).drop("split"), f"{output}/{short}_metrics.csv", "csv", one_file=True)
         if best is not None:
-            sinks.write_context(best, f"{output}/best_support_set")
-        sinks.write_table(experiments.overall(found), f"{output}/summary", "csv", one_file=True)
-        sinks.write_manifest(spark, f"{output}/artifact_manifest", vars(a))
+            sinks.write_context(best, f"{output}/{construct.BEST}")
+        overall = experiments.overall(found)
+        sinks.write_table(overall, f"{output}/summary.csv", "csv", one_file=True)
+        run = Run(seed=a.seed, target_size=a.target_size, predictor=Predictor(temperature=a.temperature), top_features=a.top_features)
+        manifest("baseline_random", ["best_support_set", "val_metrics", "test_metrics", "summary"], run, summary=overall.collect()[0].asDict(), n_runs=a.n_runs)
         return
     scoring = Scoring(method=a.threshold_method, reliable_at=a.reliable_threshold, uncertain_at=a.uncertain_threshold, reliable_percent=a.reliable_percentile, suspect_percent=a.suspect_percentile)
     run = Run(probes=a.K, probe_size=a.support_size, seed=a.seed, scoring=scoring, predictor=Predictor(temperature=a.temperature), top_features=a.top_features)
     if a.command == "score":
         found = experiments.joint_scores(rows, run)
-        sinks.write_scores(found, f"{output}/reliability_scores_all", by=("split",))
+        sinks.write_scores(found, f"{output}/reliability_scores_all.csv", "csv")
         wide = found.select("id", "split", *(F.col("v")[k].alias(f"p_fraud_probe_{k}") for k in range(a.K)))
-        sinks.write_table(wide, f"{output}/prediction_vectors")
-        sinks.write_manifest(spark, f"{output}/artifact_manifest", vars(a))
+        sinks.write_table(wide, f"{output}/prediction_vectors.csv", "csv")
+        manifest("reliability_scores", ["reliability_scores_all", "prediction_vectors"], run)
     elif a.command == "ablation":
         found = experiments.ablation(rows, numbers(a.target_sizes), run, baseline_runs=a.baseline_runs, output=output)
-        sinks.write_table(found, f"{output}/ablation_results", "csv", one_file=True)
-        sinks.write_table(experiments.summary(found), f"{output}/ablation_summary", "csv", one_file=True)
-        sinks.write_manifest(spark, f"{output}/artifact_manifest", vars(a))
+        found = saved(found)
+        sinks.write_table(found, f"{output}/ablation_results.csv", "csv", one_file=True)
+        sinks.write_table(experiments.summary(found), f"{output}/ablation_summary.csv", "csv", one_file=True)
+        manifest("ablation", ["reliability_scores", "ablation_results", "ablation_summary"], run)
     else:
         from dataclasses import replace
 
-        plan = construct.Construction(rows, replace(run, rounds=a.max_iterations, target_size=a.target_size, strategy=a.neg_sampling))
+        plan = construct.Construction(rows, replace(run, rounds=a.max_iterations, target_size=a.target_size, strategy=a.neg_sampling), features=features)
         result = plan.run(output)
         if a.eval_test and result.best is not None:
-            plan.final(result.best, output)
+            plan.final(output)
 
 
 if __name__ == "__main__":

@@ -9,51 +9,59 @@ from pyspark.sql import functions as F
 
 #: Half the share of rows that a bracket around a rank holds, about.
 SLACK = 0.002
+#: Values that one task may sort, and rows of a range of running sums.
+MOST, RANGE_ROWS = 1_000_000, 500_000
 
 
-def exact(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+def exact(df: DataFrame, column: str, shares: list[float], most: int = MOST) -> list[float | None]:
     """Percentiles with linear interpolation between ranks, as exact as a sort; None without known values.
 
-    A sketch brackets each rank; values outside the bracket are only counted,
-    and the few inside are sorted. A bracket that misses is widened.
+    Up to ``most`` values are sorted at once. Of more, sketches bracket a rank
+    closer and closer: values outside are only counted, until few are inside.
     """
     values = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
     n = values.count()
     if not n:
         return [None] * len(shares)
     ranks = [s * (n - 1) for s in shares]
-    out: list[float | None] = [None] * len(shares)
-    slack, todo = SLACK, set(range(len(shares)))
-    while todo:
-        order = sorted(todo)
-        edges = [min(max(shares[i] + d, 0.0), 1.0) for i in order for d in (-slack, slack)]
-        sketch = values.agg(F.percentile_approx("v", edges, int(2 / SLACK)).alias("q"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()[0]
-        brackets = {}
-        for k, i in enumerate(order):
-            lo, hi = edges[2 * k], edges[2 * k + 1]
-            brackets[i] = (sketch.lo if lo <= 0 else sketch.q[2 * k], sketch.hi if hi >= 1 else sketch.q[2 * k + 1])
-        below = values.agg(*(F.count_if(F.col("v") < brackets[i][0]).alias(f"b{i}") for i in order)).collect()[0]
-        for i in order:
-            lo, hi = brackets[i]
-            # Equal values are one row: a crowded value does not crowd the sort.
-            steps = values.where((F.col("v") >= lo) & (F.col("v") <= hi)).groupBy("v").count()
-            upto = steps.withColumn("upto", F.sum("count").over(Window.orderBy("v")) + below[f"b{i}"])
-            first, second = math.floor(ranks[i]), math.ceil(ranks[i])
-            got = upto.agg(F.min(F.when(F.col("upto") > first, F.col("v"))).alias("a"), F.min(F.when(F.col("upto") > second, F.col("v"))).alias("b")).collect()[0]
-            if below[f"b{i}"] <= first and got.b is not None:
-                out[i] = got.a + (got.b - got.a) * (ranks[i] - first)
-                todo.discard(i)
-        slack *= 10
-    return out
+    if n <= most:
+        return at_ranks(values, ranks, 0)
+    return [at_ranks(*bracket(values, n, r, most))[0] for r in ranks]
 
 
-def running(df: DataFrame, by: str, sums: list[str], keys: list[str], parts: int = 64) -> DataFrame:
+def at_ranks(values: DataFrame, ranks: list[float], below: int) -> list[float]:
+    """Values at the ranks, of which ``below`` belong to values that were left out. Equal values are one row."""
+    upto = values.groupBy("v").count().withColumn("upto", F.sum("count").over(Window.orderBy("v")) + below)
+    first = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("v")))
+    got = upto.agg(*(first(f(r)).alias(f"{i}{f.__name__}") for i, r in enumerate(ranks) for f in (math.floor, math.ceil))).collect()[0]
+    return [got[2 * i] + (got[2 * i + 1] - got[2 * i]) * (r - math.floor(r)) for i, r in enumerate(ranks)]
+
+
+def bracket(values: DataFrame, n: int, rank: float, most: int) -> tuple[DataFrame, list[float], int]:
+    """The values around a rank, at most ``most`` of them unless equal ones crowd there, the rank, and how many values lie below."""
+    below, inside, slack = 0, n, SLACK
+    while inside > most:
+        at = (rank - below) / (inside - 1)
+        ends = [max(0.0, at - slack), min(1.0, at + slack)]
+        lo, hi = values.agg(F.percentile_approx("v", ends, int(2 / SLACK)).alias("q")).collect()[0].q
+        under, upto = values.agg(F.count_if(F.col("v") < lo), F.count_if(F.col("v") <= hi)).collect()[0]
+        if below + under > math.floor(rank) or below + upto <= math.ceil(rank):  # the sketch missed
+            slack *= 10
+            continue
+        if upto - under >= inside:  # nothing but the values that crowd
+            break
+        values, below, inside, slack = values.where((F.col("v") >= lo) & (F.col("v") <= hi)), below + under, upto - under, SLACK
+    return values, [rank], below
+
+
+def running(df: DataFrame, by: str, sums: list[str], keys: list[str], parts: int | None = None) -> DataFrame:
     """The rows with ``run_<c>`` for each c of ``sums``: its sum over its group's rows with ``by`` as large or larger.
 
     Rows fall into ranges of ``by``; a range's offset is the sum of the ranges
     above it, and only rows of one group and range are sorted together. ``by``
     must be different in each row of a group (of equal ``keys``).
     """
+    parts = parts or min(10_000, max(64, df.count() // RANGE_ROWS))
     cuts = df.agg(F.percentile_approx(by, [i / parts for i in range(1, parts)], 10 * parts).alias("q")).collect()[0].q or []
     cuts = sorted(set(cuts))
     place: Column = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: F.col(by) >= c)) if cuts else F.lit(0)

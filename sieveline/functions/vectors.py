@@ -41,6 +41,20 @@ def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     return {c: v if (v := exact(df.select(known(F.col(c).cast("double")).alias(c)), c, [0.5])[0]) is not None else 0.0 for c in columns}
 
 
+def filled(rows: DataFrame, vector_col: str = "v") -> DataFrame:
+    """The rows, with missing components of the vector filled with their column's median, or 0 in a column without any."""
+    v = F.col(vector_col)
+    size = rows.agg(F.max(F.size(v)).alias("d")).collect()[0].d or 0
+    gap = [F.count_if(v[i].isNull() | F.isnan(v[i])) for i in range(size)]
+    found = rows.agg(*(g.alias(str(i)) for i, g in enumerate(gap))).collect()[0] if size else []
+    gaps = [i for i, n in enumerate(found) if n]
+    if not gaps:
+        return rows
+    fill = medians(rows.select(*(v[i].alias(f"c{i}") for i in gaps)), [f"c{i}" for i in gaps])
+    defaults = F.array(*(F.lit(float(fill.get(f"c{i}", 0.0))) for i in range(size)))
+    return rows.withColumn(vector_col, F.transform(v, lambda x, i: F.coalesce(known(x), defaults[i])))
+
+
 def imputed(df: DataFrame, columns: list[str]) -> DataFrame:
     """Missing numbers filled with their column's median, or 0 in a column without any."""
     fill = medians(df, columns)

@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sieveline.functions.vectors import l2_normalised
+from sieveline.functions.vectors import filled, l2_normalised
 from sieveline.operators.sampling import draw
 from sieveline.session import saved
 
@@ -73,9 +73,13 @@ def lloyd_medoids(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 
 def diverse(rows: DataFrame, n: int, seed: int = 42, normalise: bool = False) -> DataFrame:
-    """id of n representatives (k-means medoids), or of all rows if there are no more than n."""
+    """id of n representatives (k-means medoids), or of all rows if there are no more than n.
+
+    Gaps are filled with medians for the clustering alone: it tells which rows are chosen, never what they hold.
+    """
     if rows.limit(n + 1).count() <= n:
         return rows.select("id")
+    rows = filled(rows)
     points = rows.select("id", l2_normalised(F.col("v")).alias("v")) if normalise else rows.select("id", "v")
     return medoids(points, kmeans_centres(points, n, seed)).select("id")
 

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Numbers (rows times columns) of context that a task may hold at once.
 MOST_CONTEXT = 20_000_000
+#: Queries of a block, and the least number of blocks, where a set is too large for every task.
+BLOCK_QUERIES, LEAST_BLOCKS = 200_000, 64
 
 
 class Model(Protocol):
@@ -26,14 +28,19 @@ class Model(Protocol):
 
 
 class AttentionVote:
-    """The stand-in: P(1 | x) is the softmax-weighted share of label 1, by inner product over temperature."""
+    """The stand-in: P(1 | x) is the softmax-weighted share of label 1, by inner product over temperature.
+
+    Missing components take no part in a product.
+    """
 
     def __init__(self, temperature: float = 0.1):
         self.temperature = temperature
 
     def fit(self, x: np.ndarray, y: np.ndarray):
+        x = np.nan_to_num(x)
+
         def predict(q: np.ndarray) -> np.ndarray:
-            logits = q @ x.T / self.temperature
+            logits = np.nan_to_num(q) @ x.T / self.temperature
             weights = np.exp(logits - logits.max(axis=1, keepdims=True))
             return (weights * y).sum(axis=1) / weights.sum(axis=1)
 
@@ -58,6 +65,12 @@ def chunk_rows_column(context: Column, features: Column, members: Column, memory
     return F.least(F.lit(50_000), F.greatest(F.lit(100), together - context)).cast("long")
 
 
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Equally long lists of numbers as rows; null components are NaN."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return whole.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(whole), -1) if len(whole) else np.empty((0, 0))
+
+
 def predict(queries: DataFrame, contexts: DataFrame, model: Model | None = None, *, vector_col: str = "x", set_col: str = "k") -> DataFrame:
     """id, k, p: P(label 1) of every query under every context set; no row is left out of its own set.
 
@@ -68,12 +81,9 @@ def predict(queries: DataFrame, contexts: DataFrame, model: Model | None = None,
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector_col)).alias("d")).collect()[0]
     if (size.n or 0) * (size.d or 0) > MOST_CONTEXT:
         return predict_by_set(queries, contexts, model, vector_col=vector_col, set_col=set_col)
-    held: dict[int, tuple[list, list]] = {}
-    for r in rows.orderBy(set_col, "label", vector_col).collect():
-        xs, ys = held.setdefault(r[0], ([], []))
-        xs.append(r[2])
-        ys.append(r[1])
-    shared = queries.sparkSession.sparkContext.broadcast({k: (np.array(x), np.array(y, dtype=float)) for k, (x, y) in sorted(held.items())})
+    held = rows.orderBy(set_col, "label", vector_col).toArrow()
+    keys, y, x = held.column(0).to_numpy(), held.column(1).to_numpy().astype(float), matrix(held.column(2))
+    shared = queries.sparkSession.sparkContext.broadcast({int(k): (x[keys == k], y[keys == k]) for k in np.unique(keys)})
     kind = queries.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,16 +91,17 @@ def predict(queries: DataFrame, contexts: DataFrame, model: Model | None = None,
         for batch in batches:
             if not batch.num_rows:
                 continue
-            q = np.array(batch.column("x").to_pylist(), dtype=float)
+            q = matrix(batch.column("x"))
             for k, f in fitted.items():
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([k] * len(q), pa.int32()), pa.array(f(q), pa.float64())], names=["id", "k", "p"])
 
     return queries.select("id", F.col(vector_col).alias("x")).mapInArrow(run, f"id {kind}, k int, p double")
 
 
-def predict_by_set(queries: DataFrame, contexts: DataFrame, model: Model, *, vector_col: str = "x", set_col: str = "k", blocks: int = 64) -> DataFrame:
+def predict_by_set(queries: DataFrame, contexts: DataFrame, model: Model, *, vector_col: str = "x", set_col: str = "k", blocks: int | None = None) -> DataFrame:
     """The same where the sets together are too large for every task: a set meets the queries in blocks, one a task."""
     kind = queries.schema["id"].dataType.simpleString()
+    blocks = blocks or max(LEAST_BLOCKS, -(-queries.count() // BLOCK_QUERIES))
     sets = [r[0] for r in contexts.select(set_col).distinct().orderBy(set_col).collect()]
     asked = queries.select("id", F.col(vector_col).alias("x"), F.explode(F.array(*map(F.lit, sets))).alias("k"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"))
     given = contexts.select(F.col(set_col).alias("k"), "label", F.col(vector_col).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"))
@@ -98,8 +109,8 @@ def predict_by_set(queries: DataFrame, contexts: DataFrame, model: Model, *, vec
     def run(key: tuple, q: pa.Table, c: pa.Table) -> pa.Table:
         if not q.num_rows or not c.num_rows:
             return pa.table({"id": q.column("id").slice(0, 0), "k": pa.array([], pa.int32()), "p": pa.array([], pa.float64())})
-        f = model.fit(np.array(c.column("x").to_pylist(), dtype=float), np.array(c.column("label").to_pylist(), dtype=float))
-        p = f(np.array(q.column("x").to_pylist(), dtype=float))
+        f = model.fit(matrix(c.column("x")), c.column("label").to_numpy().astype(float))
+        p = f(matrix(q.column("x")))
         return pa.table({"id": q.column("id"), "k": pa.array([key[0].as_py()] * len(p), pa.int32()), "p": pa.array(p, pa.float64())})
 
     return asked.groupBy("k", "b").cogroup(given.groupBy("k", "b")).applyInArrow(run, f"id {kind}, k int, p double")

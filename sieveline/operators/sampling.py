@@ -14,11 +14,6 @@ def draw(seed: Column, key: Column) -> Column:
     return F.md5(F.concat_ws("-", seed.cast("string"), key.cast("string")).cast("binary"))
 
 
-def first_by_hash(df: DataFrame, n: int, seed: int) -> DataFrame:
-    """n rows drawn without replacement, or all if there are fewer."""
-    return df.orderBy(draw(F.lit(str(seed)), F.col("id")), "id").limit(n)
-
-
 def lowest(every: DataFrame, group: list[str], seed: Column, quota: dict[bool, int], sizes: dict[bool, int], groups: int) -> DataFrame:
     """Rows of ``every`` (id, positive and the columns of ``group``) that are drawn first in their group, up to its quota; stored.
 
@@ -64,5 +59,6 @@ def baseline_draws(rows: DataFrame, n: int, runs: int, seed: int = 42) -> DataFr
 
 
 def target_sizes(n_positive: int, target: int | None) -> tuple[int, int]:
-    """How many positives and others a context set gets: halves of the target, or as many others as positives."""
-    return (n_positive, n_positive) if target is None else (target // 2, target - target // 2)
+    """How many positives and others a context set gets: half of the target each, rounded down, or as many others as positives."""
+    each = n_positive if target is None else target // 2
+    return each, each

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from sieveline.config import NOISY, STRATEGIES, TRUSTED
 from sieveline.functions.percentiles import exact
-from sieveline.functions.vectors import l2_normalised
 from sieveline.operators import clustering
 from sieveline.operators.sampling import draw
 from sieveline.session import saved
@@ -152,9 +151,5 @@ def context_sets(train: DataFrame, pool: DataFrame, k: int, strategy: str = "ran
     return out
 
 
-def normalised_pool(pool: DataFrame) -> DataFrame:
-    return pool.withColumn("v", l2_normalised(F.col("v")))
-
-
 def noisy(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("label") == NOISY)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from sieveline.config import NOISY, TRUSTED, Run
 from sieveline.operators import metrics, predict, reliability, sampling, selection
 from sieveline.session import saved
-from sieveline.sources import sinks
+from sieveline.sources import sinks, tables
+
+#: The folder of the best set.
+BEST = "best_support_set.csv"
 
 
 @dataclass
@@ -24,9 +27,10 @@ class Result:
 
 
 class Construction:
-    """A run over rows with id, split, label and vector x."""
+    """A run over rows with id, split, label and vector x, and the named features that x was made of, if there are any."""
 
-    def __init__(self, rows: DataFrame, run: Run | None = None, model: predict.Model | None = None):
+    def __init__(self, rows: DataFrame, run: Run | None = None, model: predict.Model | None = None, features: tables.Features | None = None):
+        self.features = features
         self.run_options = run or Run()
         self.model = model or predict.AttentionVote(self.run_options.predictor.temperature)
         self.rows = rows
@@ -63,7 +67,7 @@ class Construction:
         n_positive, n_negative = sampling.target_sizes(n_trusted, o.target_size)
         best, best_metric, history = None, 0.0, []
         for number in range(1, o.rounds + 1):
-            context = saved(selection.context_set(self.train, pool, n_negative, o.strategy, o.seed + number, n_positive))
+            context = saved(selection.context_set(self.train, pool, n_negative, o.strategy, o.seed + number - 1, n_positive))
             found = self.report(context)
             history.append(found | {"iteration": number} | {f"n_{c}": counts.get(c, 0) for c in ("reliable", "uncertain", "suspect")})
             metric = found["pr_auc"] or 0.0
@@ -73,16 +77,27 @@ class Construction:
                 break
         if output:
             spark = self.rows.sparkSession
-            sinks.write_scores(scored, f"{output}/reliability_scores")
-            sinks.write_table(spark.createDataFrame(history), f"{output}/metrics_history", "csv", one_file=True)
+            # Scores are the same in every round, so they are written once.
+            sinks.write_scores(scored, f"{output}/reliability_scores.csv", "csv")
+            sinks.write_table(spark.createDataFrame(history), f"{output}/metrics_history.csv", "csv", one_file=True)
             if best is not None:
-                sinks.write_context(best.select("id", "x", "label"), f"{output}/best_support_set")
-            sinks.write_manifest(spark, f"{output}/artifact_manifest", {"run": asdict(o), "classes": counts, "best_metric": best_metric, "rounds": len(history)})
+                sinks.write_context(best, f"{output}/{BEST}")
+            high, low = reliability.thresholds(scored, o.scoring)
+            chosen = {r.label: r["count"] for r in best.groupBy("label").count().collect()} if best is not None else {}
+            artifacts = {name: f"{output}/{name}.csv" for name in ("best_support_set", "metrics_history", "reliability_scores")}
+            sizes = {r.split: r["count"] for r in self.rows.groupBy("split").count().collect()}
+            more = {
+                "pipeline": {"iterations_run": len(history), "best_metric": best_metric},
+                "reliability_scoring": {"resolved_reliable_threshold": high, "resolved_uncertain_threshold": low},
+                "support_set_composition": {"n_positives": chosen.get(TRUSTED, 0), "n_negatives": chosen.get(NOISY, 0)},
+                "classes": counts,
+            }
+            sinks.write_manifest(spark, f"{output}/artifact_manifest", sinks.manifest("support_set_construction", artifacts, o, sizes, self.features, more))
         return Result(best, best_metric, history, scored)
 
-    def final(self, context: DataFrame, output: str | None = None) -> dict[str, float]:
-        """Metrics on the test split, the threshold fitted there too."""
-        found = self.report(context, "test")
-        if output:
-            sinks.write_table(self.rows.sparkSession.createDataFrame([found]), f"{output}/test_metrics", "csv", one_file=True)
+    def final(self, output: str, context: DataFrame | None = None) -> dict[str, float]:
+        """Metrics on the test split, the threshold fitted there too: of the set saved in the folder, or of a given one."""
+        spark = self.rows.sparkSession
+        found = self.report(tables.saved_context(spark, f"{output}/{BEST}", self.features) if context is None else context, "test")
+        sinks.write_table(spark.createDataFrame([found]), f"{output}/test_metrics.csv", "csv", one_file=True)
         return found

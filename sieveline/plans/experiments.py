@@ -9,6 +9,7 @@ from sieveline.config import NOISY, STRATEGIES, TRUSTED, Run
 from sieveline.operators import metrics, predict, reliability, sampling, selection
 from sieveline.plans.construct import Construction
 from sieveline.session import saved
+from sieveline.sources import sinks
 
 METRICS = ("roc_auc", "pr_auc", "f1", "precision", "recall")
 
@@ -55,7 +56,7 @@ def random_baseline(rows: DataFrame, target_size: int | None = None, runs: int =
 def ablation_baseline(plan: Construction, target_size: int, runs: int, seed: int, chosen: DataFrame) -> DataFrame:
     """The random baseline as rows of the ablation: test metrics at the validation threshold."""
     found = measured(plan, random_contexts(plan, target_size, runs, seed, chosen))
-    return result(found, target_size, F.lit("baseline"), F.col("k"))
+    return result(found, target_size, F.lit("baseline_random"), F.col("k") + 1)
 
 
 def result(found: DataFrame, target_size: int, method: Column, run: Column) -> DataFrame:
@@ -75,11 +76,14 @@ def ablation(rows: DataFrame, sizes: list[int], run: Run | None = None, methods:
     """A row for each target size, method and run; rows are scored once for all of them."""
     o = run or Run()
     plan = Construction(rows, o, model)
-    pool = saved(plan.score().where(F.col("classification") != "suspect"))
+    scored = saved(plan.score())
+    if output:
+        sinks.write_scores(scored, f"{output}/reliability_scores.csv", "csv")
+    pool = scored.where(F.col("classification") != "suspect")
     out = None
     for size in sizes:
         n_positive, n_negative = sampling.target_sizes(0, size)
-        trusted = selection.trusted_ids(plan.train, n_positive)  # the same for all methods and runs
+        trusted = selection.trusted_ids(plan.train, n_positive, o.seed)  # the same for all methods and runs
         part = ablation_baseline(plan, size, baseline_runs, o.seed, trusted)
         contexts = None
         for k, method in enumerate(methods):
@@ -87,12 +91,10 @@ def ablation(rows: DataFrame, sizes: list[int], run: Run | None = None, methods:
             contexts = one if contexts is None else contexts.unionByName(one)
         contexts = saved(contexts)
         if output:
-            from sieveline.sources import sinks
-
-            named = contexts.withColumn("method", F.element_at(F.array(*map(F.lit, methods)), F.col("k") + 1)).withColumn("target_size", F.lit(size))
-            sinks.write_context(named.select("id", "x", "label", "target_size", "method"), f"{output}/support_sets_{size}", by=("target_size", "method"))
+            for k, method in enumerate(methods):
+                sinks.write_context(contexts.where(F.col("k") == k), f"{output}/target_{size}/support_set_{method}.csv")
         name = F.element_at(F.array(*map(F.lit, methods)), F.col("k") + 1)
-        part = part.unionByName(result(measured(plan, contexts), size, name, F.lit(0)))
+        part = part.unionByName(result(measured(plan, contexts), size, name, F.lit(1)))
         out = part if out is None else out.unionByName(part)
     return out
 

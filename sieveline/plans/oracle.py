@@ -152,6 +152,7 @@ def reported(keys: str) -> str:
 """
 
 
+MIXED = ("o_totalprice", "c_acctbal", "priority", "segment", "nation")
 VALUES = [f"{s}_{m}" for s in ("val", "test") for m in ("roc_auc", "pr_auc", "f1", "precision", "recall")]
 EVAL = "q AS (SELECT * FROM emb WHERE split <> 'train')"
 BASELINE_CONTEXT = """
@@ -167,9 +168,9 @@ def ablation() -> str:
     contexts = []
     for size in (200, 240):
         n = size // 2
-        contexts.append(f"SELECT {size} AS target_size, 'baseline' AS method, run, id, label, x FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY md5((42 + run) || '-' || id), id) AS o FROM emb, range(2) t(run) WHERE split = 'train' AND label = 1) WHERE o <= {n}")
+        contexts.append(f"SELECT {size} AS target_size, 'baseline_random' AS method, run + 1 AS run, id, label, x FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY md5((42 + run) || '-' || id), id) AS o FROM emb, range(2) t(run) WHERE split = 'train' AND label = 1) WHERE o <= {n}")
         for method, rows in (("random", f"SELECT id, row_number() OVER (ORDER BY md5('42-' || id), id) AS ord FROM pool QUALIFY ord <= {n}"), ("reliable", first("pool", "reliability_score", n)), ("informed", first("inf", "r", n)), ("boundary", first("bnd", "r", n))):
-            contexts.append(f"SELECT {size}, '{method}', 0, id, label, x FROM ({rows}) JOIN emb USING (id)")
+            contexts.append(f"SELECT {size}, '{method}', 1, id, label, x FROM ({rows}) JOIN emb USING (id)")
     chosen = " UNION ALL ".join(contexts)
     # The scoring CTEs have names that the metrics use again, so the pool stands in a query of its own.
     return f"""WITH {EMB}, pool AS MATERIALIZED ({POOL} SELECT * FROM pool), {INFORMED}, {BOUNDARY},
@@ -239,6 +240,16 @@ ORACLE_SQL: dict[str, str] = {
         SELECT id, row_number() OVER (ORDER BY id) AS ord FROM (SELECT * FROM u3 UNION SELECT * FROM s4)""",
     "lloyd_medoids": f"WITH {EMB}, r AS (SELECT id, x AS v FROM emb), {lloyd('r', 12)} SELECT cluster, id FROM medoid",
     "support_set": f"{POOL} SELECT id, 0 AS label, 0::bigint AS ord FROM emb WHERE split = 'train' AND label = 0 UNION ALL (SELECT id, 1 AS label, ord FROM ({first('pool', 'reliability_score', 60)}))",
+    "support_sets": f"""{POOL} SELECT k, id, 0 AS label FROM emb, range(2) t(k) WHERE split = 'train' AND label = 0
+        UNION ALL (SELECT k, id, 1 AS label FROM pool, range(2) t(k) QUALIFY row_number() OVER (PARTITION BY k ORDER BY md5((42 + k) || '-' || id), id) <= 60)""",
+    "saved_set": f"""WITH {CODES}, enc AS (SELECT id, split, label, o_totalprice::double AS o_totalprice, c_acctbal::double AS c_acctbal,
+            coalesce(p.code, -1)::double AS priority, coalesce(s.code, -1)::double AS segment, coalesce(n.code, -1)::double AS nation FROM ord
+            LEFT JOIN codes p ON p.col = 'priority' AND p.category = priority LEFT JOIN codes s ON s.col = 'segment' AND s.category = segment
+            LEFT JOIN codes n ON n.col = 'nation' AND n.category = nation),
+        span AS (SELECT {', '.join(f'min({c}) AS {c}_lo, max({c}) - min({c}) + 1e-8 AS {c}_by' for c in MIXED)} FROM enc WHERE split = 'train'),
+        chosen AS (SELECT * FROM enc WHERE split = 'train' AND label = 0 UNION ALL
+            (SELECT * FROM enc WHERE split = 'train' AND label = 1 QUALIFY row_number() OVER (ORDER BY md5('42-' || id), id) <= 60))
+        SELECT id, {', '.join(MIXED)}, label, round({' + '.join(f'coalesce(({c} - {c}_lo) / {c}_by, 0)' for c in MIXED)}, 6) AS sum_x FROM chosen, span""",
     "boundary_top": f"{ALL_SCORED} {first('sc', 'reliability_score', 25)}",
     "roc_auc": f"WITH {CURVE}, {steps()} SELECT round({AUC}, 6) AS roc_auc FROM c",
     "average_precision": f"WITH {CURVE}, {steps()} SELECT round({AP}, 6) AS pr_auc FROM c",

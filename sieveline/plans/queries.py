@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from sieveline.functions.vectors import cosine_distance, imputed, l2_normalised,
 from sieveline.operators import clustering, encoding, metrics, predict, reliability, sampling, selection
 from sieveline.plans import experiments
 from sieveline.plans.construct import Construction
-from sieveline.session import saved
+from sieveline.session import saved, shared_dir
 from sieveline.sources import sinks, tables
 
 #: Parameters of the registered runs.
@@ -212,6 +213,25 @@ def support_set(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", "label", F.col("ord").cast("long").alias("ord"))
 
 
+def support_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Two context sets, with a seed each."""
+    rows = tables.vectors(spark, d)
+    found = selection.context_sets(train(rows), pool(rows), 2, seed=SEED, n_negative=CHOSEN)
+    return found.select(F.col("k").cast("long").alias("k"), "id", "label")
+
+
+def saved_set(spark: SparkSession, d: str) -> DataFrame:
+    """A context set of mixed features, written as a file of named columns and read again."""
+    rows = tables.orders(spark, d)
+    names = ["o_totalprice", "c_acctbal", *CATEGORIES]
+    rows = encoding.apply(rows, encoding.fit(train(rows), CATEGORIES), CATEGORIES).select("id", "split", "label", *(F.col(c).cast("double").alias(c) for c in names))
+    chosen = train(rows).where(F.col("label") == TRUSTED).unionByName(sampling.baseline_draws(train(rows).where(F.col("label") == NOISY), CHOSEN, 1, SEED).drop("run"))
+    path = f"{shared_dir(spark)}/saved-set-{uuid.uuid4().hex}.csv"
+    sinks.write_context(chosen, path)
+    found = tables.saved_context(spark, path, tables.features_of(rows, names))
+    return rounded(found.select("id", *names, "label", F.aggregate("x", F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))).alias("sum_x")), "sum_x")
+
+
 def boundary_top(spark: SparkSession, d: str) -> DataFrame:
     return selection.near_threshold(scores(tables.vectors(spark, d)), 25).select("id", F.col("ord").cast("long").alias("ord"))
 
@@ -342,7 +362,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         scan_split, feature_topn, fit_encoding, apply_encoding, unseen_counts, cardinality_flag, class_filter, not_positive, split_union,
         probe_sets, probe_predict, single_support_predict, mu_sigma_entropy, knn15, agreement, density, reliability_score,
         percentile_thresholds, classify_percentile, classify_fixed, joint_scoring, split_class_counts, impute_median, l2_normalize, cosine_pairs,
-        neg_hybrid, pos_diversity, lloyd_medoids, support_set, boundary_top, roc_auc, average_precision, pr_curve, best_f1_threshold,
+        neg_hybrid, pos_diversity, lloyd_medoids, support_set, support_sets, saved_set, boundary_top, roc_auc, average_precision, pr_curve, best_f1_threshold,
         hard_prediction, metrics_val_to_test, baseline_runs, baseline_best_set, baseline_summary, ablation_results, ablation_summary, convergence_lag, best_run,
         prediction_vectors_wide, flops_table, flops_linear_coeffs, chunk_estimate, construction_history, manifest_json,
     )

@@ -8,8 +8,15 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.config import Run
+from sieveline.operators.predict import chunk_rows
+from sieveline.sources.tables import Features
+
 SCORE_COLUMNS = ("reliability_score", "mu", "sigma", "entropy", "agreement", "density", "classification")
 
+#: Columns of a context set beside its features.
+CONTEXT_COLUMNS = frozenset(("id", "label", "x", "ord", "split", "k"))
+
 
 def run_dir(base: str, kind: str, setting: str = "", now: datetime | None = None) -> str:
     """A folder name that starts with the time, then the kind of run and its setting."""
@@ -31,10 +38,16 @@ def write_scores(scores: DataFrame, path: str, form: str = "parquet", by: tuple[
     write_table(scores.select(*lead, *SCORE_COLUMNS), path, form, by)
 
 
-def write_context(context: DataFrame, path: str, form: str = "parquet", by: tuple[str, ...] = ()) -> None:
-    """A context set: id first, then features, label last."""
-    features = [c for c in context.columns if c not in ("id", "label", *by)]
-    write_table(context.select("id", *features, "label", *by), path, form, by)
+def write_context(context: DataFrame, path: str, form: str = "csv") -> None:
+    """A context set as a table: id first, then each feature as it was read, label last.
+
+    Rows that hold a vector alone give its components, as x_0, x_1 and on.
+    """
+    features = [F.col(f"`{c}`") for c in context.columns if c not in CONTEXT_COLUMNS]
+    if not features:
+        size = context.agg(F.max(F.size("x")).alias("d")).collect()[0].d or 0
+        features = [F.col("x")[i].alias(f"x_{i}") for i in range(size)]
+    write_table(context.select("id", *features, "label"), path, form)
 
 
 def wide_predictions(predictions: DataFrame, probes: int) -> DataFrame:
@@ -50,6 +63,60 @@ def manifest_row(df: DataFrame, **fields) -> DataFrame:
     return df.select(F.to_json(F.struct(*constants, *df.columns)).alias("manifest"))
 
 
+def manifest(kind: str, artifacts: dict, run: Run, sizes: dict[str, int], features: Features | None = None, more: dict | None = None, dataset: dict | None = None) -> dict:
+    """What a run was made of and what it left: the fields of a manifest file, with the run's parameters as they were resolved.
+
+    ``more`` adds fields, or adds to those that are tables themselves.
+    """
+    p, s = run.predictor, run.scoring
+    out = {
+        "artifact_type": kind,
+        "artifacts": artifacts,
+        "created_at": datetime.now(UTC).isoformat(),
+        "dataset": (dataset or {}) | {"n_train": sizes.get("train", 0), "n_val": sizes.get("validation", 0), "n_test": sizes.get("test", 0)},
+        "model": {
+            "model_type": "AttentionVote",
+            "n_estimators": p.members,
+            "batch_size": p.batch_size,
+            "softmax_temperature": p.temperature,
+            "kv_cache": p.cache,
+            "random_state": p.seed,
+            "chunk_size": chunk_rows(run.probe_size, run.top_features, p.members),
+        },
+        "preprocessing": {
+            "top_features": run.top_features,
+            "selected_features": list(features.names) if features else [],
+            "ordinal_encoded_columns": dict(features.encoded) if features else {},
+        },
+        "pipeline": {
+            "K": run.probes,
+            "support_set_size_initial": run.probe_size,
+            "max_iterations": run.rounds,
+            "convergence_threshold": run.convergence,
+            "eval_metric": "pr_auc",
+            "seed": run.seed,
+        },
+        "reliability_scoring": {
+            "w_mean_prob": s.mean,
+            "w_stability": s.stability,
+            "w_entropy": s.certainty,
+            "w_agreement": s.agreement,
+            "w_density": s.density,
+            "n_neighbors": s.neighbours,
+            "similarity_metric": "cosine",
+            "threshold_method": s.method,
+            "reliable_threshold_config": s.reliable_at,
+            "uncertain_threshold_config": s.uncertain_at,
+            "reliable_percentile": s.reliable_percent,
+            "suspect_percentile": s.suspect_percent,
+        },
+        "support_set_composition": {"target_size": run.target_size, "neg_sampling_strategy": run.strategy},
+    }
+    for name, value in (more or {}).items():
+        out[name] = out[name] | value if isinstance(out.get(name), dict) else value
+    return out
+
+
 def write_manifest(spark: SparkSession, path: str, content: dict) -> None:
     """Indented JSON as a one-file text folder, by Spark's writer, so that any shared store will do."""
     text = json.dumps(content, indent=2, default=str)

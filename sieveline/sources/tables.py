@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,10 +49,37 @@ def top_features(ranking: DataFrame, n: int, feature_col: str = "feature", order
     return ranking.orderBy(order_col).limit(n).select(feature_col)
 
 
-def saved_context(spark: SparkSession, path: str, id_col: str = "id", label_col: str = "label") -> DataFrame:
-    """A stored context set, its features cast to double."""
+@dataclass(frozen=True)
+class Features:
+    """Named features and the range of each in the training split: how rows become vectors."""
+
+    names: tuple[str, ...]
+    low: tuple[float, ...]
+    high: tuple[float, ...]
+    #: Categories of each encoded column.
+    encoded: tuple[tuple[str, int], ...] = ()
+
+    def vector(self) -> Column:
+        """The features brought to 0..1 by the training ranges; missing ones stay missing."""
+        return F.array(*((F.col(f"`{c}`").cast("double") - a) / (b - a + 1e-8) for c, a, b in zip(self.names, self.low, self.high, strict=True)))
+
+
+def features_of(rows: DataFrame, names: list[str], encoded: tuple[tuple[str, int], ...] = ()) -> Features:
+    """The ranges of the named columns over the training rows; of a column without values, 0."""
+    ranges = [F.coalesce(f(F.col(f"`{c}`").cast("double")), F.lit(0.0)) for c in names for f in (F.min, F.max)]
+    found = rows.where("split = 'train'").agg(*ranges).collect()[0] if names else ()
+    return Features(tuple(names), tuple(found[::2]), tuple(found[1::2]), encoded)
+
+
+def saved_context(spark: SparkSession, path: str, features: Features | None = None, id_col: str = "id", label_col: str = "label") -> DataFrame:
+    """A stored context set: id, its features as doubles, label, and the vector x.
+
+    x comes from the named features, or, without names, is the file's feature columns as they stand.
+    """
     df = read_split(spark, path)
-    return df.select(*(F.col(c) if c in (id_col, label_col) else F.col(c).cast("double").alias(c) for c in df.columns))
+    names = [c for c in df.columns if c not in (id_col, label_col)]
+    rows = df.select(F.col(id_col).alias("id"), *(F.col(f"`{c}`").cast("double").alias(c) for c in names), F.col(label_col).cast("int").alias("label"))
+    return rows.withColumn("x", features.vector() if features else F.array(*(F.col(f"`{c}`") for c in names)))
 
 
 def class_rows(df: DataFrame, label: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sieveline import __main__ as cli
 from sieveline.config import Architecture, Run
 from sieveline.functions import costs, percentiles
-from sieveline.functions.vectors import imputed, l2_normalised
+from sieveline.functions.vectors import filled, imputed, l2_normalised
 from sieveline.operators import encoding, predict, sampling
 from sieveline.plans import experiments
 from sieveline.plans.construct import Construction
@@ -58,7 +58,8 @@ def test_draws_repeat_and_differ_by_run(spark):
 @given(st.lists(st.floats(-1e6, 1e6) | st.integers(-3, 3).map(float), min_size=1, max_size=60), st.floats(0, 1))
 def test_percentiles_are_exact(spark, values, share):
     rows = spark.createDataFrame([(v,) for v in values], "x double")
-    assert percentiles.exact(rows, "x", [share])[0] == pytest.approx(float(np.percentile(values, 100 * share)), rel=1e-9, abs=1e-9)
+    for most in (percentiles.MOST, 5):  # sorted at once, and bracketed
+        assert percentiles.exact(rows, "x", [share], most)[0] == pytest.approx(float(np.percentile(values, 100 * share)), rel=1e-9, abs=1e-9)
 
 
 def test_percentiles_of_nothing(spark):
@@ -110,11 +111,16 @@ def test_run_writes_its_results(spark, tmp_path):
     out = f"{tmp_path}/run"
     result = plan.run(out)
     assert result.best.where("label = 0").count() == 30 and result.best_metric > 0
-    assert spark.read.parquet(f"{out}/best_support_set").columns == ["id", "x", "label"]
-    assert spark.read.parquet(f"{out}/reliability_scores").count() == result.scored.count()
+    saved = tables.read_split(spark, f"{out}/best_support_set.csv")
+    dim = len(result.best.first().x)
+    assert saved.columns == ["id", *(f"x_{i}" for i in range(dim)), "label"] and saved.count() == result.best.count()
+    assert tables.read_split(spark, f"{out}/reliability_scores.csv").count() == result.scored.count()
     manifest = json.loads("\n".join(r.value for r in spark.read.text(f"{out}/artifact_manifest").collect()))
-    assert manifest["rounds"] == len(result.history)
-    assert 0 <= plan.final(result.best)["pr_auc"] <= 1
+    assert manifest["pipeline"]["iterations_run"] == len(result.history) and manifest["model"]["chunk_size"] == predict.chunk_rows(20, 150, 8)
+    assert manifest["support_set_composition"]["n_positives"] == manifest["support_set_composition"]["n_negatives"] == 30
+    # The saved set is read back, and gives what the set itself gives.
+    assert plan.final(out) == pytest.approx(plan.final(f"{tmp_path}/other", result.best))
+    assert spark.read.option("header", True).csv(f"{out}/test_metrics.csv").count() == 1
 
 
 def test_progress_and_summary(spark):
@@ -132,8 +138,56 @@ def test_splits_from_files(spark, tmp_path):
     with pytest.raises(KeyError):
         tables.read_splits(spark, paths, ["nothing"], "case_no", "label")
     a = cli.arguments(["score", "--setting", str(tmp_path), "--format", "csv", "--id", "case_no", "--K", "2"])
-    got = {r.id: r.x for r in cli.loaded(spark, a).collect()}
+    rows, features = cli.loaded(spark, a)
+    got = {r.id: r.x for r in rows.collect()}
     assert len(got) == 4 and all(len(x) == 2 for x in got.values()) and got[1][1] == 0
+    # Gaps stay gaps: the range of train is that of its one value.
+    assert got[2][0] is None and (features.low, features.high, features.encoded) == ((0.5, 0.0), (0.5, 1.0), (("g", 2),))
+
+
+def test_saved_sets_keep_names_and_gaps(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "train", 0, 2.0, None), (2, "train", 1, 6.0, 3.0), (3, "test", 1, 4.0, 5.0)], "id long, split string, label int, a double, `b c` double")
+    features = tables.features_of(rows, ["a", "b c"])
+    whole = rows.withColumn("x", features.vector())
+    sinks.write_context(whole.where("split = 'train'"), f"{tmp_path}/set.csv")
+    got = tables.saved_context(spark, f"{tmp_path}/set.csv", features)
+    assert got.columns == ["id", "a", "b c", "label", "x"]
+    want = {r.id: r for r in whole.collect()}
+    for r in got.collect():
+        assert (r.a, r["b c"], r.label, r.x) == (want[r.id].a, want[r.id]["b c"], want[r.id].label, want[r.id].x)
+
+
+def test_commands_write_what_they_name(spark, tmp_path):
+    """Every command on a small folder of tables: files, runs from 1, names of methods, and sets that can be read back."""
+    rows = tables.vectors(spark, SMALL).where("id < 160").select("id", "split", "label", *(F.col("x")[i].alias(f"f{i}") for i in range(4)))
+    for s in tables.SPLITS:
+        rows.where(F.col("split") == s).drop("split").write.parquet(f"{tmp_path}/in/{s}.parquet")
+    spark.createDataFrame([("f2",), ("f0",), ("f1",)], "feature string").coalesce(1).write.option("header", True).csv(f"{tmp_path}/ranking.csv")
+    common = ["--setting", f"{tmp_path}/in", "--features", f"{tmp_path}/ranking.csv", "--top-features", "2"]
+    few = ["--K", "2", "--support-size", "10"]
+    for command, more in (("select", [*few, "--target-size", "11", "--eval-test"]), ("baseline", ["--n-runs", "2", "--target-size", "11"]), ("score", few), ("ablation", [*few, "--target-sizes", "10", "--baseline-runs", "2"])):
+        cli.main([command, *common, "--output", f"{tmp_path}/{command}", *more])
+    (select,), (base,), (score,), (ablation,) = (list((tmp_path / c).iterdir()) for c in ("select", "baseline", "score", "ablation"))
+    chosen = tables.read_split(spark, f"{select}/best_support_set.csv")
+    assert chosen.columns == ["id", "f2", "f0", "label"] and {r.label: r["count"] for r in chosen.groupBy("label").count().collect()} == {0: 5, 1: 5}
+    assert tables.read_split(spark, f"{select}/test_metrics.csv").count() == 1
+    assert {r.run for r in tables.read_split(spark, f"{base}/val_metrics.csv").collect()} == {1, 2}
+    assert tables.read_split(spark, f"{score}/reliability_scores_all.csv").count() == rows.count()
+    found = {(r.method, r.run) for r in tables.read_split(spark, f"{ablation}/ablation_results.csv").collect()}
+    assert found == {("baseline_random", 1), ("baseline_random", 2)} | {(m, 1) for m in ("random", "reliable", "informed", "kmeans", "boundary", "hybrid")}
+    assert tables.read_split(spark, f"{ablation}/target_10/support_set_hybrid.csv").columns == ["id", "f2", "f0", "label"]
+    assert tables.read_split(spark, f"{ablation}/reliability_scores.csv").count() == rows.where("split = 'train' AND label = 1").count()
+
+
+def test_target_sizes():
+    assert [sampling.target_sizes(7, t) for t in (None, 10, 11)] == [(7, 7), (5, 5), (5, 5)]
+
+
+def test_gaps_are_filled_for_clusters_alone(spark):
+    rows = spark.createDataFrame([(1, [1.0, None]), (2, [float("nan"), 4.0]), (3, [5.0, 6.0]), (4, [2.0, 9.0])], "id long, v array<double>")
+    assert {r.id: r.v for r in filled(rows).collect()} == {1: [1, 6], 2: [2, 4], 3: [5, 6], 4: [2, 9]}
+    x = np.array([[1.0, np.nan], [0.0, 1.0]])
+    assert np.isfinite(predict.AttentionVote().fit(x, np.array([0.0, 1.0]))(x)).all()
 
 
 def test_names_and_wide_vectors(spark):
