@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sieveline.session import saved as saved
+from sieveline.session import shared_dir as shared_dir
+
 #: Upper to lower case, ASCII only; bytes of other letters stay.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: The same, and every character that no alphanumeric word holds becomes a space.
@@ -26,17 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared checkpoint folder, so that lost executors cost no recomputation.
-
-    The cluster's ``spark.checkpoint.dir`` holds; a folder of our own is set only where there is none.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    return df.checkpoint()
-
-
 def widened(df: DataFrame, added: str) -> T.StructType:
     """The schema of the frame with more columns, given as DDL; the frame's own schema stays."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(added).fields])

@@ -6,6 +6,7 @@ import math
 import re
 
 import pytest
+import zstandard
 from conftest import SMALL
 from pyspark.sql import functions as F
 
@@ -68,7 +69,56 @@ def test_language_sample_of_copies(spark, monkeypatch, rough):
     rows = spark.range(21_000).select(copied.alias("n"), F.lit("xx").alias("lang")).unionByName(spark.range(20_000).select((F.col("id") % 50).alias("n"), F.lit("yy").alias("lang")))
     docs = rows.select(F.lit(1).alias("doc_id"), F.concat(F.lit("some words of the language "), letters).alias("text"), "lang")
     model = language.fit(docs)
-    assert {lang: len(d.split(b"\n")) for lang, d in model.items()} == {"xx": 300, "yy": 50}
+    assert {lang: len(d.split(b"\n")) for lang, d in model.items()} == {"xx": 100, "yy": 50}
+
+
+def brute_language(learned, text):
+    """Sizes by plain compression of each block behind the run, with the whole dictionary given anew."""
+    letters = " ".join(re.findall(r"[^\W\d_]+", (text or "").lower())).encode()
+    sizes = {}
+    for lang, texts in learned.items():
+        content = zstandard.ZstdCompressionDict("\n".join(texts).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        content.precompute_compress(level=12)
+        coder = zstandard.ZstdCompressor(dict_data=content, write_content_size=False, write_dict_id=False)
+        sizes[lang] = sum(len(coder.compress(b"a" * 200 + letters[i : i + 1000])) for i in range(0, len(letters), 1000))
+    return sizes if letters else None
+
+
+def test_language_against_plain_compression(spark):
+    docs = table(spark, SMALL, "documents").where("doc_id % 3 = 0").select("doc_id", "text", "lang", F.lit("clash").alias("score"))
+    rows = docs.collect()
+    learned = {}
+    for lang in {r.lang for r in rows if r.lang}:
+        own = docs.where((F.col("lang") == lang) & F.col("text").isNotNull()).select("text", F.xxhash64("text", "lang").alias("h")).distinct().orderBy("h").limit(100).collect()
+        learned[lang] = list(dict.fromkeys(language.normalised(r.text) for r in own))
+    model = language.fit(docs)
+    assert {k: v.decode() for k, v in model.items()} == {k: "\n".join(v) for k, v in learned.items()}
+    got = language.classify(docs, model).collect()
+    assert len(got) == len(rows) and got[0].asDict().keys() == {"doc_id", "text", "lang", "score", "lang_pred", "margin", "accepted"}
+    for r in got:
+        sizes = brute_language(learned, r.text)
+        if sizes is None:
+            assert (r.lang_pred, r.score, r.margin, r.accepted) == ("und", 0.0, 0.0, False)
+            continue
+        best, second = sorted(sizes.values())[:2]
+        assert sizes[r.lang_pred] == best and r.margin == (second - best) / second and r.accepted == (r.margin >= 0.05)
+
+
+def test_language_of_two_languages_is_rejected(spark):
+    """Texts of which half is in one language and half in another, with only these two learned, and exact ties."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").where("lang IN ('en', 'de') AND length(text) > 800")
+    model = language.fit(docs, where=F.col("doc_id") % 2 == 0)
+    by = {lang: [r.text[:800] for r in docs.where((F.col("lang") == lang) & (F.col("doc_id") % 2 == 1)).orderBy("doc_id").limit(20).collect()] for lang in ("en", "de")}
+    mixed = [(i, f"{a} {b}") for i, (a, b) in enumerate(zip(by["en"], by["de"]))]
+    plain = [(100 + i, t) for i, t in enumerate(by["en"] + by["de"])]
+    got = {r.doc_id: r.accepted for r in language.classify(spark.createDataFrame(mixed + plain, "doc_id long, text string"), model).collect()}
+    # Halves of two languages are never equally large when encoded; still, far more of these lie below the margin than of the others.
+    assert sum(not got[i] for i, _ in mixed) >= 0.4 * len(mixed) and sum(not got[i] for i, _ in plain) <= 1
+    same = {lang: model["en"] for lang in ("a", "b")}
+    tied = [r.asDict() for r in language.classify(spark.createDataFrame(plain[:1], "doc_id long, text string"), same).collect()]
+    assert (tied[0]["lang_pred"], tied[0]["score"], tied[0]["margin"], tied[0]["accepted"]) == ("a", 0.5, 0.0, False)
+    with pytest.raises(ValueError):
+        language.fit(docs, most_langs=1)
 
 
 def test_mixture_takes_each_target(spark):
