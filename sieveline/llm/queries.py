@@ -28,12 +28,12 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans; values of three owners or more count as copied."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied; values that three owners or more hold, none of them nine tenths, are copied."""
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     kinds = F.transform("spans", lambda s: s["kind"])
     counts = [(F.size("spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{secret_scan.KINDS[k]}") for k in range(3)]
-    base = secret_scan.joined(F.filter("spans", lambda s: s["kind"] < 3))
-    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+    base = secret_scan.joined(F.filter("spans", lambda s: s["kind"] < secret_scan.BASE))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"), "n_live", "n_copied")
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,25 +167,25 @@ ORACLE_SQL: dict[str, str] = {
         found AS ({" UNION ALL ".join(OP3_KIND.format(kind=k, p=p.replace("'", "''")) for k, p in enumerate(secret_scan.PATTERNS))}),
         valued AS (SELECT *, CASE WHEN kind = 0 THEN regexp_extract(found, '{OP3_ASSIGN}', 2) ELSE found END AS v FROM found),
         passing AS (
-            SELECT * FROM valued WHERE CASE kind WHEN 0 THEN length(v) >= 6
-                WHEN 3 THEN regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]') ELSE true END
+            SELECT * FROM valued WHERE CASE kind WHEN 0 THEN length(v) >= 6 WHEN 5 THEN regexp_matches(v, '{secret_scan.MIXED}') ELSE true END
         ),
         apart AS (
-            SELECT * FROM passing p WHERE kind < 3 OR NOT EXISTS (
-                SELECT 1 FROM passing b WHERE b.r = p.r AND b.kind < 3 AND b.s < p.e AND b.e > p.s)
+            SELECT * FROM passing p WHERE kind < 4 OR NOT EXISTS (
+                SELECT 1 FROM passing b WHERE b.r = p.r AND b.kind < p.kind AND b.s < p.e AND b.e > p.s)
         ),
-        owned AS (SELECT v, count(DISTINCT source) + max((source IS NULL)::int) AS n FROM apart GROUP BY v),
+        repos AS (SELECT v, source, count(DISTINCT doc_id) + max((doc_id IS NULL)::int) AS n FROM apart JOIN (SELECT r, doc_id FROM d) USING (r) GROUP BY v, source),
+        owned AS (SELECT v, count(*) >= 3 AND 10 * max(n) < 9 * sum(n) AS copied FROM repos GROUP BY v),
         held AS (
-            SELECT r, s, e, kind, ['assign', 'access', 'hex', 'opaque'][kind + 1] || ':' || s || ':' || e AS span
-            FROM apart JOIN owned USING (v) WHERE kind < 3 OR n < 3
+            SELECT r, s, e, kind, copied, {list(secret_scan.KINDS)}[kind + 1] || ':' || s || ':' || e AS span FROM apart JOIN owned USING (v)
         ),
         g AS (
             SELECT r, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
-                   string_agg(span, ',' ORDER BY s, kind) FILTER (WHERE kind < 3) AS base, string_agg(span, ',' ORDER BY s, kind) AS spans
+                   string_agg(span, ',' ORDER BY s, kind) FILTER (WHERE kind < 3) AS base, string_agg(span, ',' ORDER BY s, kind) FILTER (WHERE kind < 3 OR NOT copied) AS spans,
+                   count(*) FILTER (WHERE NOT copied) AS n_live, count(*) FILTER (WHERE copied) AS n_copied
             FROM held GROUP BY r
         )
         SELECT doc_id, coalesce(n_assign, 0)::bigint AS n_assign, coalesce(n_access, 0)::bigint AS n_access, coalesce(n_hex, 0)::bigint AS n_hex,
-               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::bigint AS n_live, coalesce(n_copied, 0)::bigint AS n_copied
         FROM d LEFT JOIN g USING (r)
     """,
     "op4_chat_format": r"""
