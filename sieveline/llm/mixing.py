@@ -2,7 +2,8 @@
 
 Slots of equal token blocks are dealt to sources by golden-ratio points mapped
 through cumulative weights; a source's slots are ranked, and rank r takes the
-r-th block of that source's shuffled, endlessly repeated stream of words.
+r-th block of that source's shuffled, endlessly repeated stream of words. What a
+source gives is what its slots take: no slot is added and none taken away.
 Everything here is DataFrame code.
 """
 
@@ -15,10 +16,12 @@ from sieveline.llm.common import WORD, saved
 
 #: Points lie on a circle of this many steps; the golden section of it is the stride (odd, so all points are met).
 CIRCLE, STRIDE = 1 << 32, 1640531527
-#: Slots that are ranked together, and cells of the circle by which points meet sources.
-CHUNK, CELLS = 4096, 4096
-#: Up to so many sources their arcs go to every task; beyond, slots are shuffled to them.
+#: Slots that are dealt together, slots of a source that meet its blocks together, and cells of the circle by which points meet sources.
+CHUNK, GROUP, CELLS = 4096, 4096, 4096
+#: Up to so many sources their arcs and targets go to every task; beyond, rows are shuffled to them.
 MOST_SOURCES = 100_000
+#: Rows of a hash range of a source's stream, and ranges whose sums are added up in one go.
+RANGE_ROWS, RANGES = 20_000, 4096
 
 
 def n_words(text: Column) -> Column:
@@ -27,7 +30,7 @@ def n_words(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int) -> DataFrame:
-    """k, source, source_size, weight, target, quota (whole words) and the source's arc of the circle.
+    """k, source, source_size, weight, target and the source's arc of the circle.
 
     Sources in code-point order, null last, weigh ``weights``, repeating. A
     target stops at ``max_repeats`` times its source; what is over goes to the
@@ -50,23 +53,37 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int) -> Dat
     fits = F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.struct("i", "level"))
     right = F.min(fits).over(everything)["level"]
     ranked = ranked.withColumn("target", F.least(F.col("cap").cast("double"), right * F.col("weight")))
-    ranked = ranked.withColumn("quota", F.floor(F.col("target") + 0.5).cast("long"))
     total = F.sum("target").over(everything)
     upto = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     ranked = ranked.withColumn("hi", F.when(total > 0, F.round(F.sum("target").over(upto) / total * CIRCLE)).cast("long"))
     ranked = ranked.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("k")), F.lit(0)))
-    return ranked.select("k", "source", "source_size", "weight", "target", "quota", "lo", "hi")
+    return ranked.select("k", "source", "source_size", "weight", "target", "lo", "hi")
+
+
+def prefix(sums: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
+    """The rows with ``before``: the sum of ``value`` over the rows of their keys with a smaller ``at`` (a long, different in each row of a key).
+
+    Added up in two steps, within and over runs of RANGES numbers, so that no task orders all rows of a key.
+    """
+    rows = sums.withColumn("_run", F.floor(F.col(at) / RANGES).cast("long"))
+    whole = rows.groupBy(*keys, "_run").agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select(*keys, "_run", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_run").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return rows.join(whole, [*keys, "_run"]).withColumn("before", (F.col("_before") + F.col("_inside")).cast("long")).drop("_run", "_inside", "_before")
 
 
 def schedule(plan: DataFrame, block_words: int) -> DataFrame:
-    """The slots of the mix: k (source), rank (the source's block), slot (place in the mix; null for those appended).
+    """The slots of the mix in groups: k (source), part, ``slots``: the source's slots of rank part * GROUP and on, in order.
 
     Slot i is the point i * STRIDE on the circle; it belongs to the source on
-    whose arc it lies. Low discrepancy leaves each source a few blocks off its
-    quota at most: ranks beyond a quota fall away, and missing ones are appended.
+    whose arc it lies. There are as many slots as blocks fit into the whole mix,
+    the last one begun; low discrepancy leaves each source a few blocks off its
+    target at most, and the mix is what the slots say.
     """
-    total = plan.agg(F.coalesce(F.sum("quota"), F.lit(0)).alias("words"))
-    last = F.floor((F.col("words") + block_words - 1) / block_words).cast("long") - 1
+    total = plan.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("words"))
+    last = F.ceil(F.round(F.col("words"), 3) / block_words).cast("long") - 1
     chunks = total.withColumn("last", last).where("last >= 0").select("last", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / CHUNK).cast("long"))).alias("chunk"))
     slots = (
         chunks.repartition(F.col("chunk"))
@@ -77,22 +94,21 @@ def schedule(plan: DataFrame, block_words: int) -> DataFrame:
     width = CIRCLE // CELLS
     arcs = plan.where("hi > lo").select("k", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width).cast("long"), F.floor((F.col("hi") - 1) / width).cast("long"))).alias("cell"))
     # A row a source and CELLS more: checked, as slots must not be the side that is sent around.
-    arcs = F.broadcast(arcs) if plan.count() <= MOST_SOURCES else arcs.hint("merge")
+    arcs = F.broadcast(arcs) if plan.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES else arcs.hint("merge")
     dealt = slots.join(arcs, "cell").where("point >= lo AND point < hi")
-    # At most CHUNK slots a group; the counts of earlier chunks give each group its first rank.
-    groups = dealt.groupBy("k", "chunk").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
-    earlier = Window.partitionBy("k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    groups = saved(groups.withColumn("first", F.coalesce(F.sum(F.size("slots")).over(earlier), F.lit(0))))
-    ranks = groups.select("k", "first", F.posexplode("slots").alias("i", "slot")).select("k", (F.col("first") + F.col("i")).alias("rank"), "slot")
-    need = plan.select("k", F.floor((F.col("quota") + block_words - 1) / block_words).cast("long").alias("need"))
-    got = groups.groupBy("k").agg(F.sum(F.size("slots")).alias("got"))
-    missing = (
-        need.join(got, "k", "left")
-        .withColumn("got", F.coalesce("got", F.lit(0).cast("long")))
-        .where("need > got")
-        .select("k", F.explode(F.sequence("got", F.col("need") - 1)).alias("rank"), F.lit(None).cast("long").alias("slot"))
-    )
-    return ranks.join(need, "k").where("rank < need").select("k", "rank", "slot").unionByName(missing)
+    # At most CHUNK slots a row; the counts of earlier chunks give each its first rank.
+    groups = saved(dealt.groupBy("k", "chunk").agg(F.sort_array(F.collect_list("slot")).alias("own")))
+    firsts = prefix(groups.select("k", "chunk", F.size("own").cast("long").alias("n")), ["k"], "chunk", "n").select("k", "chunk", F.col("before").alias("first"))
+    ranked = groups.join(firsts, ["k", "chunk"])
+    # A chunk's slots have ranks in one part or in two that follow one another.
+    part = F.floor(F.col("first") / GROUP).cast("long")
+    room = ((part + 1) * GROUP - F.col("first")).cast("int")
+    first = F.struct(part.alias("part"), F.slice("own", 1, F.least(room, F.size("own"))).alias("own"))
+    second = F.struct((part + 1).alias("part"), F.slice("own", room + 1, F.size("own") - room).alias("own"))
+    cut = F.when(F.size("own") <= room, F.array(first)).otherwise(F.array(first, second))
+    pieces = ranked.select("k", F.explode(cut).alias("piece")).select("k", "piece.*")
+    # Slots grow with ranks, so the order of the first ones is that of the ranks.
+    return pieces.groupBy("k", "part").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(F.col("own")[0].alias("at"), "own"))), lambda x: x["own"])).alias("slots"))
 
 
 def mix(
@@ -103,42 +119,59 @@ def mix(
     source_col: str = "source",
     weights: tuple[int, ...] = (5, 2, 1),
     max_repeats: int = 3,
-    block_words: int = 256,
+    block_words: int = 16,
 ) -> DataFrame:
-    """Per document: id, source, size, source_size, target and taken (words the mix takes, repeats counted).
+    """Per document: id, source, size, source_size, target, taken (words the mix takes, repeats counted), n_slots and first_slot.
+
+    A document is taken as far as it lies in blocks that a slot of its source
+    takes: ``n_slots`` such slots hold a word of it, ``first_slot`` is the first
+    one's place in the mix (null if there is none). A source's stream is its
+    shuffled words, ``max_repeats`` times over and no more, so a document is
+    taken ``max_repeats`` times its size at most.
 
     Null and empty texts have size 0 and are never taken; a null source is a
-    source of its own. Rows that repeat an id are mixed each by itself. An
-    empty table gives no rows; a source without words has target 0. A hot
-    source is spread: its stream is laid out in 4096 hash ranges whose sums
-    give the offsets. A document is taken ``max_repeats`` times its size at most.
+    source of its own. Rows that repeat an id are mixed each by itself, other
+    columns are ignored. An empty table gives no rows; a source without words
+    has target 0. A hot source is spread over hash ranges of some RANGE_ROWS
+    rows, whose sums give the offsets.
     """
     sizes = saved(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")))
     plan = saved(targets(sizes, weights, max_repeats))
-    placed = positions(sizes.join(plan.select("k", F.col("source").alias("s"), "source_size", "target", "quota"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
-    some = placed.where("size > 0").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
-    some = some.withColumn("from", F.col("start") + F.col("round") * F.col("source_size")).withColumn("to", F.least(F.col("from") + F.col("size"), F.col("quota")))
-    some = some.where("to > from OR round = 0")
-    blocks = F.when(F.col("to") > F.col("from"), F.sequence(F.floor(F.col("from") / block_words).cast("long"), F.floor((F.col("to") - 1) / block_words).cast("long")))
-    pieces = some.withColumn("rank", F.explode_outer(blocks))
-    pieces = pieces.withColumn("words", F.least(F.col("to"), (F.col("rank") + 1) * block_words) - F.greatest(F.col("from"), F.col("rank") * block_words))
-    # A document beyond its source's quota has no block; a rank of its own, below 0, spreads such rows.
-    pieces = pieces.withColumn("rank", F.coalesce("rank", -1 - F.col("start")))
-    slots = schedule(plan, block_words).select("k", "rank", F.lit(1).alias("hit"))
-    keys = ["k", "start", "id", "source", "size", "source_size", "target"]
-    # Slots grow with the words; they are never broadcast, however small Spark takes them to be.
-    taken = pieces.join(slots.hint("merge"), ["k", "rank"], "left").groupBy(*keys).agg(F.sum(F.when(F.col("hit") == 1, F.col("words")).otherwise(0)).cast("long").alias("taken"))
-    columns = ["id", "source", "size", "source_size", "target", "taken"]
-    nothing = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    return taken.select(columns).unionByName(nothing.select(columns)).withColumnRenamed("id", id_col)
+    of = plan.select("k", F.col("source").alias("s"), "source_size", "target")
+    of = F.broadcast(of) if plan.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES else of.hint("merge")
+    placed = positions(sizes.join(of, F.col("source").eqNullSafe(F.col("s"))).drop("s"))
+    rounds = F.sequence(F.lit(0), F.when(F.col("size") > 0, F.lit(max_repeats - 1)).otherwise(F.lit(0)))
+    some = placed.withColumn("round", F.explode(rounds)).withColumn("from", F.col("start") + F.col("round") * F.col("source_size"))
+    # The blocks that hold words of the document, in groups of ranks; documents without words have none, and are spread over parts of their own.
+    some = some.withColumn("to", F.col("from") + F.col("size"))
+    span = block_words * GROUP
+    parts = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("from") / span).cast("long"), F.floor((F.col("to") - 1) / span).cast("long"))).otherwise(F.array(-1 - F.pmod(F.xxhash64("id", "row"), F.lit(1 << 20))))
+    pieces = some.withColumn("part", F.explode(parts)).withColumn("a", F.greatest("from", F.col("part") * span)).withColumn("b", F.least("to", (F.col("part") + 1) * span))
+    # Groups of slots grow with the words; they are never broadcast, however small Spark takes them to be.
+    met = pieces.join(schedule(plan, block_words).hint("merge"), ["k", "part"], "left")
+    # The ranks of a group are held without gaps, from its first one on.
+    reach = F.col("part") * span + F.coalesce(F.size("slots"), F.lit(0)).cast("long") * block_words
+    words = F.when(F.col("size") > 0, F.greatest(F.least("b", reach) - F.col("a"), F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
+    rank = F.floor((F.col("a") - F.col("part") * span) / block_words).cast("int")
+    met = met.withColumn("words", words).withColumn("slot", F.when(F.col("words") > 0, F.col("slots")[rank]))
+    blocks = F.when(F.col("words") > 0, F.floor((F.col("a") + F.col("words") - 1) / block_words) - F.floor(F.col("a") / block_words) + 1).otherwise(0)
+    keys = ["k", "start", "id", "source", "size", "source_size", "target", "row"]
+    taken = met.groupBy(*keys).agg(F.sum("words").cast("long").alias("taken"), F.sum(blocks.cast("long")).alias("n_slots"), F.min("slot").alias("first_slot"))
+    return taken.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "taken", "n_slots", "first_slot")
 
 
 def positions(rows: DataFrame) -> DataFrame:
-    """Each row's first word in its source's shuffled stream: ``start``. The order is a hash of the id, then id and size."""
+    """Each row's first word in its source's shuffled stream, ``start``, and its number ``row`` among the rows with that start's hash range.
+
+    The order is a hash of the id, then id and size. A source has as many hash ranges as make RANGE_ROWS rows each.
+    """
+    most = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).collect()[0].n or 0
+    digits = 1
+    while most > RANGE_ROWS * 16**digits:
+        digits += 1
     rows = rows.withColumn("h", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
-    rows = rows.withColumn("b", F.substring("h", 1, 3))
-    before = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("k", "b").agg(F.sum("size").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = Window.partitionBy("k", "b").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = rows.withColumn("b", F.conv(F.substring("h", 1, digits), 16, 10).cast("long"))
+    offsets = prefix(rows.groupBy("k", "b").agg(F.sum("size").alias("n")), ["k"], "b", "n").select("k", "b", F.col("before").alias("offset"))
+    inside = Window.partitionBy("k", "b").orderBy("h", "id", "size")
+    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("row", F.row_number().over(inside))
     return rows.join(offsets, ["k", "b"]).withColumn("start", F.col("offset") + F.col("inside")).drop("h", "b", "offset", "inside")

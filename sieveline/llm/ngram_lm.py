@@ -33,6 +33,8 @@ BLOCK_TOKENS, BUCKET_ENTRIES = 1_000_000, 2_000_000
 END, BEGIN = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 #: Bits of a bigram's hash; words keep all 64.
 PAIR_BITS = 56
+#: Strengths of the words' part that are tried, an eighth of a decade apart.
+STRENGTHS = [10 ** (i / 8) for i in range(33)]
 #: How many words a task remembers the hash of.
 REMEMBERED = 250_000
 
@@ -164,7 +166,7 @@ def score(
     id_col: str = "doc_id",
     text_col: str = "text",
     train: Column | None = None,
-    strength: float = 500.0,
+    strength: float | None = None,
     block_tokens: int = BLOCK_TOKENS,
     bucket_entries: int = BUCKET_ENTRIES,
 ) -> DataFrame:
@@ -173,7 +175,11 @@ def score(
     Tokens are lower-cased (A-Z) words between ASCII blanks, then one end.
     ``train`` (a condition on the documents; null counts as false) tells those
     that are learned from; ``held_out`` the others. ``base_score`` is the words'
-    part alone, ``score`` the automaton's. Null texts are empty: one end.
+    part alone, ``score`` the automaton's. ``strength`` is fitted to the
+    training documents unless one is given: Good and Turing's estimate of the
+    share of unseen bigrams is that of the bigrams that occurred once, and the
+    strength is the one at which failure arcs have just that weight over all
+    training tokens (of STRENGTHS, the nearest). Null texts are empty: one end.
     Repeated rows are learned from and scored each; an empty table gives no
     rows; without training documents every token is unknown. Other columns are
     ignored. Words are told apart by 64-bit hashes.
@@ -206,21 +212,27 @@ def score(
                 continue
             hashes = [unpack_sorted(r[2]) for r in mine]
             _, place = np.unique(np.concatenate(hashes), return_inverse=True)
+            # A sum for each different word or bigram of the bucket.
             sums = np.bincount(place, weights=np.concatenate([unpack(r[3]) for r in mine])).astype(np.int64)
             at = 0
             for r, h in zip(mine, hashes, strict=True):
-                out.append((r[1], order, key[0].as_py(), pack(sums[place[at : at + len(h)]]), 0, 0))
+                out.append((r[1], order, key[0].as_py(), pack(sums[place[at : at + len(h)]]), 0, 0, 0, None))
                 at += len(h)
-            if order == 1:
-                out.append((-1, 0, key[0].as_py(), b"", int(sums.sum()), int((sums > 0).sum())))
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
-        names = ["block", "grams", "bucket", "sums", "total", "distinct"]
+            fails = [float((sums * (s / (sums + s))).sum()) for s in STRENGTHS] if order == 1 else None
+            out.append((-order, 0, key[0].as_py(), b"", int(sums.sum()), int((sums > 0).sum()), int((sums == 1).sum()), fails))
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64())]
+        names = ["block", "grams", "bucket", "sums", "total", "distinct", "once", "fails"]
         return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(names, types, strict=True))})
 
     asked = stored.mapInArrow(ask, "bucket int, grams int, block long, hashes binary, counts binary")
-    answers = saved(asked.groupBy("bucket").applyInArrow(answer, "block long, grams int, bucket int, sums binary, total long, distinct long"))
+    answers = saved(asked.groupBy("bucket").applyInArrow(answer, "block long, grams int, bucket int, sums binary, total long, distinct long, once long, fails array<double>"))
     size = answers.where("block = -1").agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).collect()[0]
     n_words, n_distinct = size.n or 0, size.v or 0
+    if strength is None:
+        once = answers.where("block = -2").agg(F.sum("once").alias("n")).collect()[0].n or 0
+        fails = answers.where("block = -1").select(F.posexplode("fails").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
+        weight = {r.i: r.x for r in fails}
+        strength = STRENGTHS[min(range(len(STRENGTHS)), key=lambda i: abs(weight.get(i, 0.0) - once))]
 
     def traverse(key: tuple, own: pa.Table, replies: pa.Table) -> pa.Table:
         out: dict[str, list] = {c: [] for c in ("held_out", "n_tokens", "n_known", "base_score", "score")}

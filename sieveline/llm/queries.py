@@ -22,7 +22,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken; weights 5, 2, 1, at most three rounds, blocks of 256 words."""
+    """doc_id, size, source_size, target, taken, n_slots, first_slot; weights 5, 2, 1, at most three rounds, blocks of 16 words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).drop("source")
 
@@ -45,10 +45,9 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (six decimals); learns outside bucket 2 of 7."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns outside bucket 2 of 7."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = ngram_lm.score(docs, train=bucket_of(F.col("doc_id"), 7) != 2, strength=500.0)
-    return found.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+    return ngram_lm.score(docs, train=bucket_of(F.col("doc_id"), 7) != 2)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,18 +148,34 @@ ORACLE_SQL: dict[str, str] = {
             FROM s WINDOW w AS (ORDER BY cap / weight, source NULLS LAST), b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
         ),
         t AS (
-            SELECT source, source_size,
+            SELECT row_number() OVER (ORDER BY source NULLS LAST) AS k, source, source_size,
                    least(cap::double, (SELECT level FROM f WHERE level <= cap / weight ORDER BY i LIMIT 1) * weight) AS target FROM f
         ),
+        a AS (
+            SELECT k, round(sum(target) OVER (ORDER BY k) / nullif(sum(target) OVER (), 0) * 4294967296)::bigint AS hi,
+                   round(coalesce(sum(target) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / nullif(sum(target) OVER (), 0) * 4294967296)::bigint AS lo FROM t
+        ),
+        g AS (
+            SELECT k, slot, row_number() OVER (PARTITION BY k ORDER BY slot) - 1 AS rank
+            FROM range((SELECT ceil(round(coalesce(sum(target), 0), 3) / 16)::bigint FROM t)) s(slot) JOIN a ON slot * 1640531527 % 4294967296 >= lo AND slot * 1640531527 % 4294967296 < hi
+        ),
+        c AS (SELECT k, count(*) * 16 AS given FROM g GROUP BY k),
         p AS (
-            SELECT d.*, source_size, target, floor(target + 0.5)::bigint AS quota, coalesce(sum(size) OVER (
+            SELECT row_number() OVER () AS r, doc_id, size, k, source_size, target, coalesce(sum(size) OVER (
                 PARTITION BY d.source ORDER BY md5(coalesce(doc_id::varchar, '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING
             ), 0)::bigint AS pos
             FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        ),
+        q AS (
+            SELECT r, pos + i * source_size AS a, least(pos + i * source_size + size, coalesce(given, 0)) AS b
+            FROM p LEFT JOIN c USING (k), range(3) x(i) WHERE size > 0
+        ),
+        w AS (
+            SELECT r, sum(b - a)::bigint AS taken, sum((b - 1) // 16 - a // 16 + 1)::bigint AS n_slots, min(slot) AS first_slot
+            FROM q JOIN p USING (r) JOIN g ON g.k = p.k AND g.rank = a // 16 WHERE b > a GROUP BY r
         )
-        SELECT doc_id, size::bigint AS size, source_size, target,
-               list_sum([greatest(least(pos + k * source_size + size, quota) - (pos + k * source_size), 0) for k in [0, 1, 2]])::bigint AS taken
-        FROM p
+        SELECT doc_id, size::bigint AS size, source_size, target, coalesce(taken, 0)::bigint AS taken, coalesce(n_slots, 0)::bigint AS n_slots, first_slot
+        FROM p LEFT JOIN w USING (r)
     """,
     "op3_secret_scan": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
@@ -215,6 +230,11 @@ ORACLE_SQL: dict[str, str] = {
         c1 AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
         c2 AS (SELECT h, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY h, w),
         n AS (SELECT coalesce(sum(c), 0)::bigint AS n, count(*)::bigint AS v FROM c1),
+        grid AS (SELECT pow(10, i / 8.0::double) AS k FROM range(33) t(i)),
+        best AS (
+            SELECT k FROM (SELECT k, sum(c * (k / (c + k))) AS fails FROM c1, grid GROUP BY k), (SELECT count(*) AS once FROM c2 WHERE c = 1)
+            ORDER BY abs(fails - once), k LIMIT 1
+        ),
         o AS (
             SELECT r, coalesce(a.c, 0) AS cw, coalesce(b.c, 0) AS chw, coalesce(l.c, 0) AS ch,
                    (coalesce(a.c, 0) + 1)::double / (n + v + 1) AS p
@@ -223,10 +243,10 @@ ORACLE_SQL: dict[str, str] = {
         ),
         g AS (
             SELECT r, count(*) AS n_tokens, count(*) FILTER (WHERE cw > 0) AS n_known, fsum(log10(p)) AS base_score,
-                   fsum(CASE WHEN chw > 0 THEN log10((chw + 500.0::double * p) / (ch + 500.0::double)) ELSE log10(500.0::double / (ch + 500.0::double)) + log10(p) END) AS score
-            FROM o GROUP BY r
+                   fsum(CASE WHEN chw > 0 THEN log10((chw + k * p) / (ch + k)) ELSE log10(k / (ch + k)) + log10(p) END) AS score
+            FROM o CROSS JOIN best GROUP BY r
         )
-        SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(base_score, 6) AS base_score, round(score, 6) AS score
+        SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, base_score, score
         FROM d JOIN g USING (r) CROSS JOIN n
     """,
     "op6_decontamination": f"""

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+from collections import Counter
 
 import pytest
 import zstandard
@@ -121,26 +122,72 @@ def test_language_of_two_languages_is_rejected(spark):
         language.fit(docs, most_langs=1)
 
 
-def test_mixture_takes_each_target(spark):
+def brute_mix(rows, weights=(5, 2, 1), block=16, stride=mixing.STRIDE):
+    """taken, n_slots and first_slot of each row (id, source, size), by dealing slots one by one and walking each source's stream word by word."""
+    names = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(n for _, t, n in rows if t == s) for s in names}
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    target, free, left = {}, list(names), sum(total.values())
+    while free:
+        level = left / sum(weight[s] for s in free)
+        full = [s for s in free if 3 * total[s] < level * weight[s]]
+        for s in full or free:
+            target[s] = 3.0 * total[s] if full else level * weight[s]
+        left -= sum(target[s] for s in full)
+        free = [s for s in free if s not in target]
+    ends, whole = {}, sum(target.values())
+    for s in names:
+        ends[s] = round((sum(target[t] for t in names[: names.index(s) + 1])) / whole * 2**32)
+    slots = {s: [] for s in names}
+    for i in range(math.ceil(round(whole, 3) / block)):
+        slots[next(s for s in names if i * stride % 2**32 < ends[s])].append(i)
+    out = {}
+    for s in names:
+        own = sorted((r for r in rows if r[1] == s and r[2]), key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest(), r[0], r[2]))
+        words = [i for _ in range(3) for i, _, n in own for _ in range(n)]
+        for rank, slot in enumerate(slots[s]):
+            for i in (taken := words[rank * block : (rank + 1) * block]):
+                out.setdefault(i, [0, set(), slot])[0] += 1
+            for i in set(taken):
+                out[i][1].add(slot)
+    return target, {i: (n, len(found), first) for i, (n, found, first) in out.items()}
+
+
+def test_mixture_is_what_the_slots_take(spark, monkeypatch):
     docs = table(spark, SMALL, "documents")
-    got = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g"), F.max(F.col("taken") - 3 * F.col("size")).alias("over")).collect()
-    assert all(abs(r.t - r.g) <= 1 and r.over <= 0 for r in got)
-    assert sum(r.t for r in got) == pytest.approx(docs.agg(F.sum(mixing.n_words(F.col("text")))).collect()[0][0], abs=len(got))
+    rows = [(r.doc_id, r.source, r.size) for r in docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")).collect()]
+    target, want = brute_mix(rows)
+    monkeypatch.setattr(mixing, "GROUP", 50)  # several groups of ranks a source
+    monkeypatch.setattr(mixing, "CHUNK", 300)
+    monkeypatch.setattr(mixing, "RANGES", 3)
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 2)
+    mixed = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    assert {i: (r.taken, r.n_slots, r.first_slot) for i, r in mixed.items() if r.taken} == {i: w for i, w in want.items() if w[0]}
+    sums = {}
+    for r in mixed.values():
+        assert r.taken <= 3 * r.size and r.target == pytest.approx(target[r.source])
+        sums[r.source] = sums.get(r.source, 0) + r.taken
+    # A few blocks off the target at most.
+    assert all(abs(sums[s] - target[s]) <= 3 * 16 for s in sums)
+    # Another schedule gives another mix.
+    monkeypatch.setattr(mixing, "STRIDE", 3)
+    other = {r.doc_id: (r.taken, r.n_slots, r.first_slot) for r in mixing.mix(docs).collect()}
+    assert sum(other[i][0] != r.taken for i, r in mixed.items()) > 10
 
 
 def test_mixture_schedule_is_even(spark):
     docs = table(spark, SMALL, "documents")
     sizes = docs.select("source", mixing.n_words(F.col("text")).alias("size"))
     plan = mixing.targets(sizes, (5, 2, 1), 3).cache()
-    slots = mixing.schedule(plan, 16).where("slot IS NOT NULL").collect()
-    share = {r.k: r.quota for r in plan.collect()}
+    groups = mixing.schedule(plan, 16).collect()
+    slots = sorted((s, r.k) for r in groups for s in r.slots)
+    share = {r.k: r.target for r in plan.collect()}
     total = sum(share.values())
-    for upto in (len(slots) // 3, len(slots) // 2):
-        first = [s.k for s in slots if s.slot < upto]
-        assert all(abs(first.count(k) - upto * q / total) <= 8 for k, q in share.items())
-    for k in share:
-        ranks = sorted(s.rank for s in slots if s.k == k)
-        assert ranks == list(range(len(ranks)))
+    assert [s for s, _ in slots] == list(range(math.ceil(total / 16)))
+    for upto in (len(slots) // 3, len(slots) // 2, len(slots)):
+        first = [k for _, k in slots[:upto]]
+        assert all(abs(first.count(k) - upto * q / total) <= 3 for k, q in share.items())
+    assert all(r.slots == sorted(r.slots) for r in groups)
 
 
 def test_mixture_edge_cases(odd, none):
@@ -149,6 +196,7 @@ def test_mixture_edge_cases(odd, none):
     assert mixing.mix(odd).count() == len(ODD) and mixing.mix(none).count() == 0
     a, b = (sorted(map(str, mixing.mix(odd, block_words=7).collect())) for _ in range(2))
     assert a == b
+    assert sorted(r.size for r in mixing.mix(odd).where("doc_id = 1").collect()) == [7, 7]
 
 
 BASE = (
@@ -279,10 +327,25 @@ def test_scores_sum_to_one(spark):
     assert got[3].n_tokens == 1 and got[3].train_tokens == 9 and got[13].n_known == 2
 
 
+def test_strength_is_fitted(spark):
+    """The fitted strength is that at which failure arcs weigh what bigrams that occurred once do, and no worse than far ones on held-out texts."""
+    docs = table(spark, SMALL, "documents").select("doc_id", "text")
+    rows = {r.doc_id: [*(r.text or "").translate({i: i + 32 for i in range(65, 91)}).encode().split(), None] for r in docs.collect()}
+    words = Counter(w for i, t in rows.items() if i % 3 for w in t)
+    pairs = Counter(p for i, t in rows.items() if i % 3 for p in zip(["", *t], t))
+    once = sum(n == 1 for n in pairs.values())
+    strength = min((10 ** (i / 8) for i in range(33)), key=lambda s: abs(sum(n * s / (n + s) for n in words.values()) - once))
+    train = F.col("doc_id") % 3 != 0
+    fitted, given, weak, strong = ({r.doc_id: r.score for r in ngram_lm.score(docs, train=train, strength=s).collect()} for s in (None, strength, 1.0, 10_000.0))
+    assert fitted == given
+    held = [i for i in rows if i % 3 == 0]
+    assert sum(fitted[i] for i in held) > max(sum(x[i] for i in held) for x in (weak, strong))
+
+
 def test_blocks_do_not_change_scores(spark, odd, none):
-    docs = odd.where("doc_id <> 5 OR doc_id IS NULL")
+    docs = odd
     a, b = (sorted(map(str, ngram_lm.score(docs, block_tokens=t, bucket_entries=e).collect())) for t, e in ((1_000_000, 1_000_000), (5, 3)))
-    assert a == b and len(a) == len(ODD) - 1
+    assert a == b and len(a) == len(ODD)
     assert ngram_lm.score(none).count() == 0
     assert {r.n_known for r in ngram_lm.score(odd, train=F.lit(False)).collect()} == {0}
 
