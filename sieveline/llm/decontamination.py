@@ -8,7 +8,6 @@ once, word by word, and every hit carries its offsets in the original text.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -17,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import ALNUM, slices, widened
+from sieveline.llm.common import ALNUM, saved, slices, widened
 
-#: Words of one automaton; larger benchmarks are scanned in several such blocks.
+#: Words of one automaton; larger benchmarks are scanned for in several passes.
 BLOCK_WORDS = 1_000_000
-OTHER = "\x01"
+#: Symbols of an automaton's alphabet, one a word; and the column that carries hits from pass to pass.
+OTHER, FIRST_SYMBOL, HITS = "\x01", 0xE000, "_hits"
+MOST_SYMBOLS = 0x110000 - FIRST_SYMBOL
 RUN = re.compile(rb"[^\x20]+")
 
 
@@ -40,7 +41,7 @@ class Matcher:
         patterns: dict[str, list[str]] = {}
         for item_id, text in items:
             for window in windows((text or "").encode("utf-8", "replace").translate(ALNUM).split(), width):
-                key = "".join(self.symbols.setdefault(w, chr(len(self.symbols) + 0xE000)) for w in window)
+                key = "".join(self.symbols.setdefault(w, chr(len(self.symbols) + FIRST_SYMBOL)) for w in window)
                 owners = patterns.setdefault(key, [])
                 if not owners or owners[-1] != item_id:
                     owners.append(item_id)
@@ -61,9 +62,9 @@ class Matcher:
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int, width: int) -> Iterator[list[tuple[str, str]]]:
-    """The items, in blocks of bounded size; the driver holds one at a time.
+    """The items, in blocks of bounded size; the driver holds two at a time.
 
-    An item longer than a block is cut into pieces that overlap by all but one word of a window.
+    An item longer than a block is cut into pieces that overlap by all but one word of a window. No items are one empty block.
     """
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t"))
     block, size = [], 0
@@ -96,52 +97,65 @@ def find_hits(
     windows, items or blocks cover it. A null or empty text has no words and no
     hits; so has any text against an empty benchmark. Null item ids count as
     the empty string; repeated items and repeated documents are each reported
-    as they stand. Columns named like a result are replaced.
+    as they stand. Columns named like a result are replaced. A benchmark of
+    more than ``block_words`` words takes a pass over the documents for each
+    block, whose result is stored; one block at a time goes to every task.
     """
-    results = ("n_words", "n_hit", "items", "spans")
-    docs = docs.drop(*results)
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark, item_id_col, item_text_col, block_words, width)]
-    keep = docs.columns
-    schema = widened(docs, "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
-    added = pa.schema(
-        [("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-    )
+    if block_words + width > MOST_SYMBOLS:
+        raise ValueError(f"an automaton tells {MOST_SYMBOLS} different words apart")
+    found = docs.drop(*(f.name for f in RESULTS), HITS)
+    ahead = None
+    for block in blocks(benchmark, item_id_col, item_text_col, block_words, width):
+        # A pass for each block, so that a task holds one automaton, and a stored result between, so that passes don't run at once.
+        if ahead is not None:
+            found = saved(scanned(found, ahead, text_col, width, last=False))
+        ahead = block
+    return scanned(found, ahead, text_col, width, last=True)
+
+
+#: What the last pass adds; and the hits that the others carry along.
+RESULTS = pa.schema(
+    [("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+)
+CARRIED = pa.schema([(HITS, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("items", pa.list_(pa.string()))])))])
+DDL = {True: "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>", False: f"{HITS} array<struct<start:long,end:long,items:array<string>>>"}
+
+
+def scanned(docs: DataFrame, block: list[tuple[str, str]], text_col: str, width: int, last: bool) -> DataFrame:
+    """The documents with the hits of a block of items added to those of earlier ones, or, in the last pass, what all hits tell."""
+    # One block of a checked size; the automaton is built once a worker and kept beside the items it was built from.
+    shared = docs.sparkSession.sparkContext.broadcast({"items": block})
+    keep = [c for c in docs.columns if c != HITS]
+    schema = widened(docs.drop(HITS), DDL[last])
+    added = RESULTS if last else CARRIED
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, Matcher] = {}
-
-        def matcher(k: int) -> Matcher:
-            if k not in held:
-                held.clear()  # one automaton at a time
-                held[k] = Matcher(shared[k].value, width)
-            return held[k]
-
+        held = shared.value
+        if "matcher" not in held:
+            held["matcher"] = Matcher(held["items"], width)
+        matcher = held["matcher"]
         for batch in slices(batches):
-            raw = [t.encode("utf-8", "replace") if t else b"" for t in batch.column(text_col).to_pylist()]
-            found: list[list] = [[] for _ in raw]
-            words = [b.translate(ALNUM).split() for b in raw]
-            for k in range(len(shared)):
-                m = matcher(k)
-                for hits, ws in zip(found, words, strict=True):
-                    hits += m.scan(ws)
-            rows = {name: [] for name in results}
-            for b, ws, hits in zip(raw, words, found, strict=True):
-                stretches = merged(hits)
-                rows["n_words"].append(len(ws))
-                rows["n_hit"].append(sum(e - s for s, e in stretches))
-                rows["items"].append(sorted({i for _, _, owners in hits for i in owners}))
-                rows["spans"].append(offsets(b, stretches))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in keep] + [pa.array(rows[f.name], f.type) for f in added], names=[*keep, *results]
-            )
+            before = batch.column(HITS).to_pylist() if HITS in batch.schema.names else [()] * batch.num_rows
+            rows: list[tuple] = []
+            for text, old in zip(batch.column(text_col).to_pylist(), before, strict=True):
+                raw = text.encode("utf-8", "replace") if text else b""
+                words = raw.translate(ALNUM).split()
+                hits = [*((h["start"], h["end"], h["items"]) for h in old), *matcher.scan(words)]
+                if last:
+                    stretches = merged(hits)
+                    rows.append((len(words), sum(e - s for s, e in stretches), sorted({i for *_, own in hits for i in own}), offsets(raw, stretches)))
+                else:
+                    rows.append(([{"start": s, "end": e, "items": own} for s, e, own in hits],))
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), added, strict=True)] if rows else [pa.array([], f.type) for f in added]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], names=[*keep, *added.names])
 
     return docs.mapInArrow(scan, schema)
 
 
-def merged(hits: list[tuple[int, int, tuple[str, ...]]]) -> list[tuple[int, int]]:
+def merged(hits: list[tuple]) -> list[tuple[int, int]]:
     """The union of the hits' word ranges."""
     out: list[tuple[int, int]] = []
-    for s, e in sorted({(s, e) for s, e, _ in hits}):
+    for s, e in sorted({h[:2] for h in hits}):
         if out and s <= out[-1][1]:
             out[-1] = (out[-1][0], max(e, out[-1][1]))
         else:
@@ -159,6 +173,3 @@ def offsets(raw: bytes, stretches: list[tuple[int, int]]) -> list[dict[str, int]
         for s, e in stretches
     ]
 
-
-def items_digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()

@@ -45,9 +45,13 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns outside bucket 2 of 7."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns outside bucket 2 of 7.
+
+    Scores are given to nine decimals: what follows depends on the libraries' logarithms.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return ngram_lm.score(docs, train=bucket_of(F.col("doc_id"), 7) != 2)
+    found = ngram_lm.score(docs, train=bucket_of(F.col("doc_id"), 7) != 2)
+    return found.withColumns({c: F.round(c, 9) for c in ("base_score", "score")})
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,7 +250,7 @@ ORACLE_SQL: dict[str, str] = {
                    fsum(CASE WHEN chw > 0 THEN log10((chw + k * p) / (ch + k)) ELSE log10(k / (ch + k)) + log10(p) END) AS score
             FROM o CROSS JOIN best GROUP BY r
         )
-        SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, base_score, score
+        SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(base_score, 9) AS base_score, round(score, 9) AS score
         FROM d JOIN g USING (r) CROSS JOIN n
     """,
     "op6_decontamination": f"""
