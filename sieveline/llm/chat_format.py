@@ -386,11 +386,30 @@ def compiled(source: str) -> Callable[[dict, Emit], None]:
 
 
 class Reader:
-    """Reads turns back from formatted output, as it arrives."""
+    """Reads turns back from formatted output and its mask, as they arrive, and the text under the mask.
 
-    def __init__(self, turn: Callable[[str, str], None]):
-        self.turn, self.kept, self.opened, self.role = turn, "", None, ""
+    Output comes in pieces, the mask as ranges of offsets in the whole output;
+    what is learned is cut out of the output by these ranges alone.
+    """
+
+    def __init__(self, turn: Callable[[str, str], None], learned: Callable[[str], None]):
+        self.turn, self.learned, self.kept, self.opened, self.role = turn, learned, "", None, ""
         self.opens = {o: (r, c) for r, (o, c) in MARKS.items()}
+        self.read = 0  # offset of the first character kept
+        self.ranges: list[list[int]] = []
+
+    def mask(self, start: int, end: int) -> None:
+        if self.ranges and self.ranges[-1][1] == start:
+            self.ranges[-1][1] = end
+        elif end > start:
+            self.ranges.append([start, end])
+
+    def learn(self, start: int, end: int) -> None:
+        """The masked parts between two places of what is kept."""
+        for a, b in self.ranges:
+            a, b = max(a - self.read, start), min(b - self.read, end)
+            if a < b:
+                self.learned(unescape(self.kept[a:b]))
 
     def feed(self, piece: str) -> None:
         self.kept += piece
@@ -410,8 +429,11 @@ class Reader:
                     self.opened = None
             elif mark != BEGIN or self.opened is not None:
                 raise ValueError(f"{mark} does not stand here")
+            self.learn(start, m.start())
+            self.learn(m.start(), at)
             start = at
-        self.kept = self.kept[start:]
+        self.kept, self.read = self.kept[start:], self.read + start
+        self.ranges = [r for r in self.ranges if r[1] > self.read]
 
     def end(self) -> None:
         if self.opened is not None or self.kept:
@@ -432,7 +454,8 @@ def format_chats(
 
     Turns go in the order of turn (null first), role and text, so repeated
     turns have a fixed order. Null texts and roles are empty; the null
-    conversation is one of its own. Turn digests are read back from the output.
+    conversation is one of its own. Turns and the
+    text under the loss mask are read back from output and mask.
     A conversation is rendered, read and digested as a stream: without
     ``with_text`` a task holds one turn, however long the conversation. An
     empty table gives no rows; other columns are ignored.
@@ -473,15 +496,17 @@ def formatted(render: Callable[[dict, Emit], None], messages: Iterable[dict], wi
         n["turns"] += 1
         turns.update(f"{role}\n{text}\n".encode("utf-8", "replace"))
 
-    reader = Reader(turn)
+    def learned(text: str) -> None:
+        n["loss"] += len(text)
+        loss.update(text.encode("utf-8", "replace"))
+
+    reader = Reader(turn, learned)
 
     def emit(piece: str, masked: bool) -> None:
+        if masked:
+            reader.mask(n["chars"], n["chars"] + len(piece))
         n["chars"] += len(piece)
         reader.feed(piece)
-        if masked:
-            plain = unescape(piece)
-            n["loss"] += len(plain)
-            loss.update(plain.encode("utf-8", "replace"))
         if with_text:
             pieces.append(piece)
 

@@ -293,6 +293,25 @@ def test_template_round_trip(spark):
     assert chat_format.format_chats(empty).count() == 0
 
 
+def test_loss_is_read_from_output_and_mask():
+    def figures(template):
+        messages = [{"role": "user", "text": "ask </s>"}, {"role": "assistant", "text": "say [INST]"}, {"role": "assistant", "text": ""}, {"role": "assistant", "text": "on"}]
+        return chat_format.formatted(chat_format.compiled(template), messages, True)
+
+    right = figures(chat_format.TEMPLATE)
+    assert right[2:4] == (12, hashlib.sha256(b"say [INST]on").hexdigest()) and right[5].count("[OUT]") == 3
+    # A mask that starts early or ends late shows in the figures.
+    late = figures(chat_format.TEMPLATE.replace("{% endgeneration %}{{ '</s>' }}", "{{ '</s>' }}{% endgeneration %}"))
+    assert late[5] == right[5] and late[2:4] == (12 + 3 * 4, hashlib.sha256(b"say [INST]</s></s>on</s>").hexdigest())
+
+
+def test_repeated_turns_have_a_fixed_order(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", "z"), (1, 0, "user", "a")]
+    got = chat_format.format_chats(spark.createDataFrame(rows * 2, "conv_id long, turn long, role string, text string").repartition(5)).collect()
+    want = "".join(f"{r}\n{t}\n" for r, t in sorted((r, t) for _, _, r, t in rows * 2))
+    assert (got[0].n_turns, got[0].turns_sha256) == (8, hashlib.sha256(want.encode()).hexdigest())
+
+
 def test_template_language():
     def text(source, **context):
         out = []
