@@ -4,7 +4,8 @@ Exact for any threshold on sets of word shingles:
 
 1. Documents are cut into blocks; a block deals its shingles to buckets of hash
    ranges, and a bucket tells which shingles occur in more than one set, and in
-   how many.
+   how many. Shingles that many sets of a block hold are counted there first, so
+   a passage in every document is an entry a block, not an entry a set.
 2. A set links only if it shares enough; its rarest shingles (a prefix in the
    order of frequency) must meet a partner's prefix. Sets that meet form
    families; equal sets were made one before.
@@ -34,10 +35,14 @@ from sieveline.llm.ngram_lm import WordHashes, large, small
 
 #: Shingles of a block, entries of a bucket, and sets of a block of a large family: what a task holds at once.
 BLOCK_ENTRIES, BUCKET_ENTRIES, FAMILY_BLOCK = 1_000_000, 2_000_000, 1_024
+#: Sets of a block from which on a shingle's sets stay with the block, and their number alone goes to the bucket.
+HOT = 4
 #: Bits of a shingle's hash.
 HASH_BITS = 56
 #: How much more a probe costs than a step of a merge, by the logarithm of the longest list.
 MU = 0.02
+#: Numbers in short lists up to which a heap merges them.
+HEAP_MOST = 500
 
 
 def shingles(text: str | None, width: int, known: WordHashes) -> np.ndarray:
@@ -73,7 +78,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     # Words by a cheap bound (a blank for each), to choose the number of hash ranges: a matter of task size only.
     words = docs.agg(F.sum(F.length(text_col)).alias("n")).collect()[0].n or 0
     bits = max(0, math.ceil(math.log2(max(1, words / 5 / bucket_entries))))
-    routed = f"bucket int, block long, ids array<{kind}>, sizes binary, digests array<binary>, member binary, hashes binary, sets binary"
+    routed = f"bucket int, block long, ids array<{kind}>, sizes binary, digests array<binary>, member binary, hashes binary, sets binary, hot boolean"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, number = WordHashes(), 0
@@ -84,19 +89,24 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
         def block() -> pa.RecordBatch:
             name = (TaskContext.get().partitionId() << 32) + number
             member = np.array([sets[d][0] for _, _, d in held])
-            meta = (name % (1 << bits), name, [i for i, _, _ in held], small(np.array([n for _, n, _ in held])), [d for _, _, d in held], small(member), None, None)
+            meta = (name % (1 << bits), name, [i for i, _, _ in held], small(np.array([n for _, n, _ in held])), [d for _, _, d in held], small(member), None, None, False)
             rows: list[tuple] = [meta]
             if sets:
                 every = np.concatenate([s for _, s in sets.values()])
                 owner = np.repeat([k for k, _ in sets.values()], [len(s) for _, s in sets.values()])
                 order = np.argsort(every, kind="stable")
                 every, owner = every[order], owner[order]
-                edges = np.searchsorted(every, np.arange(1 << bits, dtype=np.uint64) << np.uint64(HASH_BITS - bits)).tolist()
-                for bucket, (a, b) in enumerate(zip(edges, [*edges[1:], len(every)], strict=True)):
-                    if b > a:
-                        rows.append((bucket, name, None, None, None, None, pack_sorted(every[a:b]), small(owner[a:b])))
-            types = [pa.int32(), pa.int64(), pa.list_(kind), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary()]
-            names = ["bucket", "block", "ids", "sizes", "digests", "member", "hashes", "sets"]
+                different, place, counts = np.unique(every, return_inverse=True, return_counts=True)
+                hot = counts[place] >= HOT
+                if hot.any():  # their sets wait for the counts where the block is put together again
+                    rows.append((meta[0], name, None, None, None, None, pack_sorted(every[hot]), small(owner[hot]), None))
+                for flag, h, n in ((False, every[~hot], owner[~hot]), (True, different[counts >= HOT], counts[counts >= HOT])):
+                    edges = np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << np.uint64(HASH_BITS - bits)).tolist()
+                    for bucket, (a, b) in enumerate(zip(edges, [*edges[1:], len(h)], strict=True)):
+                        if b > a:
+                            rows.append((bucket, name, None, None, None, None, pack_sorted(h[a:b]), small(n[a:b]), flag))
+            types = [pa.int32(), pa.int64(), pa.list_(kind), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary(), pa.bool_()]
+            names = ["bucket", "block", "ids", "sizes", "digests", "member", "hashes", "sets", "hot"]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
         size = 0
@@ -115,45 +125,60 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
         if held:
             yield block()
 
-    passed = f"block long, ids array<{kind}>, sizes binary, digests array<binary>, member binary, bucket int, hashes binary, sets binary, counts binary"
+    passed = f"block long, ids array<{kind}>, sizes binary, digests array<binary>, member binary, bucket int, hashes binary, sets binary, counts binary, hot boolean"
 
     def count(key: tuple, dealt: pa.Table) -> pa.Table:
         out: list[tuple] = []
         blocks, hashes, owners = [], [], []
         for row in dealt.to_pylist():
-            if row["hashes"] is None:
-                out.append((row["block"], row["ids"], row["sizes"], row["digests"], row["member"], None, None, None, None))
+            if row["hot"] is None:  # on its way to its block
+                out.append((row["block"], None, None, None, None, -1, row["hashes"], row["sets"], None, None))
+            elif row["hashes"] is None:
+                out.append((row["block"], row["ids"], row["sizes"], row["digests"], row["member"], None, None, None, None, None))
             else:
-                blocks.append(row["block"])
+                blocks.append((row["block"], row["hot"]))
                 hashes.append(unpack_sorted(row["hashes"]))
                 owners.append(large(row["sets"]))
         if blocks:
-            _, place, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+            _, place = np.unique(np.concatenate(hashes), return_inverse=True)
+            # Entries are sets, or numbers of sets that a block holds back.
+            weights = np.concatenate([own if hot else np.ones(len(own), dtype=np.int64) for (_, hot), own in zip(blocks, owners, strict=True)])
+            counts = np.bincount(place, weights=weights).astype(np.int64)
             at = 0
-            for block, own, sets in zip(blocks, hashes, owners, strict=True):
+            for (block, hot), own, sets in zip(blocks, hashes, owners, strict=True):
                 n = counts[place[at : at + len(own)]]
                 at += len(own)
                 shared = n > 1
                 if shared.any():
-                    out.append((block, None, None, None, None, key[0].as_py(), pack_sorted(own[shared]), small(sets[shared]), small(n[shared])))
+                    out.append((block, None, None, None, None, key[0].as_py(), pack_sorted(own[shared]), None if hot else small(sets[shared]), small(n[shared]), hot))
         kind = dealt.schema.field("ids").type
-        types = [pa.int64(), kind, pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        names = ["block", "ids", "sizes", "digests", "member", "bucket", "hashes", "sets", "counts"]
+        types = [pa.int64(), kind, pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()]
+        names = ["block", "ids", "sizes", "digests", "member", "bucket", "hashes", "sets", "counts", "hot"]
         return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(names, types, strict=True))})
 
     def gather(key: tuple, own: pa.Table) -> pa.Table:
         rows = own.to_pylist()
         meta = next(r for r in rows if r["ids"] is not None)
         parts = sorted((r for r in rows if r["ids"] is None), key=lambda r: r["bucket"])
+        waiting = [r for r in parts if r["bucket"] == -1]
+        hot = [r for r in parts if r["hot"]]
+        parts = [r for r in parts if r["hot"] is False]
         sizes, member = large(meta["sizes"]), large(meta["member"])
         tokens: list[bytes | None] = [None] * len(member)
         prefix: list[list[int] | None] = [None] * len(member)
-        if parts:
-            hashes = np.concatenate([unpack_sorted(r["hashes"]) for r in parts])
-            sets = np.concatenate([large(r["sets"]) for r in parts])
-            counts = np.concatenate([large(r["counts"]) for r in parts])
-            order = np.argsort(sets, kind="stable")  # hashes stay sorted within a set
+        if parts or waiting:
+            hashes = [unpack_sorted(r["hashes"]) for r in parts]
+            sets = [large(r["sets"]) for r in parts]
+            counts = [large(r["counts"]) for r in parts]
+            for r in waiting:  # a row at most
+                known = np.concatenate([unpack_sorted(x["hashes"]) for x in hot])
+                hashes.append(unpack_sorted(r["hashes"]))
+                sets.append(large(r["sets"]))
+                counts.append(np.concatenate([large(x["counts"]) for x in hot])[np.searchsorted(known, hashes[-1])])
+            hashes, sets, counts = np.concatenate(hashes), np.concatenate(sets), np.concatenate(counts)
+            order = np.lexsort((hashes, sets))
             hashes, sets, counts = hashes[order], sets[order], counts[order]
+            # By set, and by hash within it.
             _, first = np.unique(member, return_index=True)
             edges = np.searchsorted(sets, np.arange(len(first) + 1))
             for k, doc in enumerate(first.tolist()):
@@ -258,8 +283,11 @@ class Index:
 
 
 def merged(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Set numbers in sorted lists and how many lists hold each: a heap merge, or one sort where the lists are large."""
-    if sum(map(len, lists)) > 500:
+    """Set numbers in sorted lists and how many lists hold each: a heap merge, or one sort of the lists together.
+
+    Both give the same; from some hundred numbers on a heap of Python objects takes four to five times as long.
+    """
+    if sum(map(len, lists)) > HEAP_MOST:
         return np.unique(np.concatenate(lists), return_counts=True)
     runs = [(k, sum(1 for _ in g)) for k, g in groupby(heapq.merge(*(x.tolist() for x in lists)))]
     return np.array([k for k, _ in runs], dtype=np.int64), np.array([c for _, c in runs], dtype=np.int64)

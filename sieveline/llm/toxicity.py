@@ -11,12 +11,14 @@ sentences; a document's score comes from its worst sentences.
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ from sieveline.llm.common import saved, slices, widened
 
 DECAY, SPAN, LETTERS, POWER = 0.7, 8, 32, 2
 DIMENSION = LETTERS**3
-#: Sentences end at blanks after a full stop, and at line ends; longer ones are cut.
+#: Sentences end at blanks after a full stop, and at line ends; a longer one is read as several of so many words.
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 SENTENCE_WORDS = 24
 #: Letters spelled apart are one word.
@@ -68,7 +70,7 @@ def normalised(token: str) -> str:
 
 def strings(token: str) -> set[str]:
     """The word's strings of four letters, and its beginnings of three to six, marked."""
-    word = normalised(token)[:64]
+    word = normalised(token)
     return {word[i : i + 4] for i in range(len(word) - 3)} | {MARK + word[:n] for n in range(3, min(6, len(word)) + 1)}
 
 
@@ -266,10 +268,14 @@ def fit(
     label_col: str = "toxic",
     where: Column | None = None,
     sample_docs: int = 1_500,
+    doc_sentences: int = 4,
     landmarks: int = 96,
 ) -> Machine:
     """The machine, from a bounded sample: ``sample_docs`` labelled documents of each class, the first by hash of their id.
 
+    Documents are read whole, and ``doc_sentences`` different sentences of each
+    train the machine: a positive one's most telling, a negative one's by hash.
+
     ``where`` filters labels by their id. A document is positive if any of its
     labels is 1; null ids and labels teach nothing. Documents carry labels, not
     sentences: positive sentences are first those with the four-letter strings
@@ -301,34 +307,27 @@ def fit(
     # In standard deviations of the difference between two shares.
     both = F.col("n1") + F.col("n0") + 2.0
     rated = counts.withColumn("z", F.col("lift") / F.sqrt(both * (1 / totals[0] + 1 / totals[1]) / (totals[0] + totals[1]))).where("n1 >= 3 AND z >= 4")
-    telling = [(r.w, r.n1 * totals[0] >= 4 * r.n0 * totals[1]) for r in rated.orderBy(F.col("z").desc(), "w").limit(4 * landmarks).collect()]
+    telling = [(r.w, r.z if r.n1 * totals[0] >= 4 * r.n0 * totals[1] else 0.0) for r in rated.orderBy(F.col("z").desc(), "w").limit(4 * landmarks).collect()]
     usual = [r.w for r in counts.where("n0 >= 2").orderBy(F.xxhash64("w"), "w").limit(landmarks).collect()]
     marks = spread([w for w, _ in telling], landmarks)
     marks = [*marks, *spread([w for w in usual if w not in marks], landmarks // 8)]
-    strong = frozenset(w for w, alone in telling if alone)
+    strong = {w: z for w, z in telling if z}
     if not marks:
         return Machine([], np.zeros(0), 0.0, shift=float(np.log(totals[1] / totals[0])))
 
-    def first_examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i, y, t in zip(*(batch.column(c).to_pylist() for c in "iyt"), strict=True):
-                found = sentences(t)
-                picked = [s for s in found if any(not strong.isdisjoint(strings(w)) for w in s)][:3] if y else found[:: max(1, len(found) // 4)][:4]
-                out += [(i, y, s) for s in picked]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[], [], []], (kinds["i"], pa.int32(), pa.list_(pa.string())), strict=True)], names=["i", "y", "s"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out: list[tuple] = []
+            for y, t in zip(batch.column("y").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                # Each sentence by how much it tells, or by chance where none tells anything.
+                each = {tuple(s): (-sum(strong.get(g, 0.0) for g in {g for w in s for g in strings(w)}) if y else 0.0, xxhash.xxh3_64_intdigest(" ".join(s))) for s in sentences(t)}
+                able = [s for s in each if not y or not strong or each[s][0] < 0]
+                out += [(y, list(s)) for s in heapq.nsmallest(doc_sentences, able, key=each.__getitem__)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[], []], (pa.int32(), pa.list_(pa.string())), strict=True)], names=["y", "s"])
 
-    kinds = {"i": to_arrow_type(sample.schema["i"].dataType)}
-    id_kind = sample.schema["i"].dataType.simpleString()
     # Bounded by the sample; sorted here, as a distributed sort would read it twice.
-    rows = sorted(sample.mapInArrow(first_examples, f"i {id_kind}, y int, s array<string>").collect(), key=lambda r: (r.i, r.s))
+    rows = sorted(sample.mapInArrow(drawn, "y int, s array<string>").collect(), key=lambda r: (r.y, r.s))
     examples, marked = [r.s for r in rows], [r.y for r in rows]
-    if not any(marked):  # no telling word: every sentence of a positive document stands for it
-        rows = sample.where("y = 1").select("i", "t").orderBy("i").limit(sample_docs).collect()
-        extra = [s for r in rows for s in sentences(r.t)[:4]]
-        examples, marked = examples + extra, marked + [1] * len(extra)
     machine = train(examples, np.array(marked), marks)
     worst = worst_sentences(sample, machine)
     kept = [(s, 0) for s, y in zip(examples, marked, strict=True) if not y]

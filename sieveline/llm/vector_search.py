@@ -22,6 +22,8 @@ from sieveline.llm.common import saved
 
 #: Centroids of a half: one bit each in a 64-bit word of visited cells.
 CENTROIDS = 64
+#: Queries whose cells one task chooses.
+ASK_ROWS = 512
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -125,7 +127,6 @@ def search(
     every: int = 20,
     top: int = 20,
     visit_share: float = 0.55,
-    visit_least: int = 2_000,
     sample_rows: int = 16_384,
     shard_rows: int = 4_096,
     query_rows: int = 8_192,
@@ -133,9 +134,9 @@ def search(
     """query_id, rank, vec_id and score: the ``top`` nearest found for each row whose id is divisible by ``every``.
 
     Nearness is the inner product in double precision, ties go to the smaller
-    id. A query visits cells until they hold ``visit_share`` of all entries, and
-    ``visit_least`` at least; vectors without structure need about half for a
-    recall of 0.9. Null ids take no part, nor do vectors that are null, zero,
+    id. A query visits cells until they hold ``visit_share`` of all entries,
+    however few or many there are; vectors without structure need about half for
+    a recall of 0.9. Null ids take no part, nor do vectors that are null, zero,
     of null or non-finite components, or of another length than most of the
     sample. Rows that repeat an id are all entries, the smallest vector of an
     id is its query, and no query finds its own id. No usable row gives no
@@ -156,7 +157,7 @@ def search(
     for r in index.groupBy("a", "b").count().collect():  # at most 64 x 64 rows
         counts[r.a, r.b] = r["count"]
     total = int(counts.sum())
-    enough = max(visit_least, math.ceil(visit_share * total))
+    enough = math.ceil(visit_share * total)
     shards = shards_of(counts, shard_rows)
     members: dict[int, list[int]] = {}
     for a, own in enumerate(shards):
@@ -221,6 +222,8 @@ def search(
     dealt = index.withColumn("own", shard).withColumn("shard", F.element_at("own", (F.pmod(F.xxhash64("id", "vector"), F.size("own")) + 1).cast("int")))
     entries = dealt.select("shard", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("block"), "id", "vector", "a", "b")
     asked = index.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vector").alias("vector"))
+    # Choosing cells is the work here: by many tasks, however small the table of queries is.
+    asked = asked.repartition(max(1, math.ceil(n_queries / ASK_ROWS)), "id")
     queries = asked.mapInArrow(ask, "shard int, block int, id long, vector array<double>, cells binary")
     reply = "query_id long, shard int, near array<struct<far:double,vec_id:long>>"
     found = queries.groupBy("shard", "block").cogroup(entries.groupBy("shard", "block")).applyInArrow(rerank, reply)

@@ -135,12 +135,14 @@ def brute_search(rows, every, top):
     return out
 
 
-def test_recall_of_search(spark):
-    vectors = table(spark, "/root/testdata/sf0.1", "embeddings")
+@pytest.mark.parametrize(("sf", "sizes"), [("sf0.001", {}), ("sf0.1", {}), ("sf0.1", {"shard_rows": 300, "query_rows": 40})])
+def test_recall_of_search(spark, sf, sizes):
+    """With the registered parameters, and with many shards and blocks of queries."""
+    vectors = table(spark, f"/root/testdata/{sf}", "embeddings")
     rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in vectors.collect()]
     want = brute_search(rows, 20, 20)
     got: dict = {}
-    for r in vector_search.search(vectors, visit_least=100, shard_rows=300, query_rows=40).orderBy("query_id", "rank").collect():
+    for r in vector_search.search(vectors, **sizes).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     assert got.keys() == want.keys()
     hits = sum(len({i for _, i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)

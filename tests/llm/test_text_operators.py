@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 import zstandard
 from conftest import SMALL
@@ -417,6 +418,28 @@ def near_copies():
     return texts + ["one", "ONE", "one two", "one two three", "Two one", None, "", " "]
 
 
+def test_merging_by_heap_and_by_sorting(monkeypatch):
+    rng = np.random.default_rng(5)
+    lists = [np.unique(rng.integers(0, 300, n)) for n in (1, 40, 200, 250)]
+    found = []
+    for most in (0, 10_000):
+        monkeypatch.setattr(shingle_join, "HEAP_MOST", most)
+        found.append([x.tolist() for x in shingle_join.merged(lists)])
+    assert found[0] == found[1] == [x.tolist() for x in np.unique(np.concatenate(lists), return_counts=True)]
+
+
+def test_hot_shingles_are_counted_by_block(spark, monkeypatch):
+    """A passage that all sets hold, met in every block, at any bound from which shingles stay with their block."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [f"{passage} own{i % 20} words{i % 20} here{i % 20}" for i in range(60)] + [f"{passage} a{i}" for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    n, label = brute_components(texts, 90)
+    for hot in (2, 4, 1000):
+        monkeypatch.setattr(shingle_join, "HOT", hot)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.join(docs, block_entries=200, bucket_entries=100).collect()}
+        assert got == {i: (n[i], label[i]) for i in range(len(texts))}
+
+
 @pytest.mark.parametrize("percent", [90, 80, 100])
 @pytest.mark.parametrize("small", [False, True])
 def test_shingle_join_is_exact(spark, percent, small):
@@ -452,6 +475,43 @@ def insults(n):
     return rows
 
 
+def brute_kernel(a, b):
+    """The kernel of two words by all their three-letter subsequences, and how much of the first one's the second one holds."""
+
+    def vector(word):
+        codes = toxicity.classes(word)
+        each = [(tuple(codes[x] for x in (i, j, k)), toxicity.DECAY ** (k - i + 1)) for i, j, k in itertools.combinations(range(len(codes)), 3) if k - i < toxicity.SPAN]
+        each = [(key, w) for key, w in each if all(key)]
+        return each, math.sqrt(sum(w * w for _, w in each))
+
+    (x, nx), (y, ny) = vector(a), vector(b)
+    if not x or not y:
+        return 0.0, 0.0
+    held = {key for key, _ in y}
+    common = math.sqrt(sum((w / nx) ** 2 for key, w in x if key in held))
+    return (sum(v * w for key, v in x for other, w in y if key == other) / (nx * ny)) ** toxicity.POWER, common
+
+
+def test_kernel_by_enumeration():
+    words = ["idiot", "id1ot", "i.d.i.o.t", "idddiot", "iddiiioottt", "bridge", "bridges", "a", "", "xüöß", "ababababab", "stone"]
+    for b in ("idiot", "bridge", "abab"):
+        got = toxicity.Landmarks([b]).kernels(words)[:, 0]
+        for a, g in zip(words, got, strict=True):
+            want, common = brute_kernel(a, b)
+            assert g == pytest.approx(want if common >= toxicity.FLOOR else 0.0), (a, b)
+    assert brute_kernel("iddiot", "idiot")[0] > 4 * brute_kernel("bridge", "idiot")[0]
+
+
+def test_whole_texts_train_and_score(spark):
+    """Telling sentences count wherever they stand in long texts, and repeated rows and clashing columns change nothing."""
+    rows = [(i, "the river is quiet. " * 60 + t, y) for i, t, y in insults(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").withColumn("score", F.lit("clash"))
+    machine = toxicity.fit(docs, docs)
+    got = toxicity.score(docs.unionByName(docs), machine).collect()
+    assert len(got) == 600 and sum(r.predicted == r.toxic for r in got) >= 570 and all(0 <= r.score <= 1 for r in got)
+    assert len({(r.doc_id, r.score) for r in got}) == 300
+
+
 def test_toxicity_tolerates_gaps(spark):
     rows = spark.createDataFrame(insults(400), "doc_id long, text string, toxic int")
     machine = toxicity.fit(rows, rows)
