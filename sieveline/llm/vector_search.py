@@ -134,8 +134,8 @@ def search(
     """query_id, rank, vec_id and score: the ``top`` nearest found for each row whose id is divisible by ``every``.
 
     Nearness is the inner product in double precision, ties go to the smaller
-    id. A query visits cells until they hold ``visit_share`` of all entries,
-    however few or many there are; vectors without structure need about half for
+    id. A query visits cells until they hold ``visit_share`` of all entries, and
+    enough for ``top`` of other ids; vectors without structure need about half for
     a recall of 0.9. Null ids take no part, nor do vectors that are null, zero,
     of null or non-finite components, or of another length than most of the
     sample. Rows that repeat an id are all entries, the smallest vector of an
@@ -157,13 +157,15 @@ def search(
     for r in index.groupBy("a", "b").count().collect():  # at most 64 x 64 rows
         counts[r.a, r.b] = r["count"]
     total = int(counts.sum())
-    enough = math.ceil(visit_share * total)
+    own = index.where(F.col("id") % every == 0).groupBy("id").count().agg(F.count(F.lit(1)).alias("n"), F.max("count").alias("most")).collect()[0]
+    n_queries = own.n
+    # So many that ``top`` entries are left beside those of the query's own id.
+    enough = max(math.ceil(visit_share * total), top + (own.most or 0))
     shards = shards_of(counts, shard_rows)
     members: dict[int, list[int]] = {}
     for a, own in enumerate(shards):
         for s in own:
             members.setdefault(s, []).append(a)
-    n_queries = index.where(F.col("id") % every == 0).count()
     query_blocks = max(1, math.ceil(n_queries / query_rows))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sieveline.llm import language, page_text, vector_search
+from sieveline.llm import language, page_text, secret_scan, vector_search
 from sieveline.llm.common import plain_words, table
 
 
@@ -176,8 +176,9 @@ def test_pipeline_against_brute_force(spark):
     assert after.count() >= 0.97 * before.count()
 
     before, after = kept["near_duplicates"]
-    sets = {r.doc_id: frozenset(zip(w, w[1:], w[2:])) for r in before.collect() if len(w := plain_words(r.text)) >= 3}
-    linked = {i: {j for j in sets if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])} for i in sets}
+    # Five words and a similarity of 0.8: what near-duplicate stages take.
+    sets = {r.doc_id: frozenset(zip(*(w[k:] for k in range(5)))) if len(w) >= 5 else frozenset([tuple(w)]) for r in before.collect() if (w := plain_words(r.text))}
+    linked = {i: {j for j in sets if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])} for i in sets}
     left = {r.doc_id for r in after.collect()}
     for i in sets:
         group, todo = {i}, [i]
@@ -205,36 +206,80 @@ def test_pipeline_against_brute_force(spark):
 
     before, after = kept["mixture"]
     sums = after.groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect()
-    assert all(abs(r.t - r.g) <= 1 for r in sums)
+    assert all(abs(r.t - r.g) <= 3 * 16 for r in sums)
     assert {r.doc_id: r.size for r in after.collect()} == {r.doc_id: len(plain_words(r.text)) for r in before.collect()}
 
 
 def test_pipeline_rejects_ties_of_two_languages(spark, monkeypatch):
     rng = np.random.default_rng(3)
     a, b, c = (" ".join("".join(rng.choice(list(letters), 6)) for _ in range(400)) for letters in ("abcdefgh", "ijklmnop", "qrstuvwx"))
-    more = " ".join("".join(rng.choice(list("abcdefghyz"), 6)) for _ in range(8))
-    long = " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(4000))
-    dictionaries = {"x": a.encode(), "y": f"{a} {more}".encode()}
-    texts = {1: c[700:900], 2: a[700:1900], 3: f"{long} {more}", 4: b}
-    model = language.Classifier({"x": a.encode(), "y": a.encode(), "z": c.encode()})
-    assert model.classify(texts[2])[1:] == (0.5, 0.0)
-    _, score, margin = language.Classifier(dictionaries).classify(texts[3])
-    assert score > 0.9 and 0 < margin < 0.02
+    texts = {1: c[700:900], 2: a[700:1900], 4: b}
+    tied = {"x": a.encode(), "y": a.encode(), "z": c.encode(), "w": b.encode()}
+    assert language.Classifier(tied).classify(texts[2])[0] == "x" and language.Classifier(tied).classify(texts[2])[2] == 0
+    two = language.Classifier({"x": a.encode(), "y": a.encode()}).classify(texts[2])
+    assert two == ("x", 0.5, 0.0)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
 
     def kept(found):
         monkeypatch.setattr(corpus_pipeline.language, "fit", lambda docs: found)
         return {r.doc_id for r in corpus_pipeline.known_language(spark, docs, SMALL).collect()}
 
-    assert kept({"x": a.encode(), "y": a.encode(), "z": c.encode(), "w": b.encode()}) == {1, 4}
-    assert 3 not in kept(dictionaries)
+    assert kept(tied) == {1, 4}
+    assert kept({"x": a.encode(), "y": a.encode()}) == set()
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows are told apart by id and text: another text under a dropped id stays, repeats and null ids are thinned, other columns are carried."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = a.replace("a39", "other")
+    rows = [(3, a, "x"), (5, near, "x"), (5, b, "y"), (None, a, "x"), (3, a, None), (3, a, "w"), (None, c, "z"), (None, c, "z"), (7, "", "x"), (7, "", "x"), (8, None, "x")]
+    docs = spark.createDataFrame([(i, t, None, s, len(t or ""), f"k{s}") for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, _key string")
+    found = corpus_pipeline.one_of_each(spark, docs, SMALL)
+    assert found.columns == docs.columns
+    got = sorted(((r.doc_id, r.text, r.source, r["_key"]) for r in found.collect()), key=str)
+    assert got == sorted([(3, a, None, "kNone"), (5, b, "y", "ky"), (None, c, "z", "kz"), (7, "", "x", "kx"), (7, "", "x", "kx"), (8, None, "x", "kx")], key=str)
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
+def test_stages_edge_cases(spark, stage):
+    """Nulls in every column, empty and long texts, ties and repeated rows, clashing and extra columns, and an empty table."""
+    name, function = stage
+    long = " ".join(f"the quiet river {i} runs" for i in range(20_000))
+    rows = [(1, "the cat sat on the mat today", "en", "a", 28, "m"), (1, "the cat sat on the mat today", "en", "a", 28, "m"), (2, None, None, None, None, None), (3, "", "en", "b", 0, ""),
+            (None, "password = abcdef1234 le chat", "fr", None, None, "q"), (4, long, "en", "c", len(long), "l"), (5, "1234 !!!", None, "a", 8, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string"
+    docs = spark.createDataFrame([(*r[:5], r[5]) for r in rows], schema)
+    for clash in ("score", "margin", "spans", "items", "taken", "_key", "_hash", "component_id"):
+        own = docs.withColumnRenamed("score", clash)
+        found = function(spark, own, SMALL)
+        if name != "mixture":
+            assert found.columns == own.columns
+            kept = {(r.doc_id, r[clash]) for r in found.collect()}
+            assert kept <= {(r[0], r[5]) for r in rows}
+            # Long and clean documents stay.
+            assert (4, "l") in kept and (1, "m") in kept
+        else:
+            assert found.count() == len(rows)
+        if name in ("near_duplicates", "mixture"):
+            break
+    assert function(spark, docs.where("doc_id = -1"), SMALL).count() == 0
+
+
+def test_assigned_secrets_go(spark):
+    """Of each spans' judgement, measured on the whole small corpus: no live one is left, and copied ones are few."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    before = secret_scan.scan(docs).agg(F.sum("n_live").alias("live"), F.sum("n_copied").alias("copied")).collect()[0]
+    clean = corpus_pipeline.without_secrets(spark, docs, SMALL)
+    after = secret_scan.scan(clean).agg(F.sum("n_live").alias("live"), F.sum("n_copied").alias("copied")).collect()[0]
+    assert before.live > 0 and (after.live or 0) == 0 and after.copied == before.copied
+    assert clean.where("n_chars <> length(text)").count() == 0
 
 
 def test_near_duplicates_at_other_figures(spark):
     docs = table(spark, SMALL, "documents").cache()
-    sets = {r.doc_id: frozenset(zip(*(w[k:] for k in range(5)))) for r in docs.collect() if len(w := plain_words(r.text)) >= 5}
-    linked = {i: {j for j in sets if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])} for i in sets}
-    left = {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, SMALL, width=5, percent=80).collect()}
+    sets = {r.doc_id: frozenset(zip(w, w[1:], w[2:])) for r in docs.collect() if len(w := plain_words(r.text)) >= 3}
+    linked = {i: {j for j in sets if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])} for i in sets}
+    left = {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, SMALL, width=3, percent=90).collect()}
     for i in sets:
         group, todo = {i}, [i]
         while todo:
