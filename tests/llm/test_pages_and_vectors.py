@@ -1,7 +1,9 @@
 """Page text, vector search, and the pipeline, against brute force."""
 
 import html
+import itertools
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -104,6 +106,51 @@ def test_differencing_beside_markup():
     assert text(inside % 1, inside % 2) == "The same long story\n1"
 
 
+def brute_neighbour(pages, i):
+    """Of the pages in the order of host and path, the nearest of its host with other lines on either side; the nearer one by path, or the first."""
+    host, path, digest, _ = pages[i]
+    near = []
+    for side, others in ((0, range(i - 1, -1, -1)), (1, range(i + 1, len(pages)))):
+        found = next((j for j in others if pages[j][0] != host or pages[j][2] != digest), None)
+        if found is not None and pages[found][0] == host:
+            same = sum(1 for _ in itertools.takewhile(lambda x: x[0] == x[1], zip(path, pages[found][1])))
+            near.append((-same, side, found))
+    return min(near)[2] if near else None
+
+
+def brute_common(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+def test_differencing_of_whole_pages(spark):
+    """Pages whose markup tells nothing: each loses as many lines as the longest common subsequence with its nearest page has, and no others."""
+    rows = [(r.page_id, r.url, re.sub(r"<(/?)(?:article|nav|footer|div)\b[^>]*>", r"<\1section>", r.html)) for r in table(spark, "/root/testdata/sf0.01", "pages").collect()]
+    rows += [(10_000 + i, f"http://many.example/{'ab'[i % 2]}/{i:03}", f"<p>Top</p><p>Old news</p><p>{i // 3}</p><p>{i % 5} of five</p><p>Old news</p><p>End</p>") for i in range(60)]
+    rows += [(20_000 + i, u, h) for i, u, h in rows[:20]]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = {r.page_id: r.text for r in page_text.extract(docs.repartition(7)).collect()}
+    assert len(got) == len(rows)
+    lines = {i: [t for t, _ in page_text.lines_of(h)] for i, _, h in rows}
+    pages = sorted((*page_text.address(u), page_text.digest_of(page_text.lines_of(h)), i) for i, u, h in rows)
+    changed = 0
+    for n, (*_, i) in enumerate(pages):
+        other = brute_neighbour(pages, n)
+        left = got[i].split("\n") if got[i] else []
+        common = brute_common(lines[i], lines[pages[other][-1]]) if other is not None else 0
+        assert len(left) == len(lines[i]) - common
+        rest = iter(lines[i])
+        assert all(x in rest for x in left)
+        gone = Counter(lines[i]) - Counter(left)
+        assert other is None or not gone - Counter(lines[pages[other][-1]])
+        changed += bool(common)
+    print(f"differencing changed {changed} of {len(rows)} pages")
+    assert changed > 80
+
+
 def test_common_subsequence():
     def brute(a, b):
         table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
