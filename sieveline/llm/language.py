@@ -93,7 +93,7 @@ def sampled(rows: DataFrame, shares: dict[str, float], sample_docs: int) -> list
 class Classifier:
     """Sizes under each dictionary, and the decision they give."""
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int = 12, sharpness: float = 50.0):
+    def __init__(self, dictionaries: dict[str, bytes], level: int = 10, sharpness: float = 50.0):
         self.langs = list(dictionaries)
         self.sharpness = sharpness
         self.coders = [self.coder(d, level) for d in dictionaries.values()]
