@@ -9,6 +9,8 @@ Everything here is DataFrame code.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,10 +20,12 @@ from sieveline.llm.common import WORD, saved
 CIRCLE, STRIDE = 1 << 32, 1640531527
 #: Slots that are dealt together, slots of a source that meet its blocks together, and cells of the circle by which points meet sources.
 CHUNK, GROUP, CELLS = 4096, 4096, 4096
+#: Chunks whose slots a task makes, and tasks at most.
+TASK_CHUNKS, MOST_TASKS = 64, 20_000
 #: Up to so many sources their arcs and targets go to every task; beyond, rows are shuffled to them.
 MOST_SOURCES = 100_000
 #: Rows of a hash range of a source's stream, and ranges whose sums are added up in one go.
-RANGE_ROWS, RANGES = 20_000, 4096
+RANGE_ROWS, RANGES = 500, 4096
 
 
 def n_words(text: Column) -> Column:
@@ -82,12 +86,12 @@ def schedule(plan: DataFrame, block_words: int) -> DataFrame:
     the last one begun; low discrepancy leaves each source a few blocks off its
     target at most, and the mix is what the slots say.
     """
-    total = plan.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("words"))
-    last = F.ceil(F.round(F.col("words"), 3) / block_words).cast("long") - 1
-    chunks = total.withColumn("last", last).where("last >= 0").select("last", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / CHUNK).cast("long"))).alias("chunk"))
+    n = math.ceil(round(plan.agg(F.sum("target").alias("words")).collect()[0].words or 0.0, 3) / block_words)
+    n_chunks = -(-n // CHUNK)
+    # One row a chunk, dealt so that a task makes the slots of some chunks and groups them where they are.
+    chunks = plan.sparkSession.range(n_chunks).select(F.col("id").alias("chunk")).repartition(min(MOST_TASKS, max(1, n_chunks // TASK_CHUNKS)), "chunk")
     slots = (
-        chunks.repartition(F.col("chunk"))
-        .select("chunk", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least("last", F.col("chunk") * CHUNK + (CHUNK - 1)))).alias("slot"))
+        chunks.select("chunk", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.lit(n - 1), F.col("chunk") * CHUNK + (CHUNK - 1)))).alias("slot"))
         .withColumn("point", (F.col("slot") % CIRCLE) * STRIDE % CIRCLE)
         .withColumn("cell", F.floor(F.col("point") / (CIRCLE // CELLS)).cast("long"))
     )
@@ -119,7 +123,7 @@ def mix(
     source_col: str = "source",
     weights: tuple[int, ...] = (5, 2, 1),
     max_repeats: int = 3,
-    block_words: int = 16,
+    block_words: int = 32,
 ) -> DataFrame:
     """Per document: id, source, size, source_size, target, taken (words the mix takes, repeats counted), n_slots and first_slot.
 

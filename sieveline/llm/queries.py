@@ -22,7 +22,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken, n_slots, first_slot; weights 5, 2, 1, at most three rounds, blocks of 16 words."""
+    """doc_id, size, source_size, target, taken, n_slots, first_slot; weights 5, 2, 1, at most three rounds, blocks of 32 words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).drop("source")
 
@@ -161,9 +161,9 @@ ORACLE_SQL: dict[str, str] = {
         ),
         g AS (
             SELECT k, slot, row_number() OVER (PARTITION BY k ORDER BY slot) - 1 AS rank
-            FROM range((SELECT ceil(round(coalesce(sum(target), 0), 3) / 16)::bigint FROM t)) s(slot) JOIN a ON slot * 1640531527 % 4294967296 >= lo AND slot * 1640531527 % 4294967296 < hi
+            FROM range((SELECT ceil(round(coalesce(sum(target), 0), 3) / 32)::bigint FROM t)) s(slot) JOIN a ON slot * 1640531527 % 4294967296 >= lo AND slot * 1640531527 % 4294967296 < hi
         ),
-        c AS (SELECT k, count(*) * 16 AS given FROM g GROUP BY k),
+        c AS (SELECT k, count(*) * 32 AS given FROM g GROUP BY k),
         p AS (
             SELECT row_number() OVER () AS r, doc_id, size, k, source_size, target, coalesce(sum(size) OVER (
                 PARTITION BY d.source ORDER BY md5(coalesce(doc_id::varchar, '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING
@@ -175,8 +175,8 @@ ORACLE_SQL: dict[str, str] = {
             FROM p LEFT JOIN c USING (k), range(3) x(i) WHERE size > 0
         ),
         w AS (
-            SELECT r, sum(b - a)::bigint AS taken, sum((b - 1) // 16 - a // 16 + 1)::bigint AS n_slots, min(slot) AS first_slot
-            FROM q JOIN p USING (r) JOIN g ON g.k = p.k AND g.rank = a // 16 WHERE b > a GROUP BY r
+            SELECT r, sum(b - a)::bigint AS taken, sum((b - 1) // 32 - a // 32 + 1)::bigint AS n_slots, min(slot) AS first_slot
+            FROM q JOIN p USING (r) JOIN g ON g.k = p.k AND g.rank = a // 32 WHERE b > a GROUP BY r
         )
         SELECT doc_id, size::bigint AS size, source_size, target, coalesce(taken, 0)::bigint AS taken, coalesce(n_slots, 0)::bigint AS n_slots, first_slot
         FROM p LEFT JOIN w USING (r)

@@ -80,7 +80,7 @@ def brute_language(learned, text):
     sizes = {}
     for lang, texts in learned.items():
         content = zstandard.ZstdCompressionDict("\n".join(texts).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        content.precompute_compress(level=12)
+        content.precompute_compress(level=10)
         coder = zstandard.ZstdCompressor(dict_data=content, write_content_size=False, write_dict_id=False)
         sizes[lang] = sum(len(coder.compress(b"a" * 200 + letters[i : i + 1000])) for i in range(0, len(letters), 1000))
     return sizes if letters else None
@@ -123,7 +123,7 @@ def test_language_of_two_languages_is_rejected(spark):
         language.fit(docs, most_langs=1)
 
 
-def brute_mix(rows, weights=(5, 2, 1), block=16, stride=mixing.STRIDE):
+def brute_mix(rows, weights=(5, 2, 1), block=32, stride=mixing.STRIDE):
     """taken, n_slots and first_slot of each row (id, source, size), by dealing slots one by one and walking each source's stream word by word."""
     names = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
     total = {s: sum(n for _, t, n in rows if t == s) for s in names}
@@ -159,7 +159,8 @@ def test_mixture_is_what_the_slots_take(spark, monkeypatch):
     rows = [(r.doc_id, r.source, r.size) for r in docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")).collect()]
     target, want = brute_mix(rows)
     monkeypatch.setattr(mixing, "GROUP", 50)  # several groups of ranks a source
-    monkeypatch.setattr(mixing, "CHUNK", 300)
+    monkeypatch.setattr(mixing, "CHUNK", 100)
+    monkeypatch.setattr(mixing, "TASK_CHUNKS", 2)
     monkeypatch.setattr(mixing, "RANGES", 3)
     monkeypatch.setattr(mixing, "RANGE_ROWS", 2)
     mixed = {r.doc_id: r for r in mixing.mix(docs).collect()}
@@ -169,7 +170,7 @@ def test_mixture_is_what_the_slots_take(spark, monkeypatch):
         assert r.taken <= 3 * r.size and r.target == pytest.approx(target[r.source])
         sums[r.source] = sums.get(r.source, 0) + r.taken
     # A few blocks off the target at most.
-    assert all(abs(sums[s] - target[s]) <= 3 * 16 for s in sums)
+    assert all(abs(sums[s] - target[s]) <= 3 * 32 for s in sums)
     # Another schedule gives another mix.
     monkeypatch.setattr(mixing, "STRIDE", 3)
     other = {r.doc_id: (r.taken, r.n_slots, r.first_slot) for r in mixing.mix(docs).collect()}
