@@ -18,6 +18,14 @@ from sieveline.llm.common import saved, shared_dir, table
 #: Columns that stages read. Others are set aside under names that no operator uses, and get their own names back.
 OWN = ("doc_id", "text", "lang", "source", "n_chars")
 
+#: Keys of 17 bytes that may be sent to every task; texts meet more of them in a shuffle.
+MOST_SENT = 500_000
+
+
+def sent(keys: DataFrame) -> DataFrame:
+    keys = saved(keys)
+    return F.broadcast(keys) if keys.limit(MOST_SENT + 1).count() <= MOST_SENT else keys.hint("merge")
+
 
 def aside(docs: DataFrame) -> DataFrame:
     return docs.select(*(F.col(f"`{c}`").alias(c if c in OWN else f"_kept_{c}") for c in docs.columns))
@@ -44,13 +52,16 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str, width: int =
     so another text under a dropped one's id stays; of rows that repeat both, one stays, the least by its columns. Documents
     without words are in no group and stay. An empty table stays empty.
     """
-    number = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string"), 20, "0")
-    key = F.concat(F.coalesce(number, F.lit("~")), F.lit(":"), F.hex(F.xxhash64(F.coalesce("text", F.lit("")))))
+    # Sixteen bytes in the order of ids and hashes, after one that puts null ids last.
+    number = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    text_hash = F.lpad(F.hex(F.xxhash64(F.coalesce("text", F.lit("")))), 16, "0")
+    key = F.unhex(F.concat(F.coalesce(F.concat(F.lit("00"), number), F.lit("01")), text_hash))
     keyed = aside(docs).withColumn("_key", key)
-    found = saved(shingle_join.join(keyed.select("_key", "text"), id_col="_key", width=width, percent=percent).where("n_shingles > 0"))
-    kept = keyed.join(found.where("_key <> component_id").select("_key").distinct(), "_key", "left_anti")
+    found = shingle_join.join(keyed.select("_key", "text"), id_col="_key", width=width, percent=percent).where("n_shingles > 0")
+    found = saved(found.select("_key", "component_id"))
+    kept = keyed.join(sent(found.where("_key <> component_id").select("_key").distinct()), "_key", "left_anti")
     # Only rows that repeat id and text are shuffled to find one of them.
-    repeated = found.where("_key = component_id").groupBy("_key").count().where("count > 1").select("_key")
+    repeated = sent(found.where("_key = component_id").groupBy("_key").count().where("count > 1").select("_key"))
     one = kept.join(repeated, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*aside(docs).columns)).alias("row")).select("row.*")
     return kept.join(repeated, "_key", "left_anti").drop("_key").unionByName(one).select(back(docs))
 
