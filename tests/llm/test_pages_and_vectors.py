@@ -275,16 +275,18 @@ def test_pipeline_rejects_ties_of_two_languages(spark, monkeypatch):
     assert kept({"x": a.encode(), "y": a.encode()}) == set()
 
 
-def test_near_duplicates_of_repeated_ids(spark):
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_near_duplicates_of_repeated_ids(spark, monkeypatch, most):
     """Rows are told apart by id and text: another text under a dropped id stays, repeats and null ids are thinned, other columns are carried."""
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     near = a.replace("a39", "other")
-    rows = [(3, a, "x"), (5, near, "x"), (5, b, "y"), (None, a, "x"), (3, a, None), (3, a, "w"), (None, c, "z"), (None, c, "z"), (7, "", "x"), (7, "", "x"), (8, None, "x")]
+    rows = [(3, a, "x"), (5, near, "x"), (5, b, "y"), (None, a, "x"), (3, a, None), (3, a, "w"), (-4, f"{b} end", "v"), (None, c, "z"), (None, c, "z"), (7, "", "x"), (7, "", "x"), (8, None, "x")]
     docs = spark.createDataFrame([(i, t, None, s, len(t or ""), f"k{s}") for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, _key string")
+    monkeypatch.setattr(corpus_pipeline, "MOST_SENT", most)
     found = corpus_pipeline.one_of_each(spark, docs, SMALL)
     assert found.columns == docs.columns
     got = sorted(((r.doc_id, r.text, r.source, r["_key"]) for r in found.collect()), key=str)
-    assert got == sorted([(3, a, None, "kNone"), (5, b, "y", "ky"), (None, c, "z", "kz"), (7, "", "x", "kx"), (7, "", "x", "kx"), (8, None, "x", "kx")], key=str)
+    assert got == sorted([(3, a, None, "kNone"), (-4, f"{b} end", "v", "kv"), (None, c, "z", "kz"), (7, "", "x", "kx"), (7, "", "x", "kx"), (8, None, "x", "kx")], key=str)
 
 
 @pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
