@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.config import NOISY, STRATEGIES, TRUSTED, Run
@@ -53,18 +53,6 @@ def random_baseline(rows: DataFrame, target_size: int | None = None, runs: int =
     return table.select("run", "split", "roc_auc", "pr_auc", "f1", "optimal_threshold", "n_predicted_bogus"), context
 
 
-def ablation_baseline(plan: Construction, target_size: int, runs: int, seed: int, chosen: DataFrame) -> DataFrame:
-    """The random baseline as rows of the ablation: test metrics at the validation threshold."""
-    found = measured(plan, random_contexts(plan, target_size, runs, seed, chosen))
-    return result(found, target_size, F.lit("baseline_random"), F.col("k") + 1)
-
-
-def result(found: DataFrame, target_size: int, method: Column, run: Column) -> DataFrame:
-    """Measured context sets in the columns of the ablation's table."""
-    figures = [f"{s}_{m}" for s in ("val", "test") for m in METRICS]
-    return found.select(F.lit(target_size).cast("long").alias("target_size"), method.alias("method"), run.cast("int").alias("run"), *figures, "threshold")
-
-
 def joint_scores(rows: DataFrame, run: Run | None = None, model: predict.Model | None = None) -> DataFrame:
     """Every row of every split, scored under probes of the training split alone."""
     o = run or Run()
@@ -80,23 +68,27 @@ def ablation(rows: DataFrame, sizes: list[int], run: Run | None = None, methods:
     if output:
         sinks.write_scores(scored, f"{output}/reliability_scores.csv", "csv")
     pool = scored.where(F.col("classification") != "suspect")
-    out = None
+    # All sizes, methods and runs are one frame of context sets, predicted and measured in one pass.
+    names: list[tuple[int, str, int]] = []
+    contexts = None
     for size in sizes:
         n_positive, n_negative = sampling.target_sizes(0, size)
         trusted = selection.trusted_ids(plan.train, n_positive, o.seed)  # the same for all methods and runs
-        part = ablation_baseline(plan, size, baseline_runs, o.seed, trusted)
-        contexts = None
-        for k, method in enumerate(methods):
-            one = selection.context_set(plan.train, pool, n_negative, method, o.seed, n_positive, trusted).withColumn("k", F.lit(k))
-            contexts = one if contexts is None else contexts.unionByName(one)
-        contexts = saved(contexts)
-        if output:
-            for k, method in enumerate(methods):
-                sinks.write_context(contexts.where(F.col("k") == k), f"{output}/target_{size}/support_set_{method}.csv")
-        name = F.element_at(F.array(*map(F.lit, methods)), F.col("k") + 1)
-        part = part.unionByName(result(measured(plan, contexts), size, name, F.lit(1)))
-        out = part if out is None else out.unionByName(part)
-    return out
+        parts = [random_contexts(plan, size, baseline_runs, o.seed, trusted).withColumn("k", F.col("k") + len(names))]
+        names += [(size, "baseline_random", run + 1) for run in range(baseline_runs)]
+        for method in methods:
+            one = selection.context_set(plan.train, pool, n_negative, method, o.seed, n_positive, trusted)
+            if output:
+                one = saved(one)
+                sinks.write_context(one, f"{output}/target_{size}/support_set_{method}.csv")
+            parts.append(one.select(F.lit(len(names)).alias("k"), "id", "label", "x"))
+            names.append((size, method, 1))
+        for part in parts:
+            contexts = part if contexts is None else contexts.unionByName(part)
+    found = measured(plan, saved(contexts))
+    label = F.array(*(F.struct(F.lit(n).cast("long").alias("target_size"), F.lit(m).alias("method"), F.lit(r).alias("run")) for n, m, r in names))
+    figures = [f"{s}_{m}" for s in ("val", "test") for m in METRICS]
+    return found.withColumn("_of", F.element_at(label, F.col("k") + 1)).select("_of.*", *figures, "threshold")
 
 
 def summary(results: DataFrame) -> DataFrame:
