@@ -54,6 +54,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     cost.add_argument("--n-estimators", type=int, default=8)
     cost.add_argument("--n-query", type=int, default=10_000)
     cost.add_argument("--output", default="exp")
+    cost.add_argument("--empirical", action="store_true", help="check the closed forms against a recount of all products")
     return top.parse_args(argv)
 
 
@@ -88,7 +89,12 @@ def main(argv: list[str] | None = None) -> None:
 
         table = costs.sweep(spark, numbers(a.target_sizes), a.top_features, a.n_estimators, a.n_query)
         sinks.write_table(table, f"{output}/flops_target_size.csv", "csv", one_file=True)
-        sinks.write_manifest(spark, f"{output}/artifact_manifest", vars(a) | {"linear": costs.linear_coefficients(spark, a.top_features, a.n_estimators).collect()[0].asDict()})
+        largest = None
+        if a.empirical:
+            checked = saved(costs.validation(spark))
+            sinks.write_table(checked, f"{output}/empirical_validation.csv", "csv", one_file=True)
+            largest = costs.largest_error(checked).collect()[0][0]
+        sinks.write_manifest(spark, f"{output}/artifact_manifest", vars(a) | {"empirical_validation": largest, "linear": costs.linear_coefficients(spark, a.top_features, a.n_estimators).collect()[0].asDict()})
         return
     rows, features = loaded(spark, a)
     sizes = {r.split: r["count"] for r in rows.groupBy("split").count().collect()}

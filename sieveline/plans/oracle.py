@@ -194,6 +194,11 @@ FLOPS = """WITH s AS (SELECT unnest([100, 200, 500, 1000, 2000, 5000])::bigint A
         e * icl AS per_query_icl, e * dec AS per_query_decoder, e * ((n + 1) * one + n * kv + ind) AS single_query_uncached_flops, e * (n * one + n * kv + ind) AS fit_flops,
         q * e * one AS call_flops_cached, e * ((n + q) * one + n * kv + ind) AS call_flops_uncached FROM f)"""
 
+#: The closed forms for one member, on the shapes of the check.
+CHECKED = FLOPS.replace("SELECT unnest([100, 200, 500, 1000, 2000, 5000])::bigint AS n, 302::bigint AS l, 8::bigint AS e, 10000::bigint AS q", """
+    SELECT n::bigint AS n, h::bigint AS h, (h + 4)::bigint AS l, 1::bigint AS e, q::bigint AS q FROM (VALUES (100, 50, 10), (300, 100, 40), (600, 100, 100)) x(n, q, h)""") + """,
+    checked AS (SELECT 'fit' AS phase, n, q, h, n * one + n * kv + ind AS flops FROM f UNION ALL SELECT 'predict_cached', n, q, h, q * one FROM f)"""
+
 ORACLE_SQL: dict[str, str] = {
     "scan_split": f"WITH {ORD} SELECT split, label, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM ord GROUP BY ALL",
     "feature_topn": "SELECT unnest(['o_totalprice', 'c_acctbal', 'priority', 'segment', 'nation']) AS feature",
@@ -276,6 +281,8 @@ ORACLE_SQL: dict[str, str] = {
         round(single_query_uncached_flops / first(single_query_uncached_flops) OVER (ORDER BY target_size), 6) AS single_query_uncached_vs_smallest,
         round(call_flops_uncached / call_flops_cached, 6) AS cache_speedup FROM t""",
     "flops_linear_coeffs": "SELECT 4408397824::bigint AS intercept, 196608::bigint AS slope",
+    "cost_validation": f"""{CHECKED} SELECT phase, n AS n_support, q AS n_query, h AS n_features, flops AS measured, flops AS analytical, 0::double AS err_pct FROM checked""",
+    "cost_error": "SELECT 0::double AS max_abs_err_pct",
     "chunk_estimate": """SELECT s AS n_support, h AS n_features, e AS n_estimators,
         least(50000, greatest(100, trunc((16384 * 0.7::double - 138.54::double - 2.27e-4 * h) / (e * (-2.07e-5 + 5.37e-3 * h)))::bigint - s))::bigint AS chunk
         FROM (VALUES (500::bigint, 150::bigint, 8::bigint), (1000, 150, 8), (5000, 150, 8), (500, 298, 8), (100, 10, 1)) t(s, h, e)""",

@@ -337,6 +337,14 @@ def flops_linear_coeffs(spark: SparkSession, d: str) -> DataFrame:
     return costs.linear_coefficients(spark)
 
 
+def cost_validation(spark: SparkSession, d: str) -> DataFrame:
+    return costs.validation(spark)
+
+
+def cost_error(spark: SparkSession, d: str) -> DataFrame:
+    return costs.largest_error(costs.validation(spark))
+
+
 def chunk_estimate(spark: SparkSession, d: str) -> DataFrame:
     cases = [(500, 150, 8), (1000, 150, 8), (5000, 150, 8), (500, 298, 8), (100, 10, 1)]
     rows = spark.createDataFrame(cases, "n_support long, n_features long, n_estimators long")
@@ -364,6 +372,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         percentile_thresholds, classify_percentile, classify_fixed, joint_scoring, split_class_counts, impute_median, l2_normalize, cosine_pairs,
         neg_hybrid, pos_diversity, lloyd_medoids, support_set, support_sets, saved_set, boundary_top, roc_auc, average_precision, pr_curve, best_f1_threshold,
         hard_prediction, metrics_val_to_test, baseline_runs, baseline_best_set, baseline_summary, ablation_results, ablation_summary, convergence_lag, best_run,
-        prediction_vectors_wide, flops_table, flops_linear_coeffs, chunk_estimate, construction_history, manifest_json,
+        prediction_vectors_wide, flops_table, flops_linear_coeffs, cost_validation, cost_error, chunk_estimate, construction_history, manifest_json,
     )
 } | {f"neg_{s}": chosen(s) for s in ("random", "reliable", "informed", "boundary", "kmeans")}

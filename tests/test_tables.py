@@ -179,6 +179,15 @@ def test_commands_write_what_they_name(spark, tmp_path):
     assert tables.read_split(spark, f"{ablation}/reliability_scores.csv").count() == rows.where("split = 'train' AND label = 1").count()
 
 
+def test_cost_command(spark, tmp_path):
+    cli.main(["cost", "--target-sizes", "100, 200", "--top-features", "298", "--empirical", "--output", f"{tmp_path}"])
+    (out,) = tmp_path.iterdir()
+    table = tables.read_split(spark, f"{out}/flops_target_size.csv").collect()
+    assert [r.per_query_flops for r in table] == [4428058624, 4447719424]
+    checked = tables.read_split(spark, f"{out}/empirical_validation.csv").collect()
+    assert len(checked) == 6 and all(r.measured == r.analytical for r in checked)
+
+
 def test_target_sizes():
     assert [sampling.target_sizes(7, t) for t in (None, 10, 11)] == [(7, 7), (5, 5), (5, 5)]
 
