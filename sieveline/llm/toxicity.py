@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import heapq
 import re
-import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -43,14 +42,9 @@ MEMORY = 500_000
 
 
 def code_table() -> dict[int, int]:
-    """Code point to class: letters of the Latin script by base letter; signs by SIGNS."""
+    """Code point to class: the letters a to z each their own, signs by SIGNS."""
     out = {ord(c): ord(c) - 96 for c in "abcdefghijklmnopqrstuvwxyz"}
-    out |= {ord(k): ord(v) - 96 for k, v in SIGNS.items()}
-    for point in range(0xC0, 0x250):
-        base = unicodedata.normalize("NFKD", chr(point).lower())[:1]
-        if "a" <= base <= "z":
-            out[point] = ord(base) - 96
-    return out
+    return out | {ord(k): ord(v) - 96 for k, v in SIGNS.items()}
 
 
 CODES = code_table()
@@ -59,7 +53,7 @@ CODES = code_table()
 def classes(word: str) -> list[int]:
     """The word's letter classes after a mark for its start; 0 for characters that only make gaps.
 
-    Letters of other scripts share four classes.
+    All other letters share four classes: an accent may make another word, and where it disguises one, the kernel skips the letter.
     """
     return [START] + [CODES.get(ord(c)) or (27 + ord(c) % 4 if c.isalpha() else 0) for c in word]
 

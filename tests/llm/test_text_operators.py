@@ -522,6 +522,16 @@ def test_toxicity_tolerates_gaps(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_toxicity_tells_accents_apart(spark):
+    """An accent makes another word, and one that disguises a known word is a gap."""
+    rows = [(i, t.replace("stone", "reblorgon"), y) for i, t, y in insults(400)]
+    rows += [(1000 + i, t.replace("stone", "réblorgon"), 1) for i, t, y in insults(400) if not y and "stone" in t]
+    machine = toxicity.fit(*[spark.createDataFrame(rows, "doc_id long, text string, toxic int")] * 2)
+    asked = ["the réblorgon bridge is old.", "the reblorgon bridge is old.", "what a blorgfäce he is"]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), machine).collect()}
+    assert [got[i].predicted for i in range(3)] == [1, 0, 1]
+
+
 def test_toxicity_of_held_out_documents(spark):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     held = bucket_of(F.col("doc_id"), 5) == 0
