@@ -95,9 +95,11 @@ def test_metrics_without_positives(spark):
     assert found["threshold"] == 0.5 and found["f1"] == found["recall"] == 0 and found["roc_auc"] is None
 
 
-def test_neighbours_of_copies_and_zero_vectors(spark):
+@pytest.mark.parametrize("most_sent", [0, 100])
+def test_neighbours_of_copies_and_zero_vectors(spark, most_sent):
     rows = spark.createDataFrame([(3, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 0.0]), (4, [1.0, 0.0])], "id long, v array<double>")
-    near = nearest(rows, 2, block=2)
+    near = nearest(rows, 2, block=2, most_sent=most_sent)
+    assert nearest(rows.limit(0), 2, most_sent=most_sent).count() == 0
     assert [(r.nid, r.dist) for r in near.where("id = 3").orderBy("rank").collect()] == [(1, 0.0), (4, 0.0)]
     assert [(r.nid, r.dist) for r in near.where("id = 2").orderBy("rank").collect()] == [(1, 1.0), (3, 1.0)]
 
