@@ -27,7 +27,7 @@ def copies(spark, tmp_path_factory):
     return folder, con
 
 
-@pytest.mark.parametrize("name", ["ablation_results", "baseline_runs", "ablation_summary", "baseline_best_set", "baseline_summary", "best_run"])
+@pytest.mark.parametrize("name", ["ablation_results", "baseline_runs", "ablation_summary", "baseline_best_set", "baseline_summary", "best_run", "convergence_lag"])
 def test_all_trusted_rows_are_kept(spark, copies, name):
     folder, con = copies
     same(QUERIES[name](spark, folder), con, ORACLE_SQL[name])
