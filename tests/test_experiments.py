@@ -1,5 +1,7 @@
 """Registered experiments against their SQL where there are more trusted rows than half of a target."""
 
+import tracemalloc
+
 import duckdb
 import numpy as np
 import pytest
@@ -7,6 +9,7 @@ from compare import same
 from conftest import SF
 from pyspark.sql import functions as F
 
+from sieveline.operators import predict
 from sieveline.plans import experiments
 from sieveline.plans.construct import Construction
 from sieveline.plans.oracle import ORACLE_SQL
@@ -43,3 +46,16 @@ def test_last_bits_make_no_step(spark):
     rows = spark.createDataFrame([(i, "validation", i % 2, [float(i > 1)]) for i in range(4)], "id long, split string, label int, x array<double>")
     found = experiments.predicted(Construction(rows, model=LastBits()), rows.withColumn("k", F.lit(0)))
     assert {r.s for r in found.collect()} == {0.2}
+
+
+def test_large_sets_are_met_in_passes():
+    """A batch of queries and a set of 4,000 rows make 320 MB of products, which are never held at once."""
+    rng = np.random.default_rng(1)
+    x, y, q = rng.normal(size=(4000, 4)), rng.integers(0, 2, 4000).astype(float), rng.normal(size=(10_000, 4))
+    tracemalloc.start()
+    got = predict.AttentionVote().fit(x, y)(q)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    w = np.exp(q[:50] @ x.T / 0.1 - (q[:50] @ x.T / 0.1).max(axis=1, keepdims=True))
+    assert np.allclose(got[:50], (w * y).sum(axis=1) / w.sum(axis=1), rtol=0, atol=1e-12)
