@@ -59,3 +59,19 @@ def test_large_sets_are_met_in_passes():
     assert peak < 150e6
     w = np.exp(q[:50] @ x.T / 0.1 - (q[:50] @ x.T / 0.1).max(axis=1, keepdims=True))
     assert np.allclose(got[:50], (w * y).sum(axis=1) / w.sum(axis=1), rtol=0, atol=1e-12)
+
+
+def test_shared_rows_are_sent_once(spark, monkeypatch):
+    """Two sets that share rows, one of them twice, with gaps: what is sent holds each different row once, and predictions are those of the sets."""
+    nan = float("nan")
+    rows = [(0, 0, [1.0, 0.0]), (1, 0, [1.0, 0.0]), (1, 0, [1.0, 0.0]), (0, 1, [0.0, 1.0]), (1, 1, [0.0, 1.0]), (0, 1, [nan, 0.5]), (1, 1, [1.0, 0.0])]
+    sent, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or send(self, value))
+    queries = spark.createDataFrame([(1, [0.1, 0.2]), (2, [0.3, nan])], "id long, x array<double>")
+    found = predict.predict(queries, spark.createDataFrame(rows, "k int, label int, x array<double>"))
+    got = {(r.id, r.k): r.p for r in found.collect()}
+    assert len(sent[0][0]) == 4
+    q = np.array([[0.1, 0.2], [0.3, 0.0]])
+    for k in (0, 1):
+        x, y = np.array([r[2] for r in rows if r[0] == k]), np.array([float(r[1]) for r in rows if r[0] == k])
+        assert [got[1, k], got[2, k]] == pytest.approx(list(predict.AttentionVote().fit(x, y)(q)), abs=1e-12)
