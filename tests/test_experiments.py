@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sieveline.operators import predict
 from sieveline.plans import experiments
 from sieveline.plans.construct import Construction
-from sieveline.plans.oracle import ORACLE_SQL
+from sieveline.plans.oracle import ORACLE_SQL, split_sql
 from sieveline.plans.queries import QUERIES, SIZES
 from sieveline.sources import tables
 
@@ -75,3 +75,20 @@ def test_shared_rows_are_sent_once(spark, monkeypatch):
     for k in (0, 1):
         x, y = np.array([r[2] for r in rows if r[0] == k]), np.array([float(r[1]) for r in rows if r[0] == k])
         assert [got[1, k], got[2, k]] == pytest.approx(list(predict.AttentionVote().fit(x, y)(q)), abs=1e-12)
+
+
+@pytest.fixture(scope="module", params=["sp <> 'validation' OR label > 2", "sp <> 'validation'"], ids=["no trusted validation", "no validation"])
+def without(request, spark, tmp_path_factory):
+    """A folder with the vectors but trusted validation rows, or but all of them, and a connection to it."""
+    folder = str(tmp_path_factory.mktemp("without"))
+    con = duckdb.connect()
+    kept = f"SELECT vec_id, embedding, label FROM (SELECT *, {split_sql('vec_id')} AS sp FROM '{SF}/embeddings.parquet') WHERE {request.param}"
+    con.execute(f"COPY ({kept}) TO '{folder}/embeddings.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet'")
+    return folder, con
+
+
+@pytest.mark.parametrize("name", ["baseline_best_set"])
+def test_areas_may_be_unknown(spark, without, name):
+    folder, con = without
+    same(QUERIES[name](spark, folder), con, ORACLE_SQL[name])
