@@ -88,7 +88,7 @@ def without(request, spark, tmp_path_factory):
     return folder, con
 
 
-@pytest.mark.parametrize("name", ["baseline_best_set", "baseline_summary", "best_run", "convergence_lag"])
+@pytest.mark.parametrize("name", ["ablation_results", "ablation_summary", "baseline_runs", "baseline_best_set", "baseline_summary", "best_run", "convergence_lag"])
 def test_areas_may_be_unknown(spark, without, name):
     folder, con = without
     same(QUERIES[name](spark, folder), con, ORACLE_SQL[name])
