@@ -9,10 +9,10 @@ from compare import same
 from conftest import SF
 from pyspark.sql import functions as F
 
-from sieveline.operators import predict
+from sieveline.operators import clustering, predict
 from sieveline.plans import experiments
 from sieveline.plans.construct import Construction
-from sieveline.plans.oracle import ORACLE_SQL, split_sql
+from sieveline.plans.oracle import ORACLE_SQL, diverse, split_sql
 from sieveline.plans.queries import QUERIES, SIZES
 from sieveline.sources import tables
 
@@ -92,3 +92,36 @@ def without(request, spark, tmp_path_factory):
 def test_areas_may_be_unknown(spark, without, name):
     folder, con = without
     same(QUERIES[name](spark, folder), con, ORACLE_SQL[name])
+
+
+def test_summary_is_over_diverse_halves(spark, tmp_path, monkeypatch):
+    """More trusted rows than half of a target, in clumps: each set holds as many trusted as noisy rows, those that the SQL keeps."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 6))[rng.integers(0, 40, 900)] + 0.3 * rng.normal(size=(900, 6))
+    rows = [(i, [float(a) for a in v], i % 6) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert tables.vectors(spark, str(tmp_path)).where("split = 'train' AND label = 0").count() > max(SIZES)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    met, measure = [], experiments.measured
+    monkeypatch.setattr(experiments, "measured", lambda plan, contexts: met.append(contexts) or measure(plan, contexts))
+    same(QUERIES["ablation_summary"](spark, str(tmp_path)), con, ORACLE_SQL["ablation_summary"])
+    counts = {(r.k, r.label): r["count"] for r in met[0].groupBy("k", "label").count().collect()}
+    assert counts == {(k, label): SIZES[k // 6] // 2 for k in range(12) for label in (0, 1)}
+
+
+@pytest.mark.parametrize("most", [clustering.MOST_POINTS, 0], ids=["on the driver", "in passes"])
+def test_repeatable_kmeans(spark, monkeypatch, most):
+    """Clumps with gaps between them, a grid full of ties, rows with copies, and fewer different rows than are asked for; a table no larger is kept whole."""
+    monkeypatch.setattr(clustering, "MOST_POINTS", most)
+    rng = np.random.default_rng(5)
+    clumps = [[float(a), float(b)] for a, b in np.repeat(rng.normal(size=(6, 2)) * 9, 20, axis=0) + rng.normal(size=(120, 2))]
+    grid = [[float(i % 9), float(i // 9)] for i in range(81)]
+    for points, n, different in ((clumps, 25, None), (grid, 12, None), (clumps[:30] * 4, 12, None), (grid[:5] * 9, 8, 5), (grid[:7], 7, 7)):
+        con = duckdb.connect()
+        con.execute("CREATE TABLE pos (id bigint, x double[])")
+        con.executemany("INSERT INTO pos VALUES (?, ?)", list(enumerate(points)))
+        want = [i for (i,) in con.execute(f"WITH RECURSIVE {diverse('pos', {1: n})} SELECT id FROM kept ORDER BY id").fetchall()]
+        got = clustering.repeatable(spark.createDataFrame(list(enumerate(points)), "id long, v array<double>").repartition(3), n)
+        assert sorted(r.id for r in got.collect()) == want
+        assert len(want) == (different or n)
